@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, packing, sentencepieces
+from . import dac, packing, sentencepieces, sharding
 
 SHARDS = 40
 
@@ -22,6 +22,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.hilbert_shards(table(spark, sf_dir), SHARDS, ["source", "lang", "doc_id"])
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), digest=True)
 
@@ -35,6 +39,7 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
     "op5_packing": op5_packing,
     "op7_token_binary": op7_token_binary,
