@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker handles at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:

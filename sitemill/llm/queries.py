@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, packing, sentencepieces, sharding
+from . import dac, media, packing, sentencepieces, sharding, simhash
 
 SHARDS = 40
 
@@ -38,10 +38,20 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_segments(dac.write_segments(table(spark, sf_dir), tokenizer_file("word_bpe_49k.json")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir))
+
+
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
     "op5_packing": op5_packing,
     "op7_token_binary": op7_token_binary,
+    "op9_simhash": op9_simhash,
+    "op10_flac": op10_flac,
 }
 ORACLES: dict[str, str] = {}

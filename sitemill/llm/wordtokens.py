@@ -14,12 +14,16 @@ import re
 import numpy as np
 
 #: Words whose ids a worker keeps, and the longest word kept, in bytes.
-CACHE_WORDS, CACHE_BYTES = 500_000, 64
+CACHE_WORDS, CACHE_BYTES = 800_000, 64
 
 #: A punctuation mark that stands alone between words sent together, and how many go together.
 MARK, RUN = "|", 500
 #: Letters that NFC and lower-casing map one to one, then no letter, number, space or apostrophe.
 STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: How byte-level files spell bytes: printable Latin-1 as itself, the rest from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b if b in _SHOWN else 256 + sum(c not in _SHOWN for c in range(b)) for b in range(256)}
 
 
 class WordTokenizer:
@@ -33,8 +37,12 @@ class WordTokenizer:
             self.by_word = check_spacing(json.load(f))
         self.cache: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.model = self.lib.model
         alone = np.frombuffer(self._ask([MARK])[0], "<u4")
         self.mark = int(alone[0]) if len(alone) == 1 else None
+        probe = ["straße", "Édouà", "ABCdefthing", "ÿþñ", "x"]
+        self.split = self.by_word and self.parts([w.encode() for w in probe]) == self._ask(probe)
+        self.stems.clear()
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. Many go to the library in one text, kept apart by
@@ -57,22 +65,24 @@ class WordTokenizer:
     def parts(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, where a word of composed Latin letters and then
         punctuation is two pre-tokens: its stem in lower case, which many
-        words share, and its tail."""
-        stems, split, whole = self.stems, [], []
-        new: dict[str, None] = {}
+        words share and the library's model takes as it is, and its tail."""
+        stems, split, whole, tails = self.stems, [], [], {}
         for w in words:
-            m = STEM(w.decode())
-            if m is None or len(w) > CACHE_BYTES:
+            stem = w.rstrip(TAIL)
+            if stem.isalpha():
+                key, tail = stem.lower(), w[len(stem) :]
+            elif (m := STEM(w.decode())) is not None:
+                key, tail = m[1].lower().encode(), m[2].encode()
+            else:
                 split.append(None)
                 whole.append(w)
-            else:
-                stem, tail = m[1].lower(), m[2]
-                split.append((stem, tail))
-                if stem not in stems:
-                    new[stem] = None
-                if tail and tail not in stems:
-                    new[tail] = None
-        stems.update(zip(new, self.words([x.encode() for x in new]), strict=True))
+                continue
+            split.append((key, tail))
+            if key not in stems:
+                stems[key] = np.array([t.id for t in self.model.tokenize(key.decode("latin-1").translate(BYTE_CHARS))], "<u4").tobytes()
+            if tail and tail not in stems:
+                tails[tail] = None
+        stems.update(zip(tails, self.words(list(tails)), strict=True))
         rest = iter(self.words(whole))
         return [next(rest) if x is None else stems[x[0]] + stems[x[1]] if x[1] else stems[x[0]] for x in split]
 
@@ -86,7 +96,7 @@ class WordTokenizer:
         cache, split = self.cache, [t.split() for t in texts]
         missing = list(set().union(*split) - cache.keys())
         long: dict[bytes, bytes] = {}
-        for w, ids in zip(missing, self.parts(missing), strict=True):
+        for w, ids in zip(missing, (self.parts if self.split else self.words)(missing), strict=True):
             (cache if len(w) <= CACHE_BYTES else long)[w] = ids
         if long:
             out = [b"".join([cache[w] if w in cache else long[w] for w in ws]) for ws in split]
