@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, media, packing, sentencepieces, sharding, simhash
+from . import dac, media, packing, sentencepieces, sharding, simhash, suffixarray
 
 SHARDS = 40
 
@@ -30,6 +30,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), digest=True)
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarray.remove_repeats(table(spark, sf_dir), digest=True)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -49,6 +53,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_suffix_array": op4_suffix_array,
     "op5_packing": op5_packing,
     "op7_token_binary": op7_token_binary,
     "op9_simhash": op9_simhash,
