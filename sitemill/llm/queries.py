@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dac, media, packing, sentencepieces, sharding, simhash, suffixarray
+from . import dac, gam, media, packing, rules, sentencepieces, sentences, sharding, simhash, suffixarray
+from .texts import held_out
 
 SHARDS = 40
 
@@ -30,18 +32,37 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), digest=True)
 
 
+#: A document counts as good from this chance on.
+GOOD = 0.7
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    scored = gam.score(docs, gam.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("kept.doc_id", held_out("kept.doc_id").alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixarray.remove_repeats(table(spark, sf_dir), digest=True)
+    return suffixarray.remove_repeats(table(spark, sf_dir), result="digest")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentences.remove_repeated_runs(table(spark, sf_dir))
+    return found.select("doc_id", "n_sentences", "n_removed", F.md5(F.encode("kept_text", "UTF-8")).alias("kept_md5"))
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_segments(dac.write_segments(table(spark, sf_dir), tokenizer_file("word_bpe_49k.json")))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir))
 
@@ -53,10 +74,14 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality": op3_quality,
     "op4_suffix_array": op4_suffix_array,
     "op5_packing": op5_packing,
+    "op6_sentences": op6_sentences,
     "op7_token_binary": op7_token_binary,
+    "op8_rules": op8_rules,
     "op9_simhash": op9_simhash,
     "op10_flac": op10_flac,
 }
-ORACLES: dict[str, str] = {}
+#: DuckDB has no CRC-32, tokenizer or suffix array; the other queries are tested by brute force.
+ORACLES: dict[str, str] = {"op6_sentences": sentences.SQL}

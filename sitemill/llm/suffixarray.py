@@ -24,14 +24,14 @@ equal 128-bit digests count as equal.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, shuffle_partitions, text_chunks
 
@@ -199,6 +199,12 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int32())), pa.array(last, pa.list_(pa.int32()))], ["value", "digest", "first", "last"])
 
 
+def _gram(length: int) -> int:
+    """The greatest power of two up to a quarter of ``length``: longer pieces
+    tell unlike texts apart, shorter ones make longer regions."""
+    return 1 << max(0, (length // 4).bit_length() - 1)
+
+
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -207,7 +213,7 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             cids = batch.column(0)
             for chunk in text_chunks(batch.column(1), 1 << 20):
-                row, lo, hi, value, inner = regions(chunk.data, chunk.offsets, length)
+                row, lo, hi, value, inner = regions(chunk.data, chunk.offsets, length, _gram(length))
                 if not len(row):
                     continue
                 names = cids.slice(chunk.lo, len(chunk)).to_pylist()
@@ -317,12 +323,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return hit.select("cid", ranges.alias("spans")).groupBy("cid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, result: str = "bytes", length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Removes every byte covered by a repeated string of ``length`` bytes.
 
-    Returns ``doc_id, n_bytes, n_removed, n_spans`` and ``kept`` (bytes; a cut
-    may part a character), or with ``digest`` its SHA-256 ``kept_sha256``;
-    columns of ``keep`` are carried along under their names. Null texts are
+    Returns ``doc_id, n_bytes, n_removed, n_spans`` and, by ``result``, the
+    ``bytes`` left as ``kept`` (a cut may part a character), their ``text`` as
+    ``kept_text`` (a parted character goes whole), or their SHA-256 as
+    ``kept_sha256`` (``digest``). Columns of ``keep`` are carried along under
+    their names. Null texts are
     empty; texts under ``length`` bytes keep all. All copies of a text are
     repeats of one another, and rows that repeat a text each count.
     """
@@ -335,9 +343,9 @@ def remove_repeats(docs: DataFrame, digest: bool = False, length: int = LENGTH,
     cuts = spans.union(copies).groupBy("cid").agg(F.flatten(F.collect_list("spans")).alias("spans")).select(F.col("cid").alias("of"), F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), cid.alias("cid"), F.struct(*([F.col(c) for c in extra] or [F.lit(0).alias("none")])).alias("extra"))
     joined = rows.join(cuts, F.col("cid") == F.col("of"), "left").select("doc_id", "text", "lo", "hi", "extra")
-    tail = "kept_sha256 string" if digest else "kept binary"
-    more = joined.schema["extra"].dataType.simpleString()
-    kind = joined.schema["doc_id"].dataType.simpleString()
+    tail = {"bytes": "kept binary", "text": "kept_text string", "digest": "kept_sha256 string"}[result]
+    form = {"bytes": bytes, "text": lambda raw: raw.decode("utf-8", "ignore"), "digest": lambda raw: hashlib.sha256(raw).hexdigest()}[result]
+    schema = T.StructType([joined.schema["doc_id"], *T.StructType.fromDDL(f"n_bytes long, n_removed long, n_spans long, {tail}"), joined.schema["extra"]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,9 +371,9 @@ def remove_repeats(docs: DataFrame, digest: bool = False, length: int = LENGTH,
                             removed += b - a
                         kept = b"".join([*parts, raw[at:]])
                         n_spans = len(merged)
-                    rows.append((len(raw), removed, n_spans, hashlib.sha256(kept).hexdigest() if digest else kept))
+                    rows.append((len(raw), removed, n_spans, form(kept)))
                 n, removed, n_spans, kept = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), *(pa.array(x, pa.int64()) for x in (n, removed, n_spans)), pa.array(kept, pa.string() if digest else pa.binary()), batch.column(4).slice(chunk.lo, len(chunk))], ["doc_id", "n_bytes", "n_removed", "n_spans", tail.split()[0], "extra"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), *(pa.array(x, pa.int64()) for x in (n, removed, n_spans)), pa.array(kept, pa.binary() if result == "bytes" else pa.string()), batch.column(4).slice(chunk.lo, len(chunk))], ["doc_id", "n_bytes", "n_removed", "n_spans", tail.split()[0], "extra"])
 
-    out = joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {tail}, extra {more}")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", tail.split()[0], *[F.col(f"extra.{c}").alias(c) for c in extra])
+    out = joined.mapInArrow(run, schema)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", tail.split()[0], *[F.col(f"extra.`{c}`").alias(c) for c in extra])

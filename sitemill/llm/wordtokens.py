@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 
@@ -24,6 +25,7 @@ TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"
 #: How byte-level files spell bytes: printable Latin-1 as itself, the rest from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: b if b in _SHOWN else 256 + sum(c not in _SHOWN for c in range(b)) for b in range(256)}
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class WordTokenizer:
@@ -66,7 +68,7 @@ class WordTokenizer:
         """Ids of each word, where a word of composed Latin letters and then
         punctuation is two pre-tokens: its stem in lower case, which many
         words share and the library's model takes as it is, and its tail."""
-        stems, split, whole, tails = self.stems, [], [], {}
+        stems, split, whole, tails, ask = self.stems, [], [], {}, self.model.tokenize
         for w in words:
             stem = w.rstrip(TAIL)
             if stem.isalpha():
@@ -79,7 +81,8 @@ class WordTokenizer:
                 continue
             split.append((key, tail))
             if key not in stems:
-                stems[key] = np.array([t.id for t in self.model.tokenize(key.decode("latin-1").translate(BYTE_CHARS))], "<u4").tobytes()
+                ids = [t.id for t in ask(key.decode("latin-1").translate(BYTE_CHARS) if not key.isascii() else key.decode())]
+                stems[key] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
             if tail and tail not in stems:
                 tails[tail] = None
         stems.update(zip(tails, self.words(list(tails)), strict=True))
