@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from .plans import evaluation_queries, federated_queries, record_queries
+
+MODULES = (record_queries, federated_queries, evaluation_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
