@@ -9,7 +9,6 @@ only now and then. ``check_spacing`` proves on start that a file is of this kind
 from __future__ import annotations
 
 import json
-import re
 import struct
 
 import numpy as np
@@ -19,8 +18,9 @@ CACHE_WORDS, CACHE_BYTES = 800_000, 64
 
 #: A punctuation mark that stands alone between words sent together, and how many go together.
 MARK, RUN = "|", 500
-#: Letters that NFC and lower-casing map one to one, then no letter, number, space or apostrophe.
-STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: The last character whose letters NFC and lower-casing map one to one; a tail
+#: has no letter, number, space or apostrophe.
+LAST = "ÿ"
 TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 #: How byte-level files spell bytes: printable Latin-1 as itself, the rest from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -42,7 +42,7 @@ class WordTokenizer:
         self.model = self.lib.model
         alone = np.frombuffer(self._ask([MARK])[0], "<u4")
         self.mark = int(alone[0]) if len(alone) == 1 else None
-        probe = ["straße", "Édouà", "ABCdefthing", "ÿþñ", "x"]
+        probe = ["straße", "ªµº", "can't.", "Édouà", "ABCdefthing", "ÿþñ", "x"]
         self.split = self.by_word and self.parts([w.encode() for w in probe]) == self._ask(probe)
         self.stems.clear()
 
@@ -68,26 +68,31 @@ class WordTokenizer:
         """Ids of each word, where a word of composed Latin letters and then
         punctuation is two pre-tokens: its stem in lower case, which many
         words share and the library's model takes as it is, and its tail."""
-        stems, split, whole, tails, ask = self.stems, [], [], {}, self.model.tokenize
+        stems, ask, out, whole = self.stems, self.model.tokenize, [], []
         for w in words:
             stem = w.rstrip(TAIL)
             if stem.isalpha():
-                key, tail = stem.lower(), w[len(stem) :]
-            elif (m := STEM(w.decode())) is not None:
-                key, tail = m[1].lower().encode(), m[2].encode()
+                key = stem.lower()
+            elif (text := stem.decode()).isalpha() and max(text) <= LAST:
+                key = text.lower().encode()
             else:
-                split.append(None)
-                whole.append(w)
+                whole.append(len(out))
+                out.append(w)
                 continue
-            split.append((key, tail))
-            if key not in stems:
-                ids = [t.id for t in ask(key.decode("latin-1").translate(BYTE_CHARS) if not key.isascii() else key.decode())]
-                stems[key] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
-            if tail and tail not in stems:
-                tails[tail] = None
-        stems.update(zip(tails, self.words(list(tails)), strict=True))
-        rest = iter(self.words(whole))
-        return [next(rest) if x is None else stems[x[0]] + stems[x[1]] if x[1] else stems[x[0]] for x in split]
+            ids = stems.get(key)
+            if ids is None:
+                got = [t.id for t in ask(key.decode() if key.isascii() else key.decode("latin-1").translate(BYTE_CHARS))]
+                ids = stems[key] = PACK[len(got)](*got) if len(got) < len(PACK) else np.array(got, "<u4").tobytes()
+            if len(stem) < len(w):
+                tail = w[len(stem) :]
+                more = stems.get(tail)
+                if more is None:
+                    more = stems[tail] = self.words([tail])[0]
+                ids += more
+            out.append(ids)
+        for i, ids in zip(whole, self.words([out[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
