@@ -171,8 +171,9 @@ def _meet(fps: np.ndarray, pair: int, point: int) -> tuple[np.ndarray, np.ndarra
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """``a, b``: verified links that join the same fingerprints as all links
-    do. One shuffle of 17-byte rows, 130 for each fingerprint."""
+    """``a, b``: edges that join just the fingerprints that links join; at each
+    point a member is tied to the first of those that its links reach. One
+    shuffle of 17-byte rows, 130 for each fingerprint."""
     spark = distinct.sparkSession
     met = balls(distinct).repartition(shuffle_partitions(spark), "pair", "point").sortWithinPartitions("pair", "point", "fp")
 
