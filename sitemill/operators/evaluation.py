@@ -12,7 +12,7 @@ from ..storage import cut
 def accuracy(predictions: DataFrame, by: list[str]) -> DataFrame:
     """``by, accuracy, correct, total, unparsed``; -1 never matches."""
     right = F.count_if(F.col("pred") == F.col("label"))
-    return predictions.groupBy(*by).agg(F.coalesce(right / F.count("*"), F.lit(0.0)).alias("accuracy"), right.alias("correct"), F.count("*").alias("total"), F.count_if(F.col("pred") < 0).alias("unparsed"))
+    return predictions.groupBy(*by).agg(F.coalesce(F.try_divide(right, F.count("*")), F.lit(0.0)).alias("accuracy"), right.alias("correct"), F.count("*").alias("total"), F.count_if(F.col("pred") < 0).alias("unparsed"))
 
 
 def accuracy_delta(accuracies: DataFrame, base: object, tuned: object) -> DataFrame:

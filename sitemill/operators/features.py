@@ -17,8 +17,8 @@ def mask_drop_impute(long: DataFrame, row: str, feature: str, value: str, train:
     """``row, feature, value`` of the features that at most ``most_missing`` of
     the training rows lack, missing values filled with the training median."""
     fit = long.where(F.col(train)).groupBy(feature).agg(F.avg(F.col(value).isNull().cast("double")).alias("lost"), F.percentile(value, F.lit(0.5)).alias("median"))
-    kept = fit.where(F.col("lost") <= most_missing).select(F.col(feature).alias("f"), "median")
-    return long.join(F.broadcast(kept), F.col(feature) == F.col("f")).select(row, feature, F.coalesce(F.col(value), F.col("median")).alias(value))
+    kept = fit.where(F.col("lost") <= most_missing).select(F.col(feature).alias("_kept"), "median")
+    return long.join(F.broadcast(kept), F.col(feature) == F.col("_kept")).select(row, feature, F.coalesce(F.col(value), F.col("median")).alias(value))
 
 
 def top_fraction(scores: DataFrame, name: str, score: str, fraction: float) -> DataFrame:

@@ -38,7 +38,7 @@ def train_sites(data: DataFrame, bank: DataFrame, ranks: DataFrame, trainer: Tra
 
     def one(rows: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(factors):
-            return pd.DataFrame({"site": [], "factor": [], "r": [], "vec": [], "loss": [], "n": []})
+            return pd.DataFrame(columns=["site", "factor", "r", "vec", "loss", "n"], dtype=object)
         sides = {f: np.stack(factors[factors["factor"] == f].sort_values("r")["vec"].to_list()) for f in ("A", "B")}
         new, loss = trainer(rows, {"A": sides["A"], "B": sides["B"].T})
         out = [(rows["site"].iloc[0], f, r, v.tolist(), loss, len(rows)) for f, m in (("A", new["A"]), ("B", new["B"].T)) for r, v in enumerate(m)]
