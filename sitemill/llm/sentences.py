@@ -73,6 +73,7 @@ def remove_repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id"
     names = [rows.schema["doc_id"], rows.schema["cid"]]
     runs = materialize(rows.mapInArrow(emit, T.StructType([*names, *T.StructType.fromDDL("place int, key binary")])), "runs")
     first = runs.groupBy("key").agg(F.min(F.struct("doc_id", "cid", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "first")
+    first = materialize(first, "first")  # so that a hot run's rows can be split in the join
     later = runs.join(first, F.col("key") == F.col("k")).where(~F.struct("doc_id", "cid", "place").eqNullSafe(F.col("first")))
     marks = later.groupBy("doc_id", "cid").agg(F.collect_set("place").alias("places")).select(F.col("doc_id").alias("of_id"), F.col("cid").alias("of_cid"), "places")
     joined = rows.join(marks, (F.col("cid") == F.col("of_cid")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left").select("doc_id", "text", "places")
