@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .sampling import medians, ordered_rank
+
 
 def masked(value: Column, p: Column, most: float = 0.01) -> Column:
     """The value, or null where its quality test's p is over ``most``."""
@@ -16,16 +18,17 @@ def masked(value: Column, p: Column, most: float = 0.01) -> Column:
 def mask_drop_impute(long: DataFrame, row: str, feature: str, value: str, train: str, most_missing: float = 0.05) -> DataFrame:
     """``row, feature, value`` of the features that at most ``most_missing`` of
     the training rows lack, missing values filled with the training median."""
-    fit = long.where(F.col(train)).groupBy(feature).agg(F.avg(F.col(value).isNull().cast("double")).alias("lost"), F.percentile(value, F.lit(0.5)).alias("median"))
-    kept = fit.where(F.col("lost") <= most_missing).select(F.col(feature).alias("_kept"), "median")
+    training = long.where(F.col(train))
+    lost = training.groupBy(feature).agg(F.avg(F.col(value).isNull().cast("double")).alias("lost")).where(F.col("lost") <= most_missing)
+    kept = lost.join(medians(training, feature, value), feature, "left").select(F.col(feature).alias("_kept"), "median")
     return long.join(F.broadcast(kept), F.col(feature) == F.col("_kept")).select(row, feature, F.coalesce(F.col(value), F.col("median")).alias(value))
 
 
 def top_fraction(scores: DataFrame, name: str, score: str, fraction: float) -> DataFrame:
     """The ceil(fraction * n) names of the highest scores, ties by name."""
-    total = scores.count()
-    most = -int(-(total * fraction) // 1)
-    return scores.orderBy(F.col(score).desc(), name).limit(most)
+    ranked = ordered_rank(scores, [F.col(score).desc(), F.col(name)])
+    most = ranked.agg(F.ceil(F.count("*") * F.lit(float(fraction))).alias("most"))
+    return ranked.crossJoin(F.broadcast(most)).where("place <= most").drop("place", "most")
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.scalars import hash_order
+from ..storage import cut
 
 #: Hex digits of the hash that deal rows to 4,096 even buckets.
 DIGITS = 3
@@ -31,6 +32,29 @@ def hash_rank(df: DataFrame, key: str, seed: int, name: str = "pos", within: lis
     return hashed.withColumn("_r", inside).join(F.broadcast(before), same).withColumn(name, (F.col("_o") + F.col("_r")).cast("long")).drop("_h", "_b", "_c", "_o", "_r", *[f"_g{i}" for i in range(len(group))])
 
 
+def ordered_rank(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, in the order of ``order``, without a
+    single-task sort: rows are dealt by ranges and sorted there, and a place is
+    that in its range plus the rows of the ranges before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(W.Window.orderBy("_p")) - F.col("_n")).alias("_o"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), part == F.col("_p")).withColumn(name, F.col("_o") + inside + 1).drop("_at", "_p", "_o")
+
+
+def medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``group, median``: exact medians of the values that are not null. Groups
+    of any size are ranked by many tasks; their counts are a small table."""
+    ranked = ordered_rank(df.where(F.col(value).isNotNull()).select(group, value), [group, value], "_k")
+    spans = ranked.groupBy(group).agg(F.min("_k").alias("_lo"), F.count("*").alias("_n")).select(F.col(group).alias("_g"), "_lo", "_n")
+    at = F.col("_k") - F.col("_lo")
+    middle = ranked.join(F.broadcast(spans), F.col(group) == F.col("_g")).where((at == F.expr("(_n - 1) div 2")) | (at == F.expr("_n div 2")))
+    return middle.groupBy(group).agg(F.avg(value).alias("median"))
+
+
 def sample(df: DataFrame, key: str, most: int | None, seed: int) -> DataFrame:
     """The first ``most`` rows in hash order with their ``pos``; all of them
     if it is none or not positive. A bounded sample is a top-k, not a sort."""
