@@ -21,13 +21,26 @@ def accuracy_delta(accuracies: DataFrame, base: object, tuned: object) -> DataFr
     return accuracies.agg(pick(base).alias("base"), pick(tuned).alias("tuned")).where("base IS NOT NULL AND tuned IS NOT NULL").withColumn("delta", F.col("tuned") - F.col("base"))
 
 
+#: Rows whose running counts one task makes.
+BLOCK = 1 << 16
+
+
 def progress(predictions: DataFrame, by: str, order: str, every: int) -> DataFrame:
     """Running counts at the first, each ``every``-th and the last row of each
-    model. ``order`` is the rows' place from 1, which the caller has ranked."""
-    so_far = W.Window.partitionBy(by).orderBy(order).rowsBetween(W.Window.unboundedPreceding, 0)
-    last = F.max(order).over(W.Window.partitionBy(by))
-    counted = predictions.withColumn("correct_so_far", F.count_if(F.col("pred") == F.col("label")).over(so_far)).withColumn("unparsed", F.count_if(F.col("pred") < 0).over(so_far)).withColumn("last", last)
-    return counted.where((F.col(order) == 1) | (F.col(order) == F.col("last")) | (F.col(order) % every == 0)).select(by, F.col(order).alias("idx"), "correct_so_far", "unparsed")
+    model. ``order`` is the rows' place from 1, which the caller has ranked.
+
+    Places are cut into blocks; counts run inside a block and add those of the
+    blocks before, a table of a row for each ``BLOCK`` rows.
+    """
+    rows = cut(predictions.select(by, order, (F.col("pred") == F.col("label")).cast("long").alias("hit"), (F.col("pred") < 0).cast("long").alias("lost"), F.floor((F.col(order) - 1) / BLOCK).alias("block")), "progress")
+    sums = rows.groupBy(by, "block").agg(F.sum("hit").alias("h"), F.sum("lost").alias("l"), F.max(order).alias("top"))
+    before = W.Window.partitionBy(by).orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
+    bases = sums.select(F.col(by).alias("of"), F.col("block").alias("b"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"), F.coalesce(F.sum("l").over(before), F.lit(0)).alias("l0"), F.max("top").over(W.Window.partitionBy(by)).alias("last"))
+    inside = W.Window.partitionBy(by, "block").orderBy(order)
+    counted = rows.withColumn("h", F.sum("hit").over(inside)).withColumn("l", F.sum("lost").over(inside))
+    joined = counted.join(F.broadcast(bases), (F.col(by).eqNullSafe(F.col("of"))) & (F.col("block") == F.col("b")))
+    shown = (F.col(order) == 1) | (F.col(order) == F.col("last")) | (F.col(order) % every == 0)
+    return joined.where(shown).select(by, F.col(order).alias("idx"), (F.col("h") + F.col("h0")).alias("correct_so_far"), (F.col("l") + F.col("l0")).alias("unparsed"))
 
 
 def batch_of(place: Column, size: int) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .sampling import medians, ordered_rank
 
@@ -60,8 +59,3 @@ def spaced(tiles: DataFrame, group: str, score: str, x: str, y: str, width: floa
         return picked
 
     return tiles.select(group, score, x, y).groupBy(group).applyInPandas(lambda rows: choose(rows), schema)
-
-
-def ranked(df: DataFrame, by: str, order: list) -> DataFrame:
-    """Rows with their place in their group, for the first few of each."""
-    return df.withColumn("place", F.row_number().over(W.Window.partitionBy(by).orderBy(*order)))
