@@ -22,10 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sitemill-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` and reads it back: lineage ends there, nothing upstream
-    runs twice, and a lost executor costs a reread."""
+    runs twice, and a lost executor costs a reread. The tables of an
+    application lie in one folder; ``clear`` removes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has cut, once its results are used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

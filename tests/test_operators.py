@@ -1,4 +1,5 @@
 import json
+import os
 import zipfile
 from collections import Counter
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitemill import storage
 from sitemill.functions import scalars as S
 from sitemill.operators import adapters, aggregation, evaluation, features, histograms, sampling, splits
 from sitemill.plans import fixtures, predict, rounds
@@ -61,6 +63,14 @@ def test_hash_rank_is_the_sorted_place(spark):
         assert [r["id"] for r in own] == sorted((r["id"] for r in own), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
 
 
+def test_cut_tables_are_cleared(spark):
+    table = storage.cut(spark.range(5), "five")
+    folder = table.inputFiles()[0]
+    assert table.count() == 5 and f"sitemill-{spark.sparkContext.applicationId}" in folder
+    storage.clear(spark)
+    assert not os.path.exists(folder.removeprefix("file://"))
+
+
 def test_samples(spark):
     rows = spark.range(20)
     assert sampling.sample(rows, "id", 0, 1).count() == sampling.sample(rows, "id", None, 1).count() == 20
