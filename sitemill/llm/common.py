@@ -3,48 +3,52 @@ shares, written tables that cut lineage, and Arrow text buffers as numpy."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that a Python worker handles at a time.
-CHUNK_BYTES = 1 << 22
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+from ..storage import cut
 
-    Only where the session names none (tests, a notebook on one machine) is a
-    temporary local folder made and set as the checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="sitemill-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+#: Text bytes that a Python worker handles at a time.
+CHUNK_BYTES = 1 << 21
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back, so
     that a lost executor costs a reread and no operator runs twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, f"llm-{label}")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+_owner: list = ["", None]
+
+
+def enter(name: str, leave: Callable[[], None] | None = None) -> None:
+    """Says which operator a Python worker now works for.
+
+    Spark reuses workers, so what one operator keeps between tasks (tables of
+    words) would stay while another runs. On a change the former's ``leave`` is
+    called and freed memory goes back to the system.
+    """
+    if _owner[0] == name:
+        return
+    if _owner[1] is not None:
+        _owner[1]()
+    _owner[:] = name, leave
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class TextChunk:
     """Consecutive rows of a text column: their UTF-8 bytes without copying.
 
@@ -68,9 +72,11 @@ class TextChunk:
             yield whole[a:b]
 
 
-def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[TextChunk]:
+def text_chunks(column: pa.Array, most: int = CHUNK_BYTES, operator: str | None = None) -> Iterator[TextChunk]:
     """Cuts a string column into runs of rows of about ``most`` bytes; a longer
     text is a run of its own and is never cut."""
+    if operator is not None:
+        enter(operator)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, text_chunks
-from .wordtokens import word_tokenizer
+from .wordtokens import SPLIT_BYTES, word_tokenizer
 
 CHUNK, BLOCK_WORDS = 8, 8
 #: Ids of a segment at which it is closed.
@@ -153,7 +153,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 2, segmen
 
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
-            for chunk in text_chunks(batch.column(1)):
+            for chunk in text_chunks(batch.column(1), SPLIT_BYTES):
                 for name, ids in zip(ids_of[chunk.lo : chunk.hi], tokenizer.encode(list(chunk.rows())), strict=True):
                     held.append(ids + end)
                     names.append(name)

@@ -32,7 +32,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column(1), MOST):
+            for chunk in text_chunks(batch.column(1), MOST, "media"):
                 media = flac.encode([payload(t) for t in chunk.rows()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), pa.array(np.diff(chunk.offsets)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -95,7 +95,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column(1), MOST):
+            for chunk in text_chunks(batch.column(1), MOST, "media"):
                 media = flac.encode([payload(t) for t in chunk.rows()])
                 rows = []
                 for raw, stream in zip(media, flac.decode(media), strict=True):

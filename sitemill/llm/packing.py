@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_chunks
-from .wordtokens import word_tokenizer
+from .wordtokens import SPLIT_BYTES, word_tokenizer
 
 #: Pieces of a group that are balanced together.
 GROUP_PIECES = 1024
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for chunk in text_chunks(batch.column(1)):
+            for chunk in text_chunks(batch.column(1), SPLIT_BYTES):
                 rows = []
                 for k, ids in enumerate(tokenizer.encode(list(chunk.rows()))):
                     ids += end

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_chunks
+from .common import enter, text_chunks
 
 SPACE = "▁"
 #: Words whose ids a worker keeps, and the longest word kept, in characters.
@@ -257,6 +257,7 @@ _models: dict[str, PieceModel] = {}
 
 def piece_model(path: str) -> PieceModel:
     """The model of a file, made once in each worker."""
+    enter("pieces", _models.clear)
     if path not in _models:
         _models[path] = PieceModel(path)
     return _models[path]

@@ -84,7 +84,7 @@ def map_texts(docs: DataFrame, keep: list[str], schema: str, work: Callable[[Tex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column(1)):
+            for chunk in text_chunks(batch.column(1), operator="texts"):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), *work(chunk)], names)
 
     return rows.mapInArrow(run, out)

@@ -13,8 +13,12 @@ import struct
 
 import numpy as np
 
-#: Words whose ids a worker keeps, and the longest word kept, in bytes.
-CACHE_WORDS, CACHE_BYTES = 800_000, 64
+from .common import enter
+
+#: Words and stems whose ids a worker keeps, and the longest word kept, in bytes.
+CACHE_WORDS, CACHE_STEMS, CACHE_BYTES = 600_000, 400_000, 64
+#: Bytes of text that are split into words at a time.
+SPLIT_BYTES = 1 << 22
 
 #: A punctuation mark that stands alone between words sent together, and how many go together.
 MARK, RUN = "|", 500
@@ -110,9 +114,10 @@ class WordTokenizer:
             out = [b"".join([cache[w] if w in cache else long[w] for w in ws]) for ws in split]
         else:
             out = [b"".join(map(cache.__getitem__, ws)) for ws in split]
-        for held in (cache, self.stems):
-            if len(held) > CACHE_WORDS:
-                held.clear()
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        if len(self.stems) > CACHE_STEMS:
+            self.stems.clear()
         return out
 
 
@@ -132,6 +137,7 @@ _held: dict[str, WordTokenizer] = {}
 
 def word_tokenizer(path: str) -> WordTokenizer:
     """The tokenizer of a file, made once in each worker."""
+    enter("word tokens", _held.clear)
     if path not in _held:
         import os
 
