@@ -16,6 +16,7 @@ prefix of ``LENGTH`` bytes are repeats.
 A value with more than ``MOST_REGIONS`` different regions (the edges of a
 passage that very many documents share) is not given to one task: its starts
 are dealt once more, by the digest of their own ``LENGTH`` bytes, and counted.
+What repeats is the same either way; only where it is found out differs.
 
 Texts are told apart by their MD5, so null and repeated ids do no harm, and
 copies of a text are counted and then treated once. Regions and strings with
@@ -38,6 +39,8 @@ from .common import materialize, shuffle_partitions, text_chunks
 LENGTH, GRAM = 400, 64
 #: Starts of a region at which it is cut, regions of a value that go to one task, and bytes sorted together.
 MOST_STARTS, MOST_REGIONS, TOGETHER = 1024, 512, 1 << 17
+#: Digests of strings that one bucket of a hot value's count holds, about.
+BUCKET = 1 << 20
 _BYTES = np.random.default_rng(7).integers(1 << 63, size=256, dtype=np.uint64)
 _ODD = np.random.default_rng(11).integers(1 << 63, size=16, dtype=np.uint64) | np.uint64(1)
 
@@ -212,7 +215,7 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
         seen: set[bytes] = set()  # 16 bytes for each different text of the task
         for batch in batches:
             cids = batch.column(0)
-            for chunk in text_chunks(batch.column(1), 1 << 20):
+            for chunk in text_chunks(batch.column(1), 1 << 20, "suffix array"):
                 row, lo, hi, value, inner = regions(chunk.data, chunk.offsets, length, _gram(length))
                 if not len(row):
                     continue
@@ -282,27 +285,90 @@ def _sorted_spans(bodies: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, _SPANS)
 
 
+def _window_digests(body: bytes, length: int) -> bytes:
+    import xxhash
+
+    return b"".join([xxhash.xxh3_128_digest(body[i : i + length]) for i in range(len(body) - length + 1)])
+
+
 def _counted_spans(bodies: DataFrame, length: int) -> DataFrame:
     """Repeats among the regions of hot values, by counts of every start's
-    own string; no task gets a whole value."""
+    own string; no task gets a whole value.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    Digests of strings travel in blocks, a row for each bucket of digests and
+    run of regions, so rows don't grow with the strings. Buckets are as many
+    as keep one at about ``BUCKET`` digests; copies of a string are in one
+    bucket, and a bucket holds all digests that begin alike, from any value.
+    """
+    spark = bodies.sparkSession
+    once = materialize(bodies.select("value", "digest", "body").dropDuplicates(["value", "digest"]), "hot")
+    total = once.agg(F.coalesce(F.sum(F.octet_length("body") - (length - 1)), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(1, -(-total // BUCKET))
+    block = "bucket int, value array<long>, digest array<binary>, region binary, start binary, strings binary"
 
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value, digest, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                n = len(body) - length + 1
-                keys = [xxhash.xxh3_128_digest(body[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([value] * n, pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(range(n), pa.int32())], ["string", "value", "digest", "start"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                held = [_window_digests(body, length) for body in part.column(2).to_pylist()]
+                sizes = np.fromiter((len(h) // 16 for h in held), np.int64, len(held))
+                strings = np.frombuffer(b"".join(held), "<u8").reshape(-1, 2)
+                region = np.repeat(np.arange(len(held), dtype="<u2"), sizes)
+                start = (np.arange(len(strings)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype("<u4")
+                bucket = (strings[:, 0] % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                names, heads = np.unique(bucket[by], return_index=True)
+                cuts = [by[a:b] for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(by)], strict=True)]
+                n = len(cuts)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([part.column(i).to_pylist()] * n, kind) for i, kind in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.binary())))), *(pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (region, start, strings))], [x.split()[0] for x in block.split(", ")])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def close() -> list[tuple]:
+            strings = np.concatenate([np.frombuffer(h["strings"], "<u8").reshape(-1, 2) for h in held])
+            by = np.lexsort((strings[:, 1], strings[:, 0]))
+            same = (strings[by[1:]] == strings[by[:-1]]).all(1)
+            hit = np.zeros(len(strings), bool)
+            hit[by[1:][same]] = True
+            hit[by[:-1][same]] = True
+            rows, at = [], 0
+            for h in held:
+                region, start = np.frombuffer(h["region"], "<u2"), np.frombuffer(h["start"], "<u4")
+                own = hit[at : at + len(region)]
+                at += len(region)
+                region, start = region[own], start[own]
+                for r in np.unique(region).tolist():
+                    rows.append((h["value"][r], h["digest"][r], start[region == r].astype("<u4").tobytes()))
+            held.clear()
+            return rows
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            value, digest, starts = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(digest, pa.binary()), pa.array(starts, pa.binary())], ["value", "digest", "starts"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["bucket"] != held[0]["bucket"] and (rows := close()):
+                    yield batch_of(rows)
+                held.append(row)
+        if held and (rows := close()):
+            yield batch_of(rows)
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for value, digest, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                starts = np.frombuffer(b"".join(parts), "<u4")
+                hit = np.zeros(int(starts.max()) + 1, bool)
+                hit[starts] = True
+                rows.append((value, digest, *_intervals(hit)))
+            if rows:
+                yield _span_batch(rows)
 
-    once = bodies.select("value", "digest", "body").dropDuplicates(["value", "digest"])
-    starts = once.mapInArrow(run, "string binary, value long, digest binary, start int")
-    # a string's first and last holder tell whether it repeats; holders join back only where it does
-    twice = starts.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    hits = starts.join(twice, "string", "left_semi").groupBy("value", "digest").agg(F.sort_array(F.collect_list("start")).alias("at"))
-    first = F.filter("at", lambda x: ~F.array_contains(F.col("at"), x - 1))
-    last = F.filter("at", lambda x: ~F.array_contains(F.col("at"), x + 1))
-    return hits.select("value", "digest", first.alias("first"), last.alias("last"))
+    dealt = once.mapInArrow(deal, block).repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
+    hits = dealt.mapInArrow(count, "value long, digest binary, starts binary")
+    return hits.groupBy("value", "digest").agg(F.collect_list("starts").alias("starts")).mapInArrow(join, _SPANS)
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -310,14 +376,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     to remove, not yet merged. Texts without any are absent."""
     found = materialize(_anchors(texts, length), "anchors")
     again = found.groupBy("value").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 OR inner").select("value")
+    again = materialize(again, "again")  # so that a hot value's rows can be split in the join
     held = materialize(found.join(again, "value", "left_semi").dropDuplicates(["cid", "lo"]), "regions")
     kinds = materialize(held.groupBy("value", "digest").agg(F.count("*").alias("n"), F.max("inner").alias("inner"), F.min(F.struct("cid", "lo", "hi")).alias("at")), "kinds")
     several = kinds.groupBy("value").agg(F.count("*").alias("kinds"), F.max("inner").alias("any_inner")).where("kinds > 1 OR any_inner").select("value", (F.col("kinds") > MOST_REGIONS).alias("hot"))
     wanted = kinds.join(several, "value").groupBy(F.col("at.cid").alias("of")).agg(F.collect_list(F.struct("value", "digest", "hot", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))).alias("want"))
+    wanted = materialize(wanted, "wanted")
     bodies = materialize(_extract(texts.join(wanted, F.col("cid") == F.col("of")).select("cid", "text", "want"), length), "bodies")
     whole = kinds.where("n > 1").select("value", "digest", F.array(F.lit(0)).alias("first"), F.array(F.col("at.hi") - F.col("at.lo")).alias("last"))
     some = _sorted_spans(bodies.where("not hot"), length).union(_counted_spans(bodies.where("hot"), length))
-    spans = whole.union(some).select(F.col("value").alias("v"), F.col("digest").alias("d"), "first", "last")
+    spans = materialize(whole.union(some).select(F.col("value").alias("v"), F.col("digest").alias("d"), "first", "last"), "spans")
     hit = held.join(spans, (F.col("value") == F.col("v")) & (F.col("digest") == F.col("d")))
     ranges = F.transform(F.arrays_zip("first", "last"), lambda x: F.struct((F.col("lo") + x["first"]).alias("lo"), (F.col("lo") + x["last"] + length).alias("hi")))
     return hit.select("cid", ranges.alias("spans")).groupBy("cid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -341,6 +409,7 @@ def remove_repeats(docs: DataFrame, result: str = "bytes", length: int = LENGTH,
     spans = repeated_spans(texts, length)
     copies = texts.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select("cid", F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"))).alias("spans"))
     cuts = spans.union(copies).groupBy("cid").agg(F.flatten(F.collect_list("spans")).alias("spans")).select(F.col("cid").alias("of"), F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
+    cuts = materialize(cuts, "cuts")  # so that many copies of a text can be split in the join
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), cid.alias("cid"), F.struct(*([F.col(c) for c in extra] or [F.lit(0).alias("none")])).alias("extra"))
     joined = rows.join(cuts, F.col("cid") == F.col("of"), "left").select("doc_id", "text", "lo", "hi", "extra")
     tail = {"bytes": "kept binary", "text": "kept_text string", "digest": "kept_sha256 string"}[result]
@@ -350,7 +419,7 @@ def remove_repeats(docs: DataFrame, result: str = "bytes", length: int = LENGTH,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, stops = batch.column(2), batch.column(3)
-            for chunk in text_chunks(batch.column(1), 1 << 20):
+            for chunk in text_chunks(batch.column(1), 1 << 20, "suffix array"):
                 rows = []
                 for k, raw in enumerate(chunk.rows()):
                     lo = starts[chunk.lo + k].as_py()
