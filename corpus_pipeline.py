@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sitemill.llm import gam, packing, rules, simhash, suffixarray
+from sitemill.llm import gam, nearcopies, packing, rules, suffixarray
 from sitemill.llm.common import materialize
 from sitemill.llm.queries import GOOD, table, tokenizer_file
 
@@ -37,22 +37,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the least id, or
     of rows without one the least text digest. Rows that agree in id and text
-    are one document."""
+    are one document. Fingerprints of runs of five words link at four bits;
+    documents that share a part also at a similarity of 0.8."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("key of row", F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.md5(F.encode(text, "UTF-8")).alias("digest")))
-    groups = simhash.near_duplicates(keyed, id_col="key of row")
-    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("chosen")).distinct()
-    first = F.row_number().over(W.Window.partitionBy("key of row").orderBy("key of row"))
-    held = keyed.join(chosen, F.col("key of row").eqNullSafe(F.col("chosen")), "left_semi").withColumn("nth of key", first)
-    return held.where(F.col("nth of key") == 1).select(docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.md5(F.encode(text, "UTF-8")).alias("digest"))
+    keyed = docs.select(F.struct(*docs.columns).alias("held"), key.alias("key"), "text")  # in a struct no name can clash
+    groups = nearcopies.near_copies(keyed, "key")
+    chosen = groups.where(F.col("key").eqNullSafe(F.col("component_key"))).select(F.col("key").alias("chosen")).distinct()
+    kept = keyed.select("held", "key").join(chosen, F.col("key").eqNullSafe(F.col("chosen")), "left_semi")
+    return kept.withColumn("nth", F.row_number().over(W.Window.partitionBy("key").orderBy("key"))).where("nth = 1").select("held.*")
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every passage of ``PASSAGE`` bytes that is found elsewhere too out
     of all texts that hold it. A document may be left empty."""
-    cut = suffixarray.remove_repeats(docs, result="text", length=PASSAGE, keep=[c for c in docs.columns if c != "doc_id" and c != "text"])
-    changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("n_chars"))}
-    return cut.select(*[changed.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    held = docs.select("doc_id", "text", F.struct(*docs.columns).alias("held"))
+    cut = suffixarray.remove_repeats(held, result="text", length=PASSAGE, keep=["held"])
+    changed = {"text": "kept_text", "n_chars": "char_length(kept_text)"}
+    return cut.select(*[(F.when(F.col("n_removed") > 0, F.expr(changed[c])).otherwise(F.col(f"held.`{c}`")) if c in changed else F.col(f"held.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

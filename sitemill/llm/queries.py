@@ -51,8 +51,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentences.remove_repeated_runs(table(spark, sf_dir))
-    return found.select("doc_id", "n_sentences", "n_removed", F.md5(F.encode("kept_text", "UTF-8")).alias("kept_md5"))
+    return sentences.remove_repeated_runs(table(spark, sf_dir))
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

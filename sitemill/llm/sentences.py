@@ -65,7 +65,7 @@ def remove_repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id"
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column(2), 1 << 20):
+            for chunk in text_chunks(batch.column(2), 1 << 20, "sentences"):
                 of, own = runs_of(chunk)
                 at = pa.array(of + chunk.lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *own], ["doc_id", "cid", "place", "key"])
@@ -81,14 +81,14 @@ def remove_repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id"
     def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = batch.column(2)
-            for chunk in text_chunks(batch.column(1), 1 << 20):
+            for chunk in text_chunks(batch.column(1), 1 << 20, "sentences"):
                 n, gone, kept = zip(*(without(t, places[chunk.lo + k].as_py() or [], run) for k, t in enumerate(chunk.rows())), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], ["doc_id", "n_sentences", "n_removed", "kept_text"])
 
     return joined.mapInArrow(rebuild, T.StructType([names[0], *T.StructType.fromDDL("n_sentences long, n_removed long, kept_text string")]))
 
 
-#: The same in DuckDB over the table ``documents``, with a digest of the text.
+#: The same in DuckDB over the table ``documents``.
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS cid,
@@ -108,6 +108,6 @@ g AS (
     FROM m JOIN (SELECT DISTINCT doc_id, cid, parts FROM r) r ON m.cid = r.cid AND m.doc_id IS NOT DISTINCT FROM r.doc_id)),
 l AS (SELECT doc_id, cid, list(s) AS gone FROM g GROUP BY doc_id, cid)
 SELECT d.doc_id, CAST(len(d.parts) AS BIGINT) AS n_sentences, CAST(coalesce(len(l.gone), 0) AS BIGINT) AS n_removed,
-       md5(CASE WHEN l.gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(d.parts) + 1), lambda i: NOT list_contains(l.gone, i - 1)), lambda i: d.parts[i]), ''), '') END) AS kept_md5
+       CASE WHEN l.gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(d.parts) + 1), lambda i: NOT list_contains(l.gone, i - 1)), lambda i: d.parts[i]), ''), '') END AS kept_text
 FROM d LEFT JOIN l ON d.cid = l.cid AND d.doc_id IS NOT DISTINCT FROM l.doc_id
 """

@@ -38,13 +38,15 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """The fingerprint of a UTF-8 text by its runs of ``words`` words."""
+def shingle_hashes(text: bytes, words: int = WORDS) -> tuple[np.ndarray, bytes, list[int], list[int]]:
+    """XXH64 of each run of ``words`` words of a UTF-8 text in lower case (of
+    all of them, if they are fewer), the words joined by spaces, and where in
+    that each run begins and ends."""
     import xxhash
 
     parts = text.translate(_LOWER).split()  # bytes split at exactly those six
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64), b"", [], []
     whole = b" ".join(parts)
     n = max(1, len(parts) - words + 1)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -52,14 +54,23 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     starts = (ends - sizes).tolist()[:n]
     stops = ends.tolist()[min(words, len(parts)) - 1 :]
     one = xxhash.xxh64_intdigest
-    hashes = np.array([one(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    counts = np.zeros(64, np.int64)
+    return np.array([one(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64), whole, starts, stops
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 for none."""
+    counts, n = np.zeros(64, np.int64), len(hashes)
     for lo in range(0, n, 1 << 16):
         part = hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
 
 
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """The fingerprint of a UTF-8 text by its runs of ``words`` words."""
+    return majority(shingle_hashes(text, words)[0])
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long) of whole texts; null and
     blank texts have 0."""
@@ -67,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column(1)):
+            for chunk in text_chunks(batch.column(1), operator="simhash"):
                 got = np.array([fingerprint(t, words) for t in chunk.rows()], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), pa.array(got.view(np.int64))], ["doc_id", "fp"])
 
@@ -281,5 +292,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     roots = components(links(distinct.select("fp")))
     rooted = materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "roots")
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = rooted.join(named, "root").select(F.col("fp").alias("of_fp"), "component_id")
+    of = materialize(rooted.join(named, "root").select(F.col("fp").alias("of_fp"), "component_id"), "names")
     return own.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
