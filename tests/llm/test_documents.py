@@ -136,6 +136,21 @@ def test_binomial_tail_and_cutoff():
     assert rules.cutoff({0: 50}, 50, 0.02, 0.01) is None
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_rules_and_sentences_equal_sql(spark, folder):
+    import duckdb
+
+    from sitemill.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{folder}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        got, want = queries.QUERIES[name](spark, f"/root/testdata/{folder}"), con.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_cutoffs_need_proof_in_each_stratum(spark):
     text = "good words in a fine line of text that goes on here "
     rows = [(i, "en", text + str(i)) for i in range(3000)] + [(3000 + i, "xx", text + str(i)) for i in range(20)] + [(4000 + i, s, "### " * 30 + " ".join(f"w{i}{k}" for k in range(40))) for i, s in enumerate(["en", "xx"])]
