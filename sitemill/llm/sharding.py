@@ -163,3 +163,23 @@ def zone_map(shards: DataFrame, dims: list[str]) -> DataFrame:
     """The least and greatest value of each dimension in each shard, by which
     a reader skips files."""
     return shards.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("min", F.min), ("max", F.max))])
+
+
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes whole rows as Parquet, a folder ``shard=k`` each in slot order.
+
+    ``assigned`` is what ``hilbert_shards`` gave for ``docs``. Rows are matched
+    by id, size and CRC; those that agree in all three take the slots of that
+    kind in any order, and no row is lost or doubled. A column of ``docs`` that
+    is named shard or slot is written as it is inside ``row``.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kind = ["k_id", "k_size", "k_crc"]
+    nth = F.row_number().over(W.Window.partitionBy(*kind).orderBy(*kind))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("k_id"), (F.octet_length(text).cast("long") + 16).alias("k_size"), F.crc32(F.encode(text, "UTF-8")).alias("k_crc")).withColumn("k_nth", nth)
+    slots = assigned.select(F.col("doc_id").alias("k_id"), F.col("size").alias("k_size"), F.col("text_crc32").alias("k_crc"), "shard", "slot").withColumn("k_nth", nth).select(*[F.col(k).alias(f"s{k}") for k in [*kind, "k_nth"]], "shard", "slot")
+    same = F.lit(True)
+    for k in [*kind, "k_nth"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"s{k}"))
+    placed = rows.join(slots, same).select("shard", "slot", "row")
+    placed.repartitionByRange(shuffle_partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -53,6 +53,13 @@ def test_shards_of_odd_documents(odd, none, law):
         sharding.hilbert_shards(odd, 7, ["lang"], "other")
 
 
+def test_written_shards_hold_every_row_once(odd, tmp_path, spark):
+    sharding.write_shards(odd, sharding.hilbert_shards(odd, 5, ["source", "lang"]), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(tuple(r["row"]) for r in back.collect()) == Counter(tuple(r) for r in odd.collect())
+    assert back.select("shard").distinct().count() == 5
+
+
 def test_zone_map_prunes(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), F.format_string("%02d", F.col("id") % 16)).alias("source"), F.floor(F.col("id") / 250).alias("day"))
     zones = sharding.zone_map(sharding.hilbert_shards(docs, 16, ["source", "day"]), ["source", "day"]).collect()
