@@ -61,11 +61,15 @@ def dense_mean(tensors: DataFrame, weights: DataFrame, by: list[str], vec: str =
 def factor_mean(factors: DataFrame, weights: DataFrame, by: list[str], target: int) -> DataFrame:
     """``by, factor, r, pos, value``: factors averaged each for itself. A client
     without a component counts as zeros there: the divisor is the weight of all
-    clients. Components no client has are filled with zeros up to ``target``."""
-    mean = dense_mean(factors.where(F.col("r") < target), weights, [*by, "factor", "r"])
+    clients. Components no client has are zeros up to ``target``; those zeros
+    are added to the one sum, so filling needs no join."""
+    cell = [*by, "factor", "r", "pos"]
+    weighted = factors.where(F.col("r") < target).join(F.broadcast(weights), "client").select(*by, "factor", "r", "w", F.posexplode("vec").alias("pos", "x"))
+    terms = weighted.select(*cell, (F.col("w") * F.col("x").cast("double")).alias("term"))
     widths = factors.groupBy(*by, "factor").agg(F.max(F.size("vec")).alias("width"))
-    grid = widths.select(*by, "factor", F.explode(F.sequence(F.lit(0), F.lit(target - 1))).alias("r"), "width").select(*by, "factor", "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pos"))
-    return grid.join(mean, [*by, "factor", "r", "pos"], "left").select(*by, "factor", "r", "pos", F.coalesce("value", F.lit(0.0)).alias("value"))
+    zeros = widths.select(*by, "factor", F.explode(F.sequence(F.lit(0), F.lit(target - 1))).alias("r"), "width").select(*by, "factor", "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pos"), F.lit(0.0).alias("term"))
+    sums = terms.unionByName(zeros).groupBy(*cell).agg(F.sum("term").alias("s"))
+    return sums.crossJoin(F.broadcast(_total(weights))).select(*cell, (F.col("s") / F.col("total")).alias("value"))
 
 
 def update_mean(factors: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
