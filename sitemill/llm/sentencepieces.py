@@ -263,9 +263,6 @@ def piece_model(path: str) -> PieceModel:
     return _models[path]
 
 
-CODEC_SCHEMA = "n_tokens long, ids binary, decoded string"
-
-
 def encode_decode(docs: DataFrame, model_path: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes whole texts with begin and end ids and decodes the ids again.
 
