@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each group of near-duplicates: the least id, or
     of rows without one the least text digest. Rows that agree in id and text
     are one document. Fingerprints of runs of five words link at four bits;
-    documents that share a part also at a similarity of 0.8."""
+    sets of those runs also at a similarity of 0.8."""
     text = F.coalesce("text", F.lit(""))
     key = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.md5(F.encode(text, "UTF-8")).alias("digest"))
     keyed = docs.select(F.struct(*docs.columns).alias("held"), key.alias("key"), "text")  # in a struct no name can clash

@@ -51,6 +51,34 @@ def test_near_copies(spark, odd, none, table):
     assert not joined or np.mean(joined) >= 0.95
 
 
+def joined_as_all_pairs(spark, texts_):
+    """Groups of near_copies and those of all pairs, over texts by position."""
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(texts_)]
+    got = {r["doc_id"]: r["component_key"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id").collect()}
+    want, _ = groups_by_hand(rows)
+    return got, {i: min(g) for g in want for i in g}
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[int(rng.integers(len(words)))] = f"e{rng.integers(1 << 40)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("small", [4, 32])
+def test_copies_edited_independently_join_as_all_pairs_do(spark, monkeypatch, small):
+    """No holder of a shared run is left out because the chosen one is unlike it."""
+    monkeypatch.setattr(nearcopies, "SMALL", small)
+    rng = np.random.default_rng(6)
+    texts_ = []
+    for _ in range(3):
+        words = [f"w{rng.integers(1 << 40)}" for _ in range(60)]
+        texts_ += [edited(rng, words, int(rng.integers(1, 4))) for _ in range(60)]
+    got, want = joined_as_all_pairs(spark, texts_)
+    assert got == want
+
+
 def pipeline_by_hand(spark, folder, docs, rows):
     """What is left after each stage, as rows (doc_id, text)."""
     model = gam.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
