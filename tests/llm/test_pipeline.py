@@ -79,6 +79,18 @@ def test_copies_edited_independently_join_as_all_pairs_do(spark, monkeypatch, sm
     assert got == want
 
 
+def test_short_copies_join_as_all_pairs_do(spark):
+    """Texts of few runs have candidates too, also if an end is changed."""
+    rng = np.random.default_rng(7)
+    texts_ = []
+    for n in (10, 12, 20, 30):
+        for _ in range(20):
+            words = [f"w{rng.integers(1 << 40)}" for _ in range(n)]
+            texts_ += [" ".join(words), " ".join([*words, "more"]), " ".join(["so", *words])]
+    got, want = joined_as_all_pairs(spark, texts_)
+    assert got == want
+
+
 def pipeline_by_hand(spark, folder, docs, rows):
     """What is left after each stage, as rows (doc_id, text)."""
     model = gam.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
