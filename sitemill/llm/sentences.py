@@ -1,14 +1,20 @@
 """Removal of repeated runs of sentences.
 
 A text is cut into sentences, each with the white space behind it, so that
-they join to the same text. Every run of ``RUN`` sentences is hashed, and the
-first run of a hash in the order of (doc_id, place) stays; every sentence in
-any later run of it goes. Texts with fewer sentences are one run of all.
+they join to the same text; one of over ``LONG`` words (a list, a word over and
+over) is cut into pieces of so many, which count as sentences. From every sentence a run goes over the fewest
+sentences that hold ``LEAST`` words: several as a rule, one if it alone is that
+long. Runs are hashed, and the first run of a hash in the order of (doc_id,
+place) stays; every sentence in any later run of it goes. Runs are measured in
+words since short lines are alike by chance, while a passage of over 50 words
+may hold two or three long sentences, the first grown together with what stands
+before it. A text of fewer words is one run.
 
 Runs are compared by a 128-bit hash of their trimmed sentences, so only
 fixed-size keys are shuffled: once to find hashes that occur twice, combined on
-the map side, and once to join them back, where a hot run is split by the
-skewed join. Texts come back only in the last join.
+the map side, and once to join them back. Sides of joins are written first, so
+that a hot run, or many rows of one id and text, is split by the skewed join.
+Texts come back only in the last join.
 """
 
 from __future__ import annotations
@@ -24,44 +30,71 @@ from pyspark.sql import types as T
 
 from .common import TextChunk, materialize, text_chunks
 
-RUN = 3
+#: Words of a run, and most words of a sentence.
+LEAST, LONG = 20, 25
 PATTERN = r"[^.!?\n]*[.!?\n]+[ \n\t\r]*|[^.!?\n]+"
+PIECES = rf"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){{1,{LONG}}}|[\x20\x09-\x0D]+"
 
 
-_FIND = re.compile(PATTERN.encode()).findall
+_find, _pieces = (re.compile(p.encode()).findall for p in (PATTERN, PIECES))
 
 
-def run_keys(raw: bytes, run: int = RUN) -> list[bytes]:
-    """A 128-bit key of each run of ``run`` trimmed sentences, in order."""
-    import xxhash
+def sentences(raw: bytes) -> list[bytes]:
+    """The sentences of a text; they join to it."""
+    out = []
+    for part in _find(raw):
+        if len(part) > 2 * LONG and len(part.split()) > LONG:
+            out += _pieces(part)
+        else:
+            out.append(part)
+    return out
+
 
-    parts = [p.strip(b" \n\t\r") for p in _FIND(raw)]
+def runs(parts: list[bytes], least: int = LEAST) -> list[tuple[int, int]]:
+    """[first, end) of the run from each sentence that has one."""
     if not parts:
         return []
-    return [xxhash.xxh3_128_digest(b"\n".join(parts[i : i + run])) for i in range(max(1, len(parts) - run + 1))]
+    words = np.concatenate(([0], np.cumsum([len(p.split()) for p in parts])))
+    ends = np.searchsorted(words, words[:-1] + least)
+    found = np.flatnonzero(ends <= len(parts))
+    return list(zip(found.tolist(), ends[found].tolist(), strict=True)) or [(0, len(parts))]
+
+
+def run_keys(raw: bytes, least: int = LEAST) -> tuple[list[int], list[bytes]]:
+    """Where runs begin, and a 128-bit key of the trimmed sentences of each."""
+    import xxhash
+
+    parts = [p.strip(b" \n\t\r") for p in sentences(raw)]
+    found = runs(parts, least)
+    return [a for a, _ in found], [xxhash.xxh3_128_digest(b"\n".join(parts[a:b])) for a, b in found]
 
 
-def without(raw: bytes, places: list[int], run: int = RUN) -> tuple[int, int, bytes]:
+def without(raw: bytes, places: list[int], least: int = LEAST) -> tuple[int, int, bytes]:
     """Sentences, those removed, and the text without the runs at ``places``."""
-    parts = _FIND(raw)
-    gone = {i for p in places for i in range(p, min(p + run, len(parts)))}
-    return len(parts), len(gone), b"".join([p for i, p in enumerate(parts) if i not in gone]) if gone else raw
+    parts = sentences(raw)
+    if not places:
+        return len(parts), 0, raw
+    ends = dict(runs(parts, least))
+    gone = {i for p in places for i in range(p, ends[p])}
+    return len(parts), len(gone), b"".join([p for i, p in enumerate(parts) if i not in gone])
 
 
-def remove_repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_runs(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_sentences, n_removed, kept_text`` of every document.
 
-    Null texts are empty and stay so. Rows that agree in id and text count as
-    one occurrence (nothing tells them apart); a null id comes first.
+    Null texts are empty and stay so; blank texts of several rows are copies.
+    Rows that agree in id and text count as one occurrence (nothing tells them
+    apart), ties of id are broken by text digest, and a null id comes first. A
+    long text is handled alone, in memory a few times its size. Other columns
+    are not read, so their names don't matter; an empty table gives none.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("cid"), text.alias("text"))
 
     def runs_of(chunk: TextChunk) -> tuple[np.ndarray, list[pa.Array]]:
-        keys = [run_keys(t, run) for t in chunk.rows()]
-        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return np.repeat(np.arange(len(keys)), sizes), [pa.array(place, pa.int32()), pa.array([k for ks in keys for k in ks], pa.binary())]
+        found = [run_keys(t, least) for t in chunk.rows()]
+        of = np.repeat(np.arange(len(found)), [len(places) for places, _ in found])
+        return of, [pa.array([p for places, _ in found for p in places], pa.int32()), pa.array([k for _, keys in found for k in keys], pa.binary())]
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,18 +104,19 @@ def remove_repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *own], ["doc_id", "cid", "place", "key"])
 
     names = [rows.schema["doc_id"], rows.schema["cid"]]
-    runs = materialize(rows.mapInArrow(emit, T.StructType([*names, *T.StructType.fromDDL("place int, key binary")])), "runs")
-    first = runs.groupBy("key").agg(F.min(F.struct("doc_id", "cid", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "first")
+    found = materialize(rows.mapInArrow(emit, T.StructType([*names, *T.StructType.fromDDL("place int, key binary")])), "runs")
+    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "cid", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "first")
     first = materialize(first, "first")  # so that a hot run's rows can be split in the join
-    later = runs.join(first, F.col("key") == F.col("k")).where(~F.struct("doc_id", "cid", "place").eqNullSafe(F.col("first")))
+    later = found.join(first, F.col("key") == F.col("k")).where(~F.struct("doc_id", "cid", "place").eqNullSafe(F.col("first")))
     marks = later.groupBy("doc_id", "cid").agg(F.collect_set("place").alias("places")).select(F.col("doc_id").alias("of_id"), F.col("cid").alias("of_cid"), "places")
+    marks = materialize(marks, "marks")
     joined = rows.join(marks, (F.col("cid") == F.col("of_cid")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left").select("doc_id", "text", "places")
 
     def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = batch.column(2)
             for chunk in text_chunks(batch.column(1), 1 << 20, "sentences"):
-                n, gone, kept = zip(*(without(t, places[chunk.lo + k].as_py() or [], run) for k, t in enumerate(chunk.rows())), strict=True)
+                n, gone, kept = zip(*(without(t, places[chunk.lo + k].as_py() or [], least) for k, t in enumerate(chunk.rows())), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(chunk)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], ["doc_id", "n_sentences", "n_removed", "kept_text"])
 
     return joined.mapInArrow(rebuild, T.StructType([names[0], *T.StructType.fromDDL("n_sentences long, n_removed long, kept_text string")]))
@@ -92,20 +126,31 @@ def remove_repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id"
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS cid,
-         regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \n\t\r]*|[^.!?\n]+') AS parts
+         flatten(list_transform(regexp_extract_all(coalesce(text, ''), '{PATTERN}'),
+           lambda s: CASE WHEN len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) > {LONG} THEN regexp_extract_all(s, '{PIECES}') ELSE [s] END)) AS parts
   FROM documents),
+t AS (
+  SELECT cid, any_value(list_transform(parts, lambda s: trim(s, chr(32) || chr(10) || chr(9) || chr(13)))) AS bare
+  FROM d WHERE len(parts) > 0 GROUP BY cid),
+s AS (
+  SELECT cid, i, sum(len(regexp_extract_all(bare[i], '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY cid ORDER BY i) AS upto,
+         len(regexp_extract_all(bare[i], '[^\x20\x09-\x0D]+')) AS own
+  FROM t, LATERAL (SELECT unnest(range(1, len(bare) + 1)) AS i)),
+e AS (SELECT cid, upto, min(i) AS stop FROM s GROUP BY cid, upto),
+p AS (
+  SELECT s.cid, s.i - 1 AS place, e.stop
+  FROM s ASOF JOIN e ON s.cid = e.cid AND e.upto >= s.upto - s.own + {LEAST}),
+w AS (
+  SELECT cid, place, stop FROM p
+  UNION ALL SELECT cid, 0, len(bare) FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.cid = t.cid)),
 r AS (
-  SELECT doc_id, cid, parts, i AS place,
-         md5(array_to_string(list_transform(list_slice(parts, i + 1, i + {RUN}), lambda s: trim(s, chr(32) || chr(10) || chr(9) || chr(13))), chr(10))) AS key
-  FROM (SELECT DISTINCT doc_id, cid, parts FROM d), LATERAL (SELECT unnest(range(0, greatest(len(parts) - {RUN} + 1, 1))) AS i)
-  WHERE len(parts) > 0),
+  SELECT w.cid, place, stop, md5(array_to_string(list_slice(bare, place + 1, stop), chr(10))) AS key
+  FROM w JOIN t USING (cid)),
 m AS (
-  SELECT doc_id, cid, place FROM (
-    SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, cid, place) AS nth FROM r) WHERE nth > 1),
-g AS (
-  SELECT DISTINCT doc_id, cid, s FROM (
-    SELECT m.doc_id, m.cid, unnest(range(m.place, least(m.place + {RUN}, len(r.parts)))) AS s
-    FROM m JOIN (SELECT DISTINCT doc_id, cid, parts FROM r) r ON m.cid = r.cid AND m.doc_id IS NOT DISTINCT FROM r.doc_id)),
+  SELECT doc_id, cid, place, stop FROM (
+    SELECT doc_id, cid, place, stop, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, cid, place) AS nth
+    FROM r JOIN (SELECT DISTINCT doc_id, cid FROM d) USING (cid)) WHERE nth > 1),
+g AS (SELECT DISTINCT doc_id, cid, unnest(range(place, stop)) AS s FROM m),
 l AS (SELECT doc_id, cid, list(s) AS gone FROM g GROUP BY doc_id, cid)
 SELECT d.doc_id, CAST(len(d.parts) AS BIGINT) AS n_sentences, CAST(coalesce(len(l.gone), 0) AS BIGINT) AS n_removed,
        CASE WHEN l.gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(d.parts) + 1), lambda i: NOT list_contains(l.gone, i - 1)), lambda i: d.parts[i]), ''), '') END AS kept_text
