@@ -10,18 +10,52 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, discard, free_shuffles
 
 #: Text bytes that a Python worker handles at a time.
 CHUNK_BYTES = 1 << 21
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back, so
     that a lost executor costs a reread and no operator runs twice."""
-    return cut(df, f"llm-{label}")
+    return cut(df, f"llm-{label}", compression)
+
+
+class Scratch:
+    """Tables that an operator writes on its way and that go once a later one
+    that it returns has been written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(materialize(df, label))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes these now."""
+        self.remove(*[t for t in self.tables if not any(t is x for x in tables)])
+
+    def remove(self, *but: DataFrame) -> None:
+        """Removes all that it has written, but for these."""
+        kept = [t for t in self.tables if any(t is b for b in but)]
+        discard(*[t for t in self.tables if not any(t is k for k in kept)])
+        self.tables = kept
+
+    def free(self, spark: SparkSession) -> None:
+        """Frees shuffle files of what has been written by now."""
+        free_shuffles(spark)
+
+
+def apart(key: str) -> Column:
+    """A long key as another expression. A side that was just aggregated by
+    ``key`` is shuffled once more when it is joined on this, as a plain
+    exchange, and only between two of those does Spark split a hot key."""
+    return F.bitwise_not(F.col(key))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -43,6 +77,12 @@ def enter(name: str, leave: Callable[[], None] | None = None) -> None:
     if _owner[1] is not None:
         _owner[1]()
     _owner[:] = name, leave
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next
+    task shouldn't hold what the last one needed."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TextChunk, materialize, text_chunks
+from .common import Scratch, TextChunk, text_chunks
 
 #: Words of a run, and most words of a sentence.
 LEAST, LONG = 20, 25
@@ -104,12 +104,14 @@ def remove_repeated_runs(docs: DataFrame, least: int = LEAST, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *own], ["doc_id", "cid", "place", "key"])
 
     names = [rows.schema["doc_id"], rows.schema["cid"]]
-    found = materialize(rows.mapInArrow(emit, T.StructType([*names, *T.StructType.fromDDL("place int, key binary")])), "runs")
+    scratch = Scratch()
+    found = scratch.write(rows.mapInArrow(emit, T.StructType([*names, *T.StructType.fromDDL("place int, key binary")])), "runs")
     first = found.groupBy("key").agg(F.min(F.struct("doc_id", "cid", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "first")
-    first = materialize(first, "first")  # so that a hot run's rows can be split in the join
+    first = scratch.write(first, "first")  # so that a hot run's rows can be split in the join
     later = found.join(first, F.col("key") == F.col("k")).where(~F.struct("doc_id", "cid", "place").eqNullSafe(F.col("first")))
     marks = later.groupBy("doc_id", "cid").agg(F.collect_set("place").alias("places")).select(F.col("doc_id").alias("of_id"), F.col("cid").alias("of_cid"), "places")
-    marks = materialize(marks, "marks")
+    marks = scratch.write(marks, "marks")
+    scratch.remove(marks)
     joined = rows.join(marks, (F.col("cid") == F.col("of_cid")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left").select("doc_id", "text", "places")
 
     def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
