@@ -42,8 +42,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("kept.doc_id", held_out("kept.doc_id").alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+#: Bytes of a repeated passage: some 37 words, so that any passage of over 50
+#: words counts, whatever stands around it.
+PASSAGE = 200
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixarray.remove_repeats(table(spark, sf_dir), result="digest")
+    """Strings of 400 bytes go; ``passage_bytes`` tells of shorter passages."""
+    return suffixarray.remove_repeats(table(spark, sf_dir), result="digest", passage=PASSAGE)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

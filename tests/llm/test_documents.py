@@ -291,16 +291,38 @@ def removed_by_hand(texts_, length):
 
 
 @pytest.mark.parametrize("hot", [False, True])
-@pytest.mark.parametrize("length", [400, 64])
-def test_removal_on_odd_documents(odd, none, length, hot, monkeypatch):
+@pytest.mark.parametrize(("length", "passage"), [(400, None), (64, None), (400, 200), (64, 48)])
+def test_removal_on_odd_documents(odd, none, length, passage, hot, monkeypatch):
     if hot:
         monkeypatch.setattr(suffixarray, "MOST_REGIONS", 1)
     rows = odd.collect()
-    want = Counter((r["doc_id"], *x) for r, x in zip(rows, removed_by_hand([r["text"] or "" for r in rows], length), strict=True))
-    got = suffixarray.remove_repeats(odd, length=length, keep=["lang", "cid", "row"]).collect()
-    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
+    raws = [r["text"] or "" for r in rows]
+    marked = [x[1] for x in removed_by_hand(raws, passage)] if passage else [None] * len(rows)
+    want = Counter((r["doc_id"], *x, m) for r, x, m in zip(rows, removed_by_hand(raws, length), marked, strict=True))
+    got = suffixarray.remove_repeats(odd, length=length, passage=passage, keep=["lang", "cid", "row"]).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["passage_bytes"] if passage else None) for r in got) == want
     assert all(r["cid"] == "c" and r["row"] == "r" for r in got)
-    assert suffixarray.remove_repeats(none, length=length).count() == 0
+    assert suffixarray.remove_repeats(none, length=length, passage=passage).count() == 0
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_passages_up_to_the_end_of_a_text(spark, hot, monkeypatch):
+    """Strings that differ behind a shorter repeat, or end there."""
+    if hot:
+        monkeypatch.setattr(suffixarray, "MOST_REGIONS", 1)
+        monkeypatch.setattr(suffixarray, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+
+    def prose(n):
+        return "".join(rng.choice(list("abcdefgh "), n))
+
+    passages = [prose(int(n)) for n in (210, 330, 405, 900, 399, 400)]
+    rows = [prose(int(rng.integers(0, 500))) + passages[i % 6][int(rng.integers(0, 9)) :] + (prose(int(rng.integers(0, 500))) if i % 3 else "") for i in range(48)]
+    got = suffixarray.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4), passage=200).collect()
+    want = {i: (*x, m[1]) for i, (x, m) in enumerate(zip(removed_by_hand(rows, 400), removed_by_hand(rows, 200), strict=True))}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["passage_bytes"]) for r in got} == want
+    with pytest.raises(ValueError):
+        suffixarray.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), length=100, passage=200)
 
 
 def test_digest_and_text_of_what_is_kept(odd):
