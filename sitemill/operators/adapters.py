@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.scalars import add_model_prefix, strip_model_prefix
+
 
 def overlay(parts: DataFrame, keys: list[str], file_col: str) -> DataFrame:
     """One row a key from several checkpoint files: the last file wins."""
@@ -60,6 +62,26 @@ def truncate_bank(factors: DataFrame, site_ranks: DataFrame) -> DataFrame:
     return factors.crossJoin(F.broadcast(site_ranks)).where((F.col("r") < F.col("rank")) | F.col("factor").isNull()).drop("rank")
 
 
+def server_state(factors: DataFrame, prefix: str = "") -> DataFrame:
+    """What a server shows of a model: its adapter's rows alone, keys under
+    ``prefix`` and the model's own. ``factor`` is null for other tensors, which
+    an adapter may hold whole."""
+    return factors.withColumn("base_key", F.concat(F.lit(prefix), add_model_prefix(F.col("base_key"))))
+
+
+def load_server_state(state: DataFrame, strict: bool = True) -> tuple[DataFrame, list[str]]:
+    """The adapter's rows of a state, keys without the model's prefix, and the
+    keys that could not be used. A state with no adapter rows is refused if
+    ``strict``; else nothing is loaded and its keys come back, all of them,
+    since only a state without any adapter is so small."""
+    own = state.where(F.col("factor").isNotNull()).withColumn("base_key", strip_model_prefix(F.col("base_key")))
+    if own.take(1):
+        return own, []
+    if strict:
+        raise ValueError("a state without adapter keys")
+    return own, sorted(r["base_key"] for r in state.select("base_key").distinct().collect())
+
+
 def size_mb(vec: str = "vec") -> Column:
     """Size of a table of 4-byte components in MB; 0 if it is empty."""
     return F.coalesce(F.sum(F.size(vec) * 4) / 1048576, F.lit(0.0))

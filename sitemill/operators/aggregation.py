@@ -41,10 +41,21 @@ def key_mismatches(keys: DataFrame, first: str) -> DataFrame:
     """``client, key, side``: keys that a client has and the first client does
     not (``extra``), or the other way round (``missing``)."""
     own = keys.select("client", "key").distinct()
-    wanted = own.where(F.col("client") == first).select("key")
-    extra = own.join(wanted, "key", "left_anti").select("client", "key", F.lit("extra").alias("side"))
-    grid = own.select("client").distinct().crossJoin(F.broadcast(wanted))
-    return extra.union(grid.join(own, ["client", "key"], "left_anti").select("client", "key", F.lit("missing").alias("side")))
+    wanted = own.where(F.col("client") == first).select("key", F.lit(1).alias("is_wanted"))
+    marked = own.join(wanted, "key", "left")
+    extra = marked.where("is_wanted IS NULL").select("client", "key", F.lit("extra").alias("side"))
+    # only clients that lack something are laid against the wanted keys
+    held = marked.groupBy("client").agg(F.count("is_wanted").alias("held"))
+    short = held.crossJoin(wanted.agg(F.count("*").alias("n"))).where("held < n").select("client")
+    lacked = short.crossJoin(wanted.select("key")).join(own, ["client", "key"], "left_anti")
+    return extra.union(lacked.select("client", "key", F.lit("missing").alias("side")))
+
+
+def require_same_keys(keys: DataFrame) -> None:
+    """Refuses updates of which one has other keys than the first client's."""
+    first = keys.agg(F.min("client").alias("c")).first()["c"]
+    if bad := key_mismatches(keys, first).orderBy("client", "key").take(3):
+        raise ValueError(f"clients' keys differ: {[(r['client'], r['side'], r['key']) for r in bad]}")
 
 
 def _total(weights: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def progress(predictions: DataFrame, by: str, order: str, every: int) -> DataFra
     bases = sums.select(F.col(by).alias("of"), F.col("block").alias("b"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"), F.coalesce(F.sum("l").over(before), F.lit(0)).alias("l0"), F.max("top").over(W.Window.partitionBy(by)).alias("last"))
     inside = W.Window.partitionBy(by, "block").orderBy(order)
     counted = rows.withColumn("h", F.sum("hit").over(inside)).withColumn("l", F.sum("lost").over(inside))
-    joined = counted.join(F.broadcast(bases), (F.col(by).eqNullSafe(F.col("of"))) & (F.col("block") == F.col("b")))
+    joined = counted.join(bases, (F.col(by).eqNullSafe(F.col("of"))) & (F.col("block") == F.col("b")))
     shown = (F.col(order) == 1) | (F.col(order) == F.col("last")) | (F.col(order) % every == 0)
     return joined.where(shown).select(by, F.col(order).alias("idx"), (F.col("h") + F.col("h0")).alias("correct_so_far"), (F.col("l") + F.col("l0")).alias("unparsed"))
 
@@ -64,10 +64,11 @@ def score_counts(scored: DataFrame, score: str, label: str) -> DataFrame:
     return scored.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-def _cumulated(counts: DataFrame, buckets: int = 1024) -> DataFrame:
+def _cumulated(counts: DataFrame) -> DataFrame:
     """Rows with positives and negatives strictly above each score. Scores are
     dealt to ranges by the sort itself; sums of ranges are a small table."""
-    dealt = counts.repartitionByRange(buckets, F.col("score").desc()) if buckets > 1 else counts
+    buckets = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = counts.repartitionByRange(buckets, F.col("score").desc())
     marked = dealt.withColumn("part", F.spark_partition_id())
     marked = cut(marked, "scores")
     w = W.Window.partitionBy("part").orderBy(F.col("score").desc()).rowsBetween(W.Window.unboundedPreceding, 0)
@@ -78,17 +79,17 @@ def _cumulated(counts: DataFrame, buckets: int = 1024) -> DataFrame:
     return inner.join(F.broadcast(base), F.col("part") == F.col("q")).select("score", "pos", "neg", (F.col("tp") + F.col("p0")).alias("tp"), (F.col("fp") + F.col("n0")).alias("fp"))
 
 
-def roc_auc(scored: DataFrame, score: str, label: str, buckets: int = 16) -> DataFrame:
+def roc_auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """The share of (positive, negative) pairs in the right order, ties half;
     null without both kinds."""
-    rows = _cumulated(score_counts(scored, score, label), buckets)
+    rows = _cumulated(score_counts(scored, score, label))
     won = F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("neg") * F.col("pos") / 2)
     return rows.agg((won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("value"))
 
 
-def pr_auc(scored: DataFrame, score: str, label: str, buckets: int = 16) -> DataFrame:
+def pr_auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Average precision: precision at each score, weighted by recall gained."""
-    rows = _cumulated(score_counts(scored, score, label), buckets)
+    rows = _cumulated(score_counts(scored, score, label))
     return rows.agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.nullif(F.sum("pos"), F.lit(0))).alias("value"))
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import window as W
 from ..functions.scalars import hash_order
 from ..storage import cut
 
-#: Hex digits of the hash that deal rows to 4,096 even buckets.
-DIGITS = 3
+#: Hex digits of the hash that deal rows to 65,536 even buckets.
+DIGITS = 4
 
 
 def hash_rank(df: DataFrame, key: str, seed: int, name: str = "pos", within: list[str] | None = None) -> DataFrame:
@@ -19,7 +19,7 @@ def hash_rank(df: DataFrame, key: str, seed: int, name: str = "pos", within: lis
 
     The hash's first digits deal rows evenly to buckets; a row's place is its
     place in its bucket plus the rows of the buckets before, from a table of
-    4,096 counts a group. So a group of any size is ranked by many tasks.
+    a count for each bucket and group. So a group of any size is ranked by many tasks.
     """
     group = within or []
     hashed = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, DIGITS))

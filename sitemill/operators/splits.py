@@ -68,14 +68,16 @@ def _ranges(counted: DataFrame, by: list[str], count: str) -> DataFrame:
 
 def split_random(df: DataFrame, key: str, n: int, validation: int, seed: int = 42, per_client: int | None = None) -> DataFrame:
     """``key, site, split``: rows in hash order cut into sites; the first
-    ``validation`` rows of a site are for validation."""
-    spark = df.sparkSession
-    ranked = hash_rank(df.select(key), key, seed)
-    total = df.agg(F.count("*").alias("total"))
-    counted = sites(spark, n).crossJoin(F.broadcast(total)).withColumn("cnt", client_counts(F.col("total"), F.lit(n), F.col("idx"), per_client))
-    spans = _ranges(counted, [], "cnt").select("site", "lo", "hi")
-    placed = ranked.join(F.broadcast(spans), (F.col("pos") > F.col("lo")) & (F.col("pos") <= F.col("hi")))
-    return placed.select(key, "site", F.when(F.col("pos") - F.col("lo") <= validation, "validation").otherwise("train").alias("split"))
+    ``validation`` rows of a site are for validation. Sites are as large as
+    ``check_counts`` says, the larger ones first, so a row's site follows from
+    its place; rows beyond the last site are dropped. Too few rows are refused."""
+    counts = check_counts(df.count(), n, per_client, validation)
+    size, more = counts[-1], sum(c > counts[-1] for c in counts)
+    at, head = F.col("pos") - 1, more * (size + 1)
+    site = F.when(at < head, F.floor(at / (size + 1))).otherwise(more + F.floor((at - head) / size))
+    inside = F.when(at < head, at % (size + 1)).otherwise((at - head) % size)
+    placed = hash_rank(df.select(key), key, seed).withColumn("_site", site).where(F.col("_site") < n)
+    return placed.select(key, F.concat(F.lit("site-"), (F.col("_site") + 1).cast("string")).alias("site"), F.when(inside < validation, "validation").otherwise("train").alias("split"))
 
 
 def split_quota(df: DataFrame, key: str, label: str, labels: int, n: int, validation: int, fraction: float = 0.8, seed: int = 42, per_client: int | None = None) -> DataFrame:
@@ -85,11 +87,13 @@ def split_quota(df: DataFrame, key: str, label: str, labels: int, n: int, valida
     down where the label has fewer rows than all sites want; rows of a label go
     to sites in hash order. Rows left over fill the sites' remaining capacity,
     in hash order over all labels; a surplus is dropped. All ranks are made by
-    many tasks, and quotas and ranges are tables of sites times labels.
+    many tasks, and quotas and ranges are tables of sites times labels. Counts
+    that ``check_counts`` refuses are refused.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key), F.col(label))
     supply = cut(rows.groupBy(label).agg(F.count("*").alias("supply")), "supply")
+    check_counts(supply.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("n")).first()["n"], n, per_client, validation)
     total = supply.agg(F.sum("supply").alias("total"))
     grid = sites(spark, n).crossJoin(spark.range(labels).select(F.col("id").cast("int").alias("l"))).crossJoin(F.broadcast(total))
     grid = grid.withColumn("cap", client_counts(F.col("total"), F.lit(n), F.col("idx"), per_client))
@@ -145,8 +149,16 @@ def split_sequential(df: DataFrame, key: str, label: str, labels: int, n: int, v
     return rows.groupBy(F.lit(1).alias("all")).applyInPandas(lambda held: fold(held), schema)
 
 
-def split_records(df: DataFrame, key: str, label: str, labels: int, n: int, strategy: str = "heterogeneous", **options: object) -> DataFrame:
-    """Splits by ``heterogeneous`` quotas, the ``sequential`` rule, or at ``random``."""
+def per_client(samples: int | None) -> int | None:
+    """Samples a client as a user asks for them: 0 or less means all."""
+    return None if samples is None or samples <= 0 else samples
+
+
+def split_records(df: DataFrame, key: str, label: str, labels: int, n: int, strategy: str = "heterogeneous", samples_per_client: int | None = None, **options: object) -> DataFrame:
+    """Splits by ``heterogeneous`` quotas, the ``sequential`` rule, or at
+    ``random``; ``samples_per_client`` of 0 or less means all. Every strategy
+    refuses what ``check_counts`` refuses, ``sequential`` when it runs."""
+    options["per_client"] = per_client(samples_per_client)
     if strategy == "random":
         return split_random(df, key, n, **options)
     if strategy == "heterogeneous":

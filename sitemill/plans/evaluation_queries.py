@@ -128,7 +128,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Hourly counts and sums by event type, as a stream over the event files."""
     schema = X.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    done = streams.run_available(streams.windowed_metrics(stream), "windows", "complete")
+    done = streams.run_available(streams.windowed_metrics(stream), "windows", ["start", "event_type"])
     return done.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -136,7 +136,7 @@ def stream_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Rounds (days) for which all twenty clients have sent, as a stream."""
     schema = X.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    updates = stream.select(F.unix_date(F.to_date("ts")).cast("long").alias("round"), (F.col("user_id") % 20).cast("string").alias("client"), F.lit(1.0).alias("weight"))
+    updates = stream.select(F.unix_date(F.to_date("ts")).cast("long").alias("round"), (F.col("user_id") % 20).cast("string").alias("client"), F.lit(1.0).alias("weight"), F.col("ts").cast("timestamp").alias("ts"))
     return streams.run_available(streams.complete_rounds(updates, 20), "rounds")
 
 
@@ -145,6 +145,15 @@ _O = f"{_P}, o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY md5(
 _ACC = f"{_P}, acc AS (SELECT model, CAST(sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total, CAST(sum(CASE WHEN pred < 0 THEN 1 ELSE 0 END) AS BIGINT) AS unparsed FROM parsed GROUP BY model)"
 _S = "WITH s AS (SELECT l.quality AS label, d.n_chars % 1000 AS score FROM labels l JOIN documents d ON d.doc_id = l.doc_id), c AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM s GROUP BY score), k AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM c)"
 
+_SPACED = """WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY score DESC, x, y) AS i
+  FROM (SELECT vec_id % 5 AS slide, CAST(embedding[1] AS DOUBLE) AS score, CAST((vec_id * 37) % 100 AS DOUBLE) AS x, CAST((vec_id * 91) % 100 AS DOUBLE) AS y FROM embeddings)),
+g AS (SELECT DISTINCT slide, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(i BIGINT, x DOUBLE, y DOUBLE)[]) AS far FROM t
+  UNION ALL SELECT g.slide, t.i, CASE WHEN len(far) < 16 AND len(list_filter(far, lambda f: (f.x - t.x) * (f.x - t.x) + (f.y - t.y) * (f.y - t.y) < 400)) = 0 THEN list_append(far, {'i': t.i, 'x': t.x, 'y': t.y}) ELSE far END
+  FROM g JOIN t ON t.slide = g.slide AND t.i = g.i + 1),
+e AS (SELECT slide, arg_max(far, i) AS far FROM g GROUP BY slide),
+m AS (SELECT t.*, list_contains(list_transform(far, lambda f: f.i), t.i) AS is_far FROM t JOIN e ON e.slide = t.slide)
+SELECT slide, score, x, y, chosen FROM (SELECT *, CAST(row_number() OVER (PARTITION BY slide ORDER BY CASE WHEN is_far THEN 0 ELSE 1 END, i) AS INTEGER) AS chosen FROM m) WHERE chosen <= 16"""
+
 QUERIES = {
     "parse_label": (parse_label, f"{_P} SELECT model, item, label, pred FROM parsed"),
     "predictions": (predictions, f"{_P} SELECT p.model, p.item, p.label, p.response, p.pred, coalesce(c.canonical, '<unparsed>') AS pred_label FROM parsed p LEFT JOIN classes c ON c.idx = p.pred"),
@@ -165,7 +174,7 @@ QUERIES = {
     "top_fraction": (top_fraction, "WITH s AS (SELECT l_partkey, round(sum(l_quantity), 2) AS score FROM lineitem GROUP BY l_partkey) SELECT l_partkey, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, l_partkey) AS n, count(*) OVER () AS t FROM s) WHERE n <= ceil(t * CAST(0.01 AS DOUBLE))"),
     "traffic_summary": (traffic_summary, "SELECT user_id % 3 AS site, count(*) AS rounds, round(sum(round(value, 2)), 2) AS seconds, CAST(sum(length(props)) AS BIGINT) AS upload, round(max(value), 6) + 0.0 AS peak FROM events GROUP BY ROLLUP (user_id % 3)"),
     "crosstab": (crosstab, "SELECT vec_id % 4 AS grp, " + ", ".join(f"count(*) FILTER (label = {k}) AS label_{k}" for k in range(10)) + " FROM embeddings GROUP BY vec_id % 4"),
-    "spaced_select": (spaced_select, None),
+    "spaced_select": (spaced_select, _SPACED),
     "stream_windows": (stream_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
     "stream_rounds": (stream_rounds, "SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS round, CAST(20 AS INTEGER) AS clients, CAST(20.0 AS DOUBLE) AS weight FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 20) = 20"),
 }

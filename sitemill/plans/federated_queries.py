@@ -73,10 +73,9 @@ def key_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_dense(spark: SparkSession, d: str) -> DataFrame:
-    e = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("client"), "label", F.col("embedding").alias("vec"))
-    rows = e.select("client", "label", (F.col("client") % 5 + 1).cast("double").alias("w"), F.posexplode("vec").alias("pos", "x"))
-    mean = rows.groupBy("label", "pos").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("value"))
-    return mean.select("label", "pos", exact("value").alias("value"))
+    """Three clients' dense tensors, a key for every three vectors."""
+    tensors = X.table(spark, d, "embeddings").select((F.col("vec_id") % 3).cast("int").alias("client"), F.expr("vec_id div 3").alias("key"), F.col("embedding").alias("vec"))
+    return aggregation.dense_mean(tensors, X.weights(spark), ["key"]).select("key", "pos", exact("value").alias("value"))
 
 
 def agg_naive(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +141,7 @@ QUERIES = {
     "checkpoint_overlay": (checkpoint_overlay, f"{_F} SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT *, row_number() OVER (PARTITION BY layer, factor, r ORDER BY client DESC) AS n FROM fac) WHERE n = 1"),
     "agg_weight": (agg_weight, "SELECT vec_id AS client, CAST(CASE vec_id % 4 WHEN 1 THEN 1 WHEN 3 THEN 1 ELSE vec_id + 1 END AS DOUBLE) AS weight FROM embeddings"),
     "key_mismatch": (key_mismatch, f"{_F}, k AS (SELECT CAST(client AS VARCHAR) AS client, layer || '.' || factor || '.' || r AS key FROM fac), o AS (SELECT key FROM k WHERE client = '1') SELECT client, key, 'extra' AS side FROM k WHERE key NOT IN (SELECT key FROM o) UNION ALL SELECT c.client, o.key, 'missing' AS side FROM (SELECT DISTINCT client FROM k) c CROSS JOIN o WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.client = c.client AND k.key = o.key)"),
-    "agg_dense": (agg_dense, "WITH e AS (SELECT label, CAST(vec_id % 5 + 1 AS DOUBLE) AS w, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) SELECT label, CAST(pos AS INTEGER) AS pos, round(sum(w * CAST(x AS DOUBLE)) / sum(w), 6) + 0.0 AS value FROM e GROUP BY label, pos"),
+    "agg_dense": (agg_dense, "WITH e AS (SELECT vec_id // 3 AS key, CAST(vec_id % 3 + 1 AS DOUBLE) AS w, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) SELECT key, CAST(pos AS INTEGER) AS pos, round(sum(w * CAST(x AS DOUBLE)) / 6, 6) + 0.0 AS value FROM e GROUP BY key, pos"),
     "agg_naive": (agg_naive, f"{_F}, c AS (SELECT f.layer, f.factor, f.r, w.w, unnest(f.vec) AS x, unnest(range(0, len(f.vec))) AS pos FROM fac f JOIN w ON w.client = f.client WHERE f.r < 16), m AS (SELECT layer, factor, r, pos, sum(w * CAST(x AS DOUBLE)) / 6 AS value FROM c GROUP BY layer, factor, r, pos), g AS (SELECT DISTINCT layer, factor FROM fac) SELECT g.layer, g.factor, CAST(rr.r AS INTEGER) AS r, CAST(p.pos AS INTEGER) AS pos, round(coalesce(m.value, 0.0), 6) + 0.0 AS value FROM g CROSS JOIN range(16) rr(r) CROSS JOIN range(64) p(pos) LEFT JOIN m ON m.layer = g.layer AND m.factor = g.factor AND m.r = rr.r AND m.pos = p.pos"),
     "delta_w": (delta_w, _DELTA),
     "agg_reconstructed": (agg_reconstructed, _DELTA),

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import histograms, sampling, splits
-from ..sources import files
-from ..storage import shared_dir
+from ..operators import collate, histograms, sampling, splits
+from ..sources import files, sinks
+from ..storage import own_path
 from ..vocab import QUESTION, VOCABULARY
 from . import fixtures as X
 
@@ -30,6 +28,13 @@ def scan_labelled_paths(spark: SparkSession, d: str) -> DataFrame:
     return files.labelled_paths(X.image_paths(spark, d), X.classes(spark), root="/data/")
 
 
+def ordered_traversal(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each labelled path in a walk, folders nested at two depths."""
+    paths = X.image_paths(spark, d).select(F.when(F.length("path") % 3 == 0, F.concat(F.lit("/data/a-b"), F.substr("path", F.lit(6)))).when(F.length("path") % 3 == 1, F.concat(F.lit("/data/a"), F.substr("path", F.lit(6)))).otherwise(F.col("path")).alias("path"))
+    found = files.labelled_paths(paths, X.classes(spark), root="/data/")
+    return sampling.ordered_rank(found.select("image", "label"), files.traversal(F.col("image")))
+
+
 def label_name_fallback(spark: SparkSession, d: str) -> DataFrame:
     given = F.when(F.col("vec_id") % 3 == 0, F.lit("")).when(F.col("vec_id") % 3 == 1, F.concat(F.lit("own "), "code"))
     return X.records(spark, d).select("vec_id", S.label_name_or(given, F.col("canonical")).alias("label_name"))
@@ -108,6 +113,12 @@ def pad_batch(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("vec_id", F.concat_ws(",", S.pad_tokens(F.col("ids"), F.col("most"), 7).cast("array<string>")).alias("right_padded"), F.concat_ws(",", S.pad_tokens(F.col("ids"), F.col("most"), 7, left=True).cast("array<string>")).alias("left_padded"))
 
 
+def collate_batch(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.table(spark, d, "embeddings").select("vec_id", F.expr("vec_id div 4").alias("batch"), _tokens("5").alias("ids"))
+    out = collate.collate(rows, "batch", "ids", 7, [0, 3])
+    return out.select("vec_id", *[F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
 def limit_then_semi(spark: SparkSession, d: str) -> DataFrame:
     images = X.records(spark, d).select("vec_id", F.concat("code", F.lit("/"), F.col("vec_id").cast("string")).alias("image"))
     there = X.records(spark, d).where("vec_id % 2 = 0").select(F.concat(F.lit("/r/"), "code", F.lit("/"), F.col("vec_id").cast("string")).alias("path"))
@@ -193,12 +204,9 @@ def chart_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     rows = X.records(spark, d).select(F.concat("code", F.lit("/"), F.col("vec_id").cast("string")).alias("image"), "label", F.col("canonical").alias("label_name"), F.col("code").alias("raw_label"))
-
-
-
-    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
-    rows.write.json(path)
-    return spark.read.schema("image string, label int, label_name string, raw_label string").json(path)
+    path = own_path(spark, "json")
+    sinks.write_arrays(rows, path, F.col("raw_label"))
+    return files.read_records(spark, path)
 
 
 _USER = f"'user[image=,text=' || {PROMPT_SQL} || ']'"
@@ -218,6 +226,11 @@ QUERIES = {
     "alt_labels": (alt_labels, f"WITH {X.CLASSES} SELECT idx, canonical, '(' || split_part(canonical, ': ', 1) || ') ' || substr(canonical, strpos(canonical, ': ') + 2) AS alt FROM classes"),
     "dict_encode": (dict_encode, f"WITH {X.RECORDS} SELECT vec_id, label AS idx, code, canonical FROM rec"),
     "scan_labelled_paths": (scan_labelled_paths, f"WITH {X.CLASSES}, {X.PATHS} SELECT substr(path, 7) AS image, c.idx AS label, c.canonical AS label_name, c.code AS raw_label FROM img JOIN classes c ON c.code = upper(split_part(path, '/', -2)) WHERE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.bmp', '.jpeg', '.jpg', '.png', '.tif', '.tiff', '.webp')"),
+    "ordered_traversal": (ordered_traversal, f"""WITH {X.CLASSES}, {X.PATHS}, p AS (SELECT CASE length(path) % 3 WHEN 0 THEN 'a-b' || substr(path, 6) WHEN 1 THEN 'a' || substr(path, 6) ELSE substr(path, 7) END AS image FROM img WHERE lower(regexp_extract(path, '[.][^./]+$')) IN ('.bmp', '.jpeg', '.jpg', '.png', '.tif', '.tiff', '.webp'))
+  SELECT image, c.idx AS label, row_number() OVER (ORDER BY string_split(image, '/')[:-2], string_split(image, '/')[-1]) AS place FROM p JOIN classes c ON c.code = upper(split_part(image, '/', -2))"""),
+    "collate_batch": (collate_batch, f"""WITH t AS (SELECT vec_id, {_TOK.format(n=5)} AS ids, max(vec_id % 5 + 1) OVER (PARTITION BY vec_id // 4) AS most FROM embeddings),
+  f AS (SELECT vec_id, most, len(ids) AS n, ids || list_transform(range(0, most - len(ids)), lambda i: CAST(7 AS INTEGER)) AS filled FROM t)
+  SELECT vec_id, array_to_string(filled, ',') AS input_ids, array_to_string(list_transform(range(0, most), lambda i: CASE WHEN i < n THEN 1 ELSE 0 END), ',') AS attention_mask, array_to_string(list_transform(filled, lambda x: CASE WHEN x IN (0, 3, 7) THEN -100 ELSE x END), ',') AS labels FROM f"""),
     "label_name_fallback": (label_name_fallback, f"WITH {X.RECORDS} SELECT vec_id, CASE WHEN vec_id % 3 = 1 THEN 'own ' || code ELSE canonical END AS label_name FROM rec"),
     "chat_training": (chat_training, f"WITH {X.RECORDS} SELECT vec_id, {_USER} || ';assistant[text=' || canonical || ']' AS messages_text FROM rec"),
     "chat_inference": (chat_inference, f"WITH {X.RECORDS} SELECT vec_id, {_USER} AS messages_text FROM rec"),

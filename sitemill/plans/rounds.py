@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.adapters import truncate_bank
-from ..operators.aggregation import AGGREGATORS, Aggregator
+from ..operators.aggregation import AGGREGATORS, Aggregator, check_updates, client_weight, require_same_keys
 from ..storage import cut
 
 #: (site rows, {factor: matrix}) -> ({factor: matrix}, loss)
@@ -49,18 +49,20 @@ def train_sites(data: DataFrame, bank: DataFrame, ranks: DataFrame, trainer: Tra
 
 def run_rounds(data: DataFrame, bank: DataFrame, ranks: DataFrame, n_rounds: int, target: int, aggregator: Aggregator | str = "reconstructed", trainer: Trainer = least_squares) -> tuple[DataFrame, DataFrame]:
     """The bank after ``n_rounds`` and ``round, loss`` of each. ``data`` has
-    ``site, embedding, label``; every site must answer in every round. Each
-    round is written, so lineage stays one round long."""
+    ``site, embedding, label``; every site must answer in every round, with a
+    positive weight and the same keys. Each round is written, so lineage stays
+    one round long."""
     combine = AGGREGATORS[aggregator] if isinstance(aggregator, str) else aggregator
     n_sites, losses = ranks.count(), None
     for k in range(n_rounds):
         trained = cut(train_sites(data, bank, ranks, trainer), "round")
-        sizes = trained.select("site", "n", "loss").distinct()
-        if sizes.count() != n_sites:
-            raise ValueError("not every site answered")
-        row = sizes.agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss")).select(F.lit(k + 1).alias("round"), "loss")
+        updates = trained.select(F.col("site").alias("client"), F.lit("FULL").alias("params_type"), F.create_map(F.lit("num_examples"), F.col("n").cast("double")).alias("meta"), "loss").dropDuplicates(["client"])
+        check_updates(updates, n_sites)
+        require_same_keys(trained.select(F.col("site").alias("client"), F.col("factor").alias("key")))
+        weights = updates.select("client", client_weight(F.col("meta")).alias("w"), "loss")
+        row = weights.agg((F.sum(F.col("loss") * F.col("w")) / F.sum("w")).alias("loss")).select(F.lit(k + 1).alias("round"), "loss")
         losses = row if losses is None else losses.union(row)
         factors = trained.select(F.col("site").alias("client"), F.lit("all").alias("base_key"), "factor", "r", "vec")
-        weights = sizes.select(F.col("site").alias("client"), F.col("n").cast("double").alias("w"))
+        weights = weights.drop("loss")
         bank = cut(combine(factors, weights, "base_key", target), "bank").select("factor", "r", "vec")
     return bank, losses

@@ -26,8 +26,15 @@ def labelled_paths(paths: DataFrame, classes: DataFrame, path: str = "path", roo
     return found.join(F.broadcast(classes), F.col("folder") == F.col("code")).select(image.alias("image"), F.col("idx").alias("label"), F.col("canonical").alias("label_name"), F.col("code").alias("raw_label"))
 
 
+def traversal(path: Column) -> list[Column]:
+    """The order in which a walk meets files: a folder's own by name, then its
+    folders by name, each with all below it."""
+    return [F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), F.element_at(F.split(path, "/"), -1)]
+
+
 def scan_labelled(spark: SparkSession, folder: str, classes: DataFrame) -> DataFrame:
-    """The same of a folder and all below it. Spark lists files itself, so any
+    """The same of a folder and all below it; order by ``traversal`` where the
+    order counts. Spark lists files itself, so any
     store that it reads will do; it passes over names that begin with a dot or
     an underscore. A missing folder or one without records is refused."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")

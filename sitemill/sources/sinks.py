@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_model_prefix
 
-# The colours of the nine classes, in class order.
-COLOURS = ("#D1495B", "#EDA65D", "#F7DC6F", "#5DA271", "#2E86AB", "#8E6C8A", "#556B2F", "#B56576", "#4D908E")
+
+
+def colour(k: int) -> str:
+    """A colour of its own for each class: hues a golden angle apart."""
+    return f"hsl({k * 137.5 % 360:g} 55% 48%)"
 
 
 def write_sites(split: DataFrame, folder: str) -> None:
@@ -19,6 +22,16 @@ def write_sites(split: DataFrame, folder: str) -> None:
     split.write.mode("overwrite").partitionBy("site", "split").json(folder)
 
 
+def write_arrays(records: DataFrame, folder: str, by: Column, most: int = 10_000) -> None:
+    """Records as JSON files that each hold an array of ``most`` at most, by
+    all tasks: rows are dealt to arrays by ``by`` and their own hash."""
+    own = F.struct(*records.columns)
+    counts = records.groupBy(by.alias("_by")).agg(F.ceil(F.count("*") * 2 / most).alias("_n"))
+    dealt = records.select(own.alias("record"), by.alias("_by")).join(counts, "_by").withColumn("_part", F.pmod(F.xxhash64("record"), F.col("_n")))
+    arrays = dealt.groupBy("_by", "_part").agg(F.to_json(F.collect_list("record")).alias("value")).select("value")
+    arrays.write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
+
+
 def site_json(split: DataFrame, site: str, part: str, most: int = 100_000) -> str:
     """One site's records as an indented JSON array, for small exports; more
     than ``most`` records are refused rather than cut."""
@@ -46,7 +59,7 @@ def chart_svg(rows: DataFrame, labels: tuple[str, ...], dominant: dict[str, list
         for k, r in enumerate(bars):
             top = y + head - 16 + k * line
             out.append(f'<text x="16" y="{top + 13}">{escape(labels[r["idx"]])}</text>')
-            out.append(f'<rect x="300" y="{top}" width="{r["bar"]:.1f}" height="16" fill="{COLOURS[r["idx"] % len(COLOURS)]}"/>')
+            out.append(f'<rect x="300" y="{top}" width="{r["bar"]:.1f}" height="16" fill="{colour(r["idx"])}"/>')
             out.append(f'<text x="{306 + r["bar"]:.1f}" y="{top + 13}">{r["cnt"]}</text>')
         y += head + line * len(bars)
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="860" height="{y + 16}" font-family="sans-serif" font-size="12">\n' + "\n".join(out) + "\n</svg>\n"

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import window as W
 
-from ..storage import shared_dir
+from ..storage import own_path
 
 
 def windowed_metrics(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -18,39 +20,50 @@ def windowed_metrics(events: DataFrame, size: str = "1 hour", late: str = "10 mi
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def complete_rounds(updates: DataFrame, n_clients: int) -> DataFrame:
+def complete_rounds(updates: DataFrame, n_clients: int, late: str = "1 day") -> DataFrame:
     """``round, clients, weight`` of each round once all of its clients have
-    sent. A round is held as its clients and the sum of their weights (factors
-    stay in storage); one that is never complete is never given."""
+    sent. ``updates`` has ``round, client, weight`` and the time ``ts``. A round
+    is held as its clients and the sum of their weights (factors stay in
+    storage) until the watermark passes its last update; one that is not
+    complete by then is never given, and what comes later is dropped."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
-        clients, weight, done = (set(state.get[0]), state.get[1], state.get[2]) if state.exists else (set(), 0.0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        clients, weight, done, last = (set(state.get[0]), *state.get[1:]) if state.exists else (set(), 0.0, False, 0)
         for rows in batches:
+            last = max(last, int(rows["ts"].max().timestamp() * 1000))
             for c, w in zip(rows["client"], rows["weight"], strict=True):
                 if c not in clients:
                     clients.add(c)
                     weight += w
         full = len(clients) >= n_clients
-        state.update((sorted(clients), weight, done or full))
+        state.update((sorted(clients), weight, done or full, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
         if full and not done:
             yield pd.DataFrame({"round": [key[0]], "clients": [len(clients)], "weight": [weight]})
 
-    return updates.groupBy("round").applyInPandasWithState(step, "round long, clients int, weight double", "clients array<string>, weight double, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return updates.withWatermark("ts", late).groupBy("round").applyInPandasWithState(step, "round long, clients int, weight double", "clients array<string>, weight double, done boolean, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over all that is there now and gives its result. Batches
-    are written to the shared folder, not gathered; in ``complete`` mode the
-    last one stands."""
-    import uuid
-
+    are written to the shared folder, not gathered. With ``keys`` a batch gives
+    the rows that it changes, and of each key the last batch's row stands, so
+    state older than the watermark need not be held."""
     spark: SparkSession = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = own_path(spark, name)
+    numbered = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/{0 if mode == 'complete' else number}")
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{base}/out/{number}")
 
-    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/start")
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
+    spark.createDataFrame([], numbered).write.parquet(f"{base}/out/start")
+    stream.writeStream.outputMode("update" if keys else "append").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(numbered).option("recursiveFileLookup", True).parquet(f"{base}/out")
+    if not keys:
+        return out.drop("_batch")
+    newest = W.Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
+    return out.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "_batch")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Class codes, labels, file suffixes, colours, question and token
+# Class codes, labels, file suffixes, question and token
 # ids that results depend on.
 CODES = ("ADI", "BACK", "DEB", "LYM", "MUC", "MUS", "NORM", "STR", "TUM")
 LABELS = (

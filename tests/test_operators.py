@@ -1,5 +1,9 @@
+import datetime as dt
+import hashlib
 import json
 import os
+import random
+import time
 import zipfile
 from collections import Counter
 
@@ -9,7 +13,8 @@ from pyspark.sql import functions as F
 
 from sitemill import storage
 from sitemill.functions import scalars as S
-from sitemill.operators import adapters, aggregation, evaluation, features, histograms, sampling, splits
+from sitemill.functions import settings
+from sitemill.operators import adapters, aggregation, collate, evaluation, features, histograms, sampling, splits
 from sitemill.plans import fixtures, predict, rounds
 from sitemill.sources import files, sinks
 from sitemill.streaming import rounds as streams
@@ -351,9 +356,174 @@ def test_same_clients_are_the_identity(spark):
 
 
 def test_round_barrier(spark, tmp_path):
-    rows = [(1, "a", 1.0), (1, "b", 2.0), (1, "a", 9.0), (2, "a", 1.0), (3, "b", 1.0), (3, "a", 4.0), (3, "c", 7.0)]
+    """Complete rounds are given once; state goes with the watermark."""
+    schema = "round long, client string, weight double, ts timestamp"
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, "a", 1.0, 0), (1, "b", 2.0, 0), (1, "a", 9.0, 0), (2, "a", 1.0, 1), (3, "b", 1.0, 1), (3, "a", 4.0, 1), (3, "c", 7.0, 1), (4, "a", 1.0, 40), (4, "b", 1.0, 40), (2, "b", 5.0, 1), (5, "a", 1.0, 41), (5, "b", 1.0, 41)]
     for k in range(0, len(rows), 3):
-        spark.createDataFrame(rows[k : k + 3], "round long, client string, weight double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("round long, client string, weight double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r["round"]: r["clients"] for r in streams.run_available(streams.complete_rounds(stream, 2), "barrier").collect()}
-    assert set(got) == {1, 3}
+        spark.createDataFrame([(*r[:3], day + dt.timedelta(days=r[3])) for r in rows[k : k + 3]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["round"]: (r["clients"], r["weight"]) for r in streams.run_available(streams.complete_rounds(stream, 2), "barrier").collect()}
+    assert set(got) - {2} == {1, 3, 4, 5} and got[1] == (2, 3.0)
+
+
+def test_windows_of_a_stream_in_several_batches(spark, tmp_path):
+    schema = "event_type string, value double, ts timestamp"
+    day = dt.datetime(2024, 1, 1)
+    for k in range(3):
+        spark.createDataFrame([("x", float(k + i), day + dt.timedelta(minutes=20 * i)) for i in range(6)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted(tuple(r) for r in streams.run_available(streams.windowed_metrics(stream, late="1 day"), "windows", ["start", "event_type"]).collect())
+    assert got == sorted(tuple(r) for r in streams.windowed_metrics(spark.read.parquet(str(tmp_path / "in"))).collect())
+
+
+@pytest.mark.parametrize("strategy", ["random", "heterogeneous", "sequential"])
+@pytest.mark.parametrize("bad", [{"n": 0}, {"n": -1}, {"n": 3, "validation": -1}, {"n": 3, "validation": 10}, {"n": 40}, {"n": 40, "samples_per_client": 2}])
+def test_every_split_refuses_bad_counts(spark, strategy, bad):
+    rows = spark.range(30).select("id", (F.col("id") % 9).cast("int").alias("label"))
+    with pytest.raises(Exception, match="client|validation"):
+        splits.split_records(rows, "id", "label", 9, strategy=strategy, **{"validation": 0, **bad}).collect()
+
+
+@pytest.mark.parametrize("strategy", ["random", "heterogeneous", "sequential"])
+def test_samples_per_client(spark, strategy):
+    rows = spark.range(60).select("id", (F.col("id") % 9).cast("int").alias("label"))
+    for asked, each in ((0, 20), (-3, 20), (None, 20), (7, 7), (50, 20)):
+        got = Counter(r["site"] for r in splits.split_records(rows, "id", "label", 9, 3, strategy, asked, validation=2).collect())
+        assert set(got.values()) == {each} and len(got) == 3
+
+
+def test_sequential_split_by_hand(spark):
+    """The same fold, record by record, over records in hash order."""
+    n, validation, fraction = 4, 3, 0.7
+    rows = [(i, i * 7 % 9) for i in range(90)]
+    got = {r["id"]: (r["site"], r["split"]) for r in splits.split_sequential(spark.createDataFrame(rows, "id long, label int"), "id", "label", 9, n, validation, fraction, per_client=20).collect()}
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"42:{r[0]}".encode()).hexdigest(), r[0]))
+    own, rng, room, placed = [{0, 1, 2}, {3, 4}, {5, 6}, {7, 8}], random.Random(42), [20] * n, []
+    for key, label in order:
+        chances = [room[i] * (fraction / len(own[i]) if label in own[i] else (1 - fraction) / (9 - len(own[i]))) for i in range(n)]
+        there = [i for i in range(n) if room[i]]
+        if there:
+            site = rng.choices(there, [chances[i] for i in there])[0]
+            room[site] -= 1
+            placed.append((key, site))
+    assert {k: f"site-{s + 1}" for k, s in placed} == {k: s for k, (s, _) in got.items()} and len(got) == 80
+    assert Counter(got.values()) == {(f"site-{i + 1}", part): k for i in range(n) for part, k in (("validation", 3), ("train", 17))}
+
+
+def test_rounds_against_numpy(spark):
+    """Truncate, train, average: three rounds of the same by hand."""
+    table = spark.read.parquet(f"{D}/embeddings.parquet").select((F.col("vec_id") % 2).alias("s"), "embedding", "label", "vec_id").where("vec_id < 60").orderBy("vec_id").collect()
+    data = spark.createDataFrame([(f"site-{r['s'] + 1}", r["embedding"], r["label"]) for r in table], "site string, embedding array<float>, label int").coalesce(1)
+    a, b = np.random.default_rng(0).normal(size=(4, 64)) / 8, np.zeros((10, 4))
+    bank = spark.createDataFrame([("A", r, v.tolist()) for r, v in enumerate(a)] + [("B", r, v.tolist()) for r, v in enumerate(b.T)], "factor string, r int, vec array<double>")
+    ranks = {0: 2, 1: 4}
+    new, losses = rounds.run_rounds(data, bank, spark.createDataFrame([(f"site-{s + 1}", k) for s, k in ranks.items()], "site string, rank int"), 3, 4, "naive")
+    want = []
+    for _ in range(3):
+        sums, total, lost = [np.zeros_like(a), np.zeros_like(b)], 0, 0.0
+        for s, k in ranks.items():
+            rows = [r for r in table if r["s"] == s]
+            x, y = np.array([r["embedding"] for r in rows], float), np.eye(10)[[r["label"] for r in rows]]
+            p, q = a[:k].copy(), b[:, :k].copy()
+            for _ in range(5):
+                error = x @ p.T @ q.T - y
+                p, q = p - 0.05 * (error @ q).T @ x / len(x), q - 0.05 * error.T @ (x @ p.T) / len(x)
+            lost += len(x) * ((x @ p.T @ q.T - y) ** 2).mean()
+            total += len(x)
+            sums[0][:k] += len(x) * p
+            sums[1][:, :k] += len(x) * q
+        a, b = sums[0] / total, sums[1] / total
+        want.append(lost / total)
+    assert [r["loss"] for r in losses.orderBy("round").collect()] == pytest.approx(want)
+    got = {(r["factor"], r["r"]): r["vec"] for r in new.collect()}
+    assert np.allclose([got["A", r] for r in range(4)], a) and np.allclose([got["B", r] for r in range(4)], b.T)
+
+
+def test_rounds_refuse_updates(spark):
+    """Absent sites, and factors that only some sites send."""
+    data = spark.createDataFrame([("site-1", [1.0, 0.0], 0), ("site-2", [0.0, 1.0], 1)], "site string, embedding array<float>, label int")
+    bank = spark.createDataFrame([("A", 0, [0.1, 0.2]), ("B", 0, [0.0, 0.0])], "factor string, r int, vec array<double>")
+    ranks = spark.createDataFrame([("site-1", 1), ("site-2", 1)], "site string, rank int")
+    with pytest.raises(ValueError, match="1 of 2"):
+        rounds.run_rounds(data.where("site = 'site-1'"), bank, ranks, 1, 1)
+    with pytest.raises(ValueError, match="differ"):
+        aggregation.require_same_keys(spark.createDataFrame([("a", "A"), ("a", "B"), ("b", "A")], "client string, key string"))
+    aggregation.require_same_keys(spark.createDataFrame([("a", "A"), ("b", "A")], "client string, key string"))
+    with pytest.raises(ValueError, match="differ"):
+        rounds.run_rounds(data, bank, ranks, 1, 1, trainer=lambda rows, f: ({"A": f["A"], "B": f["B"]} if rows["site"].iloc[0] == "site-1" else {"A": f["A"], "B": f["B"][:, :0]}, 0.0))
+
+
+def test_devices_and_paths():
+    assert [settings.device_map(x) for x in ("cpu", "cuda", "cuda:3", "mps")] == [None, {"": 0}, {"": 3}, None]
+    for bad in ("cuda:x", "cudax", "cuda:"):
+        with pytest.raises(ValueError):
+            settings.device_map(bad)
+    assert settings.absolute("/a/../b") == "/b" and settings.absolute("~").startswith("/")
+
+
+def test_collate(spark):
+    rows = spark.createDataFrame([(0, [1, 2, 9]), (0, [3]), (1, [])], "b int, ids array<int>")
+    got = {tuple(r["ids"]): (r["input_ids"], r["attention_mask"], r["labels"]) for r in collate.collate(rows, "b", "ids", 0, [9], left=True).collect()}
+    assert got == {(1, 2, 9): ([1, 2, 9], [1, 1, 1], [1, 2, -100]), (3,): ([0, 0, 3], [0, 0, 1], [-100, -100, 3]), (): ([], [], [])}
+    with pytest.raises(Exception, match="filler"):
+        collate.collate(rows, "b", "ids", None, []).collect()
+    assert collate.collate(rows.where("b = 1"), "b", "ids", None, []).first()["labels"] == []
+
+
+def test_server_state(spark):
+    bank = spark.createDataFrame([("l.0", "A", 0), ("l.0", "B", 0), ("head", None, 0)], "base_key string, factor string, r int")
+    state = adapters.server_state(bank)
+    assert {r["base_key"] for r in state.collect()} == {"model.l.0", "model.head"}
+    own, unused = adapters.load_server_state(state)
+    assert {r["base_key"] for r in own.collect()} == {"l.0"} and unused == []
+    bare = state.where("factor IS NULL")
+    with pytest.raises(ValueError):
+        adapters.load_server_state(bare)
+    assert adapters.load_server_state(bare, strict=False)[1] == ["model.head"]
+
+
+def test_walks_meet_files_in_order(spark, tmp_path):
+    for name in ("b.png", "sub-x/c.png", "sub/z.png", "sub/deep/a.png", "a.png", "sub/B.png"):
+        path = tmp_path / "ADI" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x")
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select(F.regexp_extract("path", "(/ADI/.*)", 1).alias("path"))
+    got = [r["path"] for r in paths.orderBy(*files.traversal(F.col("path"))).collect()]
+    want = []
+    for top, folders, names in os.walk(tmp_path):
+        folders.sort()
+        want += [os.path.join(top, n)[len(str(tmp_path)) :] for n in sorted(names)]
+    assert got == want
+
+
+def test_arrays_of_records(spark, tmp_path):
+    rows = spark.createDataFrame([(f"a/{i}.png", i % 9, "x", "ADI") for i in range(500)], "image string, label int, label_name string, raw_label string")
+    sinks.write_arrays(rows, str(tmp_path / "out"), F.col("raw_label"), most=50)
+    names = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("part") and p.stat().st_size]
+    assert all(isinstance(json.loads(p.read_text()), list) and len(json.loads(p.read_text())) <= 50 for p in names) and len(names) >= 10
+    assert Counter(map(tuple, files.read_records(spark, str(tmp_path / "out")).collect())) == Counter(map(tuple, rows.collect()))
+    (tmp_path / "one.json").write_text(json.dumps({"image": "x.png", "label": 1}))
+    assert files.read_records(spark, str(tmp_path / "one.json")).first()["image"] == "x.png"
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(type("Session", (), {"conf": Conf(), "sparkContext": Context}))
+
+
+def test_discarded_tables_are_gone(spark):
+    one, two = storage.cut(spark.range(3), "one"), storage.cut(spark.range(4), "two")
+    storage.discard(one)
+    assert not os.path.exists(one.cut_path.removeprefix("file://")) and two.count() == 4
