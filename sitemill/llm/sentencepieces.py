@@ -9,15 +9,20 @@ minimum, merges its leftmost occurrences and closes the gaps, until no pair
 remains. The library's result is a queue's, best score first, then leftmost.
 Merging all occurrences at once gives the same unless the merged piece begins
 or ends another piece of at least its score; then a round merges just the
-leftmost one.
+leftmost one. A round goes over all symbols of its words, so a word of over
+``LONG_WORD`` characters (text without spaces) would take the square of its
+length: such a word goes through a queue of its own, in n log n, to the same ids.
 
 Null texts count as empty, and an empty text has just the begin and end ids.
-Repeated rows give repeated rows. Only ``id_col`` and ``text_col`` are read.
+Repeated rows give repeated rows, an empty table none. Only ``id_col`` and
+``text_col`` are read, so other columns can't clash; an id may be null. A long
+text is encoded whole, a word of it at a time in memory some 200 times the word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -30,6 +35,8 @@ from .common import enter, text_chunks
 SPACE = "▁"
 #: Words whose ids a worker keeps, and the longest word kept, in characters.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Characters of a word up to which it takes part in rounds.
+LONG_WORD = 2048
 NEVER = np.int32(2**31 - 1)
 
 
@@ -89,6 +96,7 @@ class PieceModel:
         ]
         self.surface[self.unk] = " ⁇ ".encode()
         self.cache: dict[str, bytes] = {}
+        self._table: dict[int, int] = {}
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of pairs of symbols; NEVER where none."""
@@ -147,6 +155,49 @@ class PieceModel:
         by = np.argsort(word, kind="stable")
         return out[by], np.searchsorted(word[by], np.arange(n_words + 1))
 
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for one word, by a queue of pairs: best rank first, then
+        leftmost; symbols are linked, so a merge touches its neighbours alone."""
+        if not self._table:
+            packed = self.rank.astype(np.int64) << 32 | self.into
+            self._table = dict(zip(self.keys.tolist(), packed.tolist(), strict=True))
+        n, other, look, never = len(symbols), self.other, self._table.get, int(NEVER)
+        rank, _ = self._look(symbols[:-1], symbols[1:])
+        at = np.flatnonzero(rank != NEVER)
+        queue = (rank[at].astype(np.int64) << 32 | at).tolist()
+        heapq.heapify(queue)
+        held, ahead, behind = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        best = [*rank.tolist(), never]  # rank of the pair that begins at each place, -1 where none is left
+
+        def renew(i: int, j: int) -> None:
+            a, b = held[i], held[j]
+            found = look(a * other + b, -1) if a < other and b < other else -1
+            best[i] = never if found < 0 else found >> 32
+            if found >= 0:
+                heapq.heappush(queue, found >> 32 << 32 | i)
+
+        while queue:
+            first = heapq.heappop(queue)
+            i = first & 0xFFFFFFFF
+            if best[i] != first >> 32:
+                continue
+            j = ahead[i]
+            k = ahead[j]
+            held[i] = look(held[i] * other + held[j]) & 0xFFFFFFFF
+            best[j], ahead[i] = -1, k
+            if k < n:
+                behind[k] = i
+                renew(i, k)
+            else:
+                best[i] = never
+            if behind[i] >= 0:
+                renew(behind[i], i)
+        out, i = [], 0
+        while i < n:
+            out.append(held[i])
+            i = ahead[i]
+        return np.array(out, np.int32)
+
     def _risky(self, into: np.ndarray, at: np.ndarray, head: np.ndarray) -> np.ndarray:
         """Whether any merge of the word in this round makes an unsafe piece."""
         unsafe = self.unsafe[into[at]]
@@ -164,7 +215,20 @@ class PieceModel:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         full = np.flatnonzero(sizes)
-        merged, at = self.merge(symbols, (ends - sizes)[full])
+        long = sizes[full] > LONG_WORD
+        if long.any():
+            whole = [None] * len(full)
+            for k in np.flatnonzero(long).tolist():
+                whole[k] = self._merge_long(symbols[ends[full[k]] - sizes[full[k]] : ends[full[k]]])
+            rest = np.flatnonzero(~long)
+            if len(rest):
+                own = np.concatenate([symbols[ends[w] - sizes[w] : ends[w]] for w in full[rest].tolist()])
+                merged, at = self.merge(own, np.cumsum(sizes[full[rest]]) - sizes[full[rest]])
+                for k, a, b in zip(rest.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    whole[k] = merged[a:b]
+            merged, at = np.concatenate(whole), np.cumsum([0, *map(len, whole)])
+        else:
+            merged, at = self.merge(symbols, (ends - sizes)[full])
         out = [b""] * len(words)
         plain = merged < self.n_pieces
         odd = set(np.searchsorted(at, np.flatnonzero(~plain), "right").tolist()) if not plain.all() else ()

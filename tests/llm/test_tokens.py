@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -48,6 +49,38 @@ def test_unsafe_merges_take_the_leftmost_first(lib):
         assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == lib.encode(text)
 
 
+def long_words():
+    rng = random.Random(9)
+    yield "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    yield "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))
+    yield from ("a" * 100_000, "=" * 100_001, "the" * 40_000, "😀é中" * 3000, "ab" * 2049)
+
+
+def test_long_words_take_seconds_and_equal_the_library(lib):
+    model = sentencepieces.piece_model(PIECES)
+    for word in long_words():
+        began = time.perf_counter()
+        ids = np.frombuffer(model.encode([f"so {word} ends"])[0], "<u4").tolist()
+        took = time.perf_counter() - began
+        assert ids == lib.encode(f"so {word} ends")
+        assert took < 30, (len(word), took)
+    print(f"{len(word)} characters: {took:.1f} s")
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXT)
+def test_the_queue_equals_the_rounds(text):
+    model = sentencepieces.piece_model(PIECES)
+    words = model.words(text)
+    rounds = model.encode_words(words)
+    before = sentencepieces.LONG_WORD
+    try:
+        sentencepieces.LONG_WORD = 3
+        assert model.encode_words(words) == rounds
+    finally:
+        sentencepieces.LONG_WORD = before
+
+
 def test_codec_of_odd_documents(odd, none, lib):
     got = sentencepieces.encode_decode(odd, PIECES, digest=True).collect()
     want = Counter()
