@@ -62,11 +62,13 @@ def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
 
 
 class Segment:
-    """Reads a segment's bytes; the arrays are views, nothing is copied."""
+    """Reads a segment's bytes; the arrays are views, nothing is copied, so
+    opening one costs nothing for its size. ``verify`` goes over all bytes."""
 
     def __init__(self, raw: bytes):
-        if raw[:4] != MAGIC or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
-            raise ValueError("not a whole segment of this format")
+        if len(raw) < 32 or raw[:4] != MAGIC:
+            raise ValueError("not a segment of this format")
+        self.raw = raw
         self.chunk, n_levels, self.n_ids, self.n_docs = struct.unpack_from("<IIQQ", raw, 4)
         at = 28
         self.starts = np.frombuffer(raw, "<u8", self.n_docs + 1, at).astype(np.int64)
@@ -83,6 +85,12 @@ class Segment:
             at += 8 * n_blocks
             self.levels.append((low, words, before))
 
+    def verify(self) -> Segment:
+        """Refuses a damaged segment."""
+        if zlib.crc32(memoryview(self.raw)[:-4]) != struct.unpack("<I", self.raw[-4:])[0]:
+            raise ValueError("not a whole segment of this format")
+        return self
+
     def _rank(self, level: int, i: int) -> int:
         """Ones before bit i."""
         _, words, before = self.levels[level]
@@ -125,16 +133,20 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 2, segmen
     """Encodes whole texts, each with ``end_id`` behind it, and writes them in
     ascending order of ``id_col`` as files of segments in the shared folder.
 
-    Texts are dealt by ranges of id, so part p holds smaller ids than part
+    Texts are dealt by ranges of id, so part p holds no greater ids than part
     p + 1 and needs no global sort; the only shuffle is that of the texts. A
-    segment goes into one row of a Parquet file, whose committer keeps a lost
-    task's half-written output out on any file system; ``content`` alone is a
-    whole file of this format. A task holds one segment at a time. Null texts
-    are empty (just the end id), null ids come first, rows that share an id
-    stay together, and rows of one range with the same id share a part.
+    segment goes into one row of an uncompressed Parquet file, whose committer
+    keeps a lost task's half-written output out on any file system; ``content``
+    alone is a whole file of this format. A task holds one segment at a time.
+    Null texts are empty (just the end id) and null ids come first. Rows that
+    share an id, or have none, are ordered and dealt by a hash of their texts.
+    A very long text is encoded whole and makes a segment longer than the
+    others. An empty table gives no segment. Only the id and the text are read,
+    so no name can clash.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,29 +176,52 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 2, segmen
         if held:
             yield flush()
 
-    return materialize(ordered.mapInArrow(run, SEGMENT_SCHEMA), "dac")
+    return materialize(ordered.mapInArrow(run, SEGMENT_SCHEMA), "dac", "uncompressed")
 
 
-def read_segments(segments: DataFrame) -> DataFrame:
-    """Reads written segments back: per document ``doc_id, start`` (ids of all
-    documents before it), ``n_tokens`` and ``ids_crc32``.
-
-    Segments' bases come from a running sum in each part over segments, plus a
-    running sum over parts; the table of parts has a row for each shuffle
-    partition at most, so it is broadcast.
-    """
+def _bases(segments: DataFrame) -> DataFrame:
+    """``q, s, base, n``: the ids before each segment, and its own. A running
+    sum in each part over segments, plus one over parts; the table of parts has
+    a row for each shuffle partition at most, so it is broadcast."""
     from pyspark.sql import Window as W
 
     sizes = segments.select("part", "segment", "n_ids")
     totals = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select(F.col("part").alias("p"), (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_base"))
-    inside = sizes.select(F.col("part").alias("q"), F.col("segment").alias("s"), (F.sum("n_ids").over(W.partitionBy("part").orderBy("segment")) - F.col("n_ids")).alias("segment_base"))
-    based = inside.join(F.broadcast(before), F.col("q") == F.col("p")).select("q", "s", (F.col("part_base") + F.col("segment_base")).alias("base"))
+    inside = sizes.select(F.col("part").alias("q"), F.col("segment").alias("s"), "n_ids", (F.sum("n_ids").over(W.partitionBy("part").orderBy("segment")) - F.col("n_ids")).alias("segment_base"))
+    return inside.join(F.broadcast(before), F.col("q") == F.col("p")).select("q", "s", (F.col("part_base") + F.col("segment_base")).alias("base"), F.col("n_ids").alias("n"))
+
+
+def tokens_at(segments: DataFrame, positions: DataFrame, grid: int = SEGMENT_IDS) -> DataFrame:
+    """``position, token`` of the ids at ``position`` (counted over all
+    documents), each read alone from its segment. Positions outside are left
+    out; one asked for twice comes once. Positions find their segments by the
+    cells of a grid that both lie in; a segment lies in a few."""
+    bases = _bases(segments).where("n > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("base") / grid), F.floor((F.col("base") + F.col("n") - 1) / grid))))
+    asked = positions.select(F.col("position").cast("long").alias("position")).distinct().withColumn("own", F.floor(F.col("position") / grid))
+    inside = (F.col("own") == F.col("cell")) & (F.col("position") >= F.col("base")) & (F.col("position") < F.col("base") + F.col("n"))
+    wanted = asked.join(bases, inside).groupBy("q", "s").agg(F.min("base").alias("base"), F.collect_list("position").alias("places"))
+    joined = segments.join(wanted, (F.col("part") == F.col("q")) & (F.col("segment") == F.col("s"))).select("base", "places", "content")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, places, content in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                segment, at = Segment(content.as_py()), places.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([segment.get(p - base.as_py()) for p in at], pa.int64())], ["position", "token"])
+
+    return joined.mapInArrow(run, "position long, token long")
+
+
+def read_segments(segments: DataFrame) -> DataFrame:
+    """Reads written segments back: per document ``doc_id, start`` (ids of all
+    documents before it), ``n_tokens`` and ``ids_crc32``. Every segment is
+    verified; no segment gives no row."""
+    based = _bases(segments).drop("n")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, number, names, content in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3), strict=True):
-                segment = Segment(content.as_py())
+                segment = Segment(content.as_py()).verify()
                 n = segment.n_docs
                 crcs = [zlib.crc32(np.ascontiguousarray(d, "<u4")) for d in segment.documents()]
                 yield pa.RecordBatch.from_arrays(

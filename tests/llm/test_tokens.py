@@ -122,6 +122,28 @@ def test_written_tokens_read_back(odd, none):
     assert dac.read_segments(dac.write_segments(none, WORDS)).count() == 0
 
 
+def test_any_token_is_read_alone(odd, none, spark):
+    segments = dac.write_segments(odd, WORDS, segment_ids=700)
+    ids = {}
+    for r in dac.read_segments(segments).collect():
+        ids[r["start"]] = r["n_tokens"]
+    assert sorted(ids) == np.cumsum([0, *[ids[s] for s in sorted(ids)]])[:-1].tolist()
+    whole = np.concatenate([dac.Segment(bytes(r["content"])).ids() for r in segments.orderBy("part", "segment").collect()])
+    asked = [*range(0, len(whole), 97), 0, len(whole) - 1, len(whole), -1]
+    positions = spark.createDataFrame([(p,) for p in asked], "position long")
+    for grid in (1 << 20, 500):
+        got = {r["position"]: r["token"] for r in dac.tokens_at(segments, positions, grid).collect()}
+        assert got == {p: int(whole[p]) for p in asked if 0 <= p < len(whole)}
+    assert dac.tokens_at(dac.write_segments(none, WORDS), positions).count() == 0
+
+
+def test_rows_of_one_id_are_dealt_to_several_parts(spark):
+    same = spark.createDataFrame([(None if i % 2 else 7, f"text number {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    segments = dac.write_segments(same, WORDS)
+    assert segments.select("part").distinct().count() > 2
+    assert dac.read_segments(segments).count() == 400
+
+
 def test_random_access_and_damage():
     rng = np.random.default_rng(0)
     ids = np.concatenate([rng.integers(0, 49_408, 3000), [0, 255, 256, 65_535, 65_536, 2**32 - 1], np.zeros(600, int)]).astype(np.uint32)
@@ -133,7 +155,7 @@ def test_random_access_and_damage():
     with pytest.raises(IndexError):
         segment.get(len(ids))
     with pytest.raises(ValueError):
-        dac.Segment(raw[:50] + bytes([raw[50] ^ 1]) + raw[51:])
+        dac.Segment(raw[:50] + bytes([raw[50] ^ 1]) + raw[51:]).verify()
 
 
 def test_differencing_against_its_definition():
