@@ -4,7 +4,8 @@ and metrics.
 Sums run in double over exploded components with partial aggregation on the
 map side, so a shuffle carries one row a cell and task, whatever the clients
 number. Only the truncated decomposition is Python: a group a base key, with
-matrices as small as the sum of the clients' ranks.
+matrices as small as the sum of the clients' ranks, merged by groups of clients
+where that is much.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from ..storage import cut
 
 
 def client_weight(meta: Column, key: str = "num_examples", steps: str = "num_steps") -> Column:
@@ -108,29 +112,80 @@ def truncated(left: np.ndarray, right: np.ndarray, target: int) -> tuple[np.ndar
     return b, a
 
 
-def reconstruct(factors: DataFrame, weights: DataFrame, by: str, target: int) -> DataFrame:
+def merged(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factors (m, k), (k, n) of the same product with k at most the lesser of
+    m and n: fewer, where several clients' ranks add up to more."""
+    k = min(left.shape[0], right.shape[1])
+    if left.shape[1] <= k:
+        return left, right
+    b, a = truncated(left, right, k)
+    return b, a
+
+
+#: Components of a base that one task takes, about.
+MOST_COMPONENTS = 4096
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(m, k) and (k, n) of the rows of a base, weighted by their shares."""
+    sides = {}
+    for f in ("A", "B"):
+        part = table.filter(pc.equal(table["factor"], f)).sort_by([("client", "ascending"), ("r", "ascending")])
+        keys = list(zip(part["client"].to_pylist(), part["r"].to_pylist(), strict=True))
+        width = len(part["vec"][0]) if part.num_rows else 0
+        vecs = part["vec"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, width) if width else np.zeros((0, 0))
+        sides[f] = keys, vecs * part["share"].to_numpy()[:, None] if width else vecs
+    if sides["A"][0] != sides["B"][0]:
+        raise ValueError("factors without their partner")
+    return sides["B"][1].T, sides["A"][1]
+
+
+def _bank(base: object, kind: pa.DataType, b: np.ndarray, a: np.ndarray, **more: object) -> pa.Table:
+    k = b.shape[1]
+    vecs = [*b.T.astype(np.float64).tolist(), *a.tolist()]
+    table = pa.table({"base": [base] * len(vecs), "factor": ["B"] * k + ["A"] * k, "r": list(range(k)) * 2, "vec": vecs}, schema=pa.schema([("base", kind), ("factor", pa.string()), ("r", pa.int32()), ("vec", pa.list_(pa.float64()))]))
+    for name, value in more.items():
+        table = table.append_column(name, pa.array([value] * len(vecs)))
+    return table
+
+
+def reconstruct(factors: DataFrame, weights: DataFrame, by: str, target: int, most: int | None = None) -> DataFrame:
     """``by, factor, r, vec``: the mean of the clients' products, truncated to
-    ``target`` components, without ever filling the product."""
+    ``target`` components, without ever filling the product.
+
+    Where the clients' ranks of a base add up to over ``most``, clients are
+    merged in groups of about so many first, again and again: a group's product
+    needs no more components than its lesser side has, so no task takes all
+    clients. Nothing is cut off before the last step.
+    """
+    most = most or MOST_COMPONENTS
     total = _total(weights)
-    rows = factors.join(F.broadcast(weights), "client").crossJoin(F.broadcast(total)).select(F.col(by).alias("base"), "client", "factor", "r", "vec", F.sqrt(F.col("w") / F.col("total")).alias("share"))
+    rows = factors.join(F.broadcast(weights), "client").crossJoin(F.broadcast(total)).select(F.col(by).alias("base"), F.xxhash64("client").alias("client"), "factor", F.col("r").cast("int").alias("r"), F.col("vec").cast("array<double>").alias("vec"), F.sqrt(F.col("w") / F.col("total")).alias("share"))
     kind = dict(rows.dtypes)["base"]
 
-    def one(table: pa.Table) -> pa.Table:
-        sides = {}
-        for f in ("A", "B"):
-            part = table.filter(pc.equal(table["factor"], f)).sort_by([("client", "ascending"), ("r", "ascending")])
-            keys = list(zip(part["client"].to_pylist(), part["r"].to_pylist(), strict=True))
-            width = len(part["vec"][0]) if part.num_rows else 0
-            vecs = part["vec"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, width) if width else np.zeros((0, 0))
-            sides[f] = keys, vecs * part["share"].to_numpy()[:, None] if width else vecs
-        if sides["A"][0] != sides["B"][0]:
-            raise ValueError("factors without their partner")
-        b, a = truncated(sides["B"][1].T, sides["A"][1], target)
-        base = table["base"][0].as_py()
-        vecs = [*b.T.astype(np.float64).tolist(), *a.tolist()]
-        return pa.table({"base": [base] * len(vecs), "factor": ["B"] * target + ["A"] * target, "r": list(range(target)) * 2, "vec": vecs}, schema=pa.schema([("base", table.schema.field("base").type), ("factor", pa.string()), ("r", pa.int32()), ("vec", pa.list_(pa.float64()))]))
-
-    return rows.groupBy("base").applyInArrow(lambda t: one(t), f"base {kind}, factor string, r int, vec array<double>").withColumnRenamed("base", by)
+    def width(rows: DataFrame) -> int:
+        counted = rows.groupBy("base").agg(F.count_if(F.col("factor") == "A").alias("n"))
+        return counted.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        b, a = merged(*_sides(table))
+        return _bank(table["base"][0].as_py(), table.schema.field("base").type, b, a, client=key[1].as_py(), share=1.0)
+
+    def last(table: pa.Table) -> pa.Table:
+        return _bank(table["base"][0].as_py(), table.schema.field("base").type, *truncated(*_sides(table), target))
+
+    held = width(rows)
+    while held > most:
+        groups = -(-held * 2 // most)
+        # a component's number stays unique where several clients become one
+        place = F.row_number().over(W.Window.partitionBy("base", "client", "factor").orderBy("own", "r"))
+        dealt = rows.withColumn("own", F.col("client")).withColumn("client", F.pmod(F.xxhash64("client"), F.lit(groups))).withColumn("r", place.cast("int")).drop("own")
+        rows = cut(dealt.groupBy("base", "client").applyInArrow(merge, f"base {kind}, factor string, r int, vec array<double>, client long, share double"), "merged")
+        now = width(rows)
+        if now >= held:  # sides wider than all the ranks: there is nothing to merge
+            break
+        held = now
+    return rows.groupBy("base").applyInArrow(last, f"base {kind}, factor string, r int, vec array<double>").withColumnRenamed("base", by)
 
 
 def metric_mean(updates: DataFrame) -> DataFrame:

@@ -215,6 +215,20 @@ def test_reconstruction(spark, target):
     assert (np.diff(np.linalg.norm(a, axis=1)) <= 1e-9).all()
 
 
+def test_many_clients_are_merged_in_groups(spark):
+    """No task takes all clients, and the product stays what it is."""
+    mats, factors, weights = bank_of(spark, 6, (3,) * 40)
+    total = sum(c + 1 for c in mats)
+    mean = sum((c + 1) / total * b @ a for c, (b, a) in mats.items())
+    for target in (2, 5):
+        whole = matrices(aggregation.reconstruct(factors, weights, "base_key", target).collect(), target)
+        parts = matrices(aggregation.reconstruct(factors, weights, "base_key", target, most=12).collect(), target)
+        assert np.allclose(whole[0] @ whole[1], parts[0] @ parts[1])
+    assert np.allclose(parts[0] @ parts[1], mean)
+    b, a = aggregation.merged(np.ones((4, 9)), np.ones((9, 3)))
+    assert b.shape == (4, 3) and np.allclose(b @ a, 9)
+
+
 def test_reconstruction_of_zeros():
     b, a = aggregation.truncated(np.zeros((4, 2)), np.zeros((2, 3)), 5)
     assert b.shape == (4, 5) and not (b @ a).any()
