@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, text_chunks
+from .common import Scratch, apart, shuffle_partitions, text_chunks
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Bits of the three blocks, from the lowest.
@@ -184,9 +184,10 @@ def _meet(fps: np.ndarray, pair: int, point: int) -> tuple[np.ndarray, np.ndarra
 def links(distinct: DataFrame) -> DataFrame:
     """``a, b``: edges that join just the fingerprints that links join; at each
     point a member is tied to the first of those that its links reach. One
-    shuffle of 17-byte rows, 130 for each fingerprint."""
-    spark = distinct.sparkSession
-    met = balls(distinct).repartition(shuffle_partitions(spark), "pair", "point").sortWithinPartitions("pair", "point", "fp")
+    shuffle of 17-byte rows, 130 for each fingerprint; fingerprints are dealt
+    out before that, so that few small partitions don't make all of them."""
+    parts = shuffle_partitions(distinct.sparkSession)
+    met = balls(distinct.repartition(parts, apart("fp"))).repartition(parts, "pair", "point").sortWithinPartitions("pair", "point", "fp")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -244,17 +245,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, label: str = "cc") -> DataFrame:
+def _joined_by(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with the ``m`` that ``least`` (u, m), aggregated, has for u."""
+    return rows.join(least.select(apart("u").alias("c"), "m"), apart("u") == F.col("c")).select("u", "v", "m")
+
+
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node, root``: the least node of each component of ``edges`` (a, b),
     for every node with an edge.
 
     Alternating stars: every node links its greater neighbours to its least
     one, then its lesser ones and itself to their least. Each half is a
-    combined minimum and an equi-join, so a hub is split by the skewed join
-    and nothing is gathered; every round is written to the shared folder.
-    Ends when a round changes nothing.
+    combined minimum and an equi-join between plain exchanges, so a hub is
+    split by the skewed join and nothing is gathered; every round is written
+    to the shared folder. Ends when a round changes nothing.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), label)
+    scratch = scratch or Scratch()
+    now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
 
     def key(df: DataFrame) -> tuple:
         row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
@@ -263,13 +270,12 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     seen = key(now)
     while seen[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
-        large = both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = materialize(large, label)
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        joined = large.join(least, F.col("u") == F.col("c"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = _joined_by(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = scratch.write(large, "large")
+        joined = _joined_by(large, large.groupBy("u").agg(F.min("v").alias("m")))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        now = materialize(small, label)
+        now = scratch.write(small, "small")
         new = key(now)
         if new == seen:
             break
@@ -284,13 +290,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     The component is the least ``doc_id`` reachable over links of at most four
     differing bits. Documents without words have fingerprint 0 and link like
     any other; rows that repeat an id give a row each; a null id is a member
-    but never a component's name, unless all of it are null. Texts are read
-    once; only (id, fingerprint) goes on.
+    but never a component's name, unless all of it are null. A very long text
+    is read whole, its hashes in memory; an empty table gives none. Only the
+    id and the text are read, so no name can clash. Texts are read once; only
+    (id, fingerprint) goes on.
     """
-    own = materialize(fingerprints(docs, words, id_col, text_col), "fp")
+    scratch = Scratch()
+    own = scratch.write(fingerprints(docs, words, id_col, text_col), "fp")
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(distinct.select("fp")))
-    rooted = materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "roots")
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = materialize(rooted.join(named, "root").select(F.col("fp").alias("of_fp"), "component_id"), "names")
+    roots = components(links(distinct.select("fp")), scratch)
+    rooted = scratch.write(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "roots")
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id")).select(apart("root").alias("of_root"), "component_id")
+    of = scratch.write(rooted.join(named, apart("root") == F.col("of_root")).select(F.col("fp").alias("of_fp"), "component_id"), "names")
+    scratch.remove(own, of)
     return own.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -260,6 +260,31 @@ def test_components_of_chains_stars_and_rings(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_hub_is_split_in_the_join(spark):
+    """Spark splits a hot key only between plain exchanges."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = simhash.Scratch().write(spark.range(40_000).repartition(8).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("u"), F.col("id").alias("v")), "hub")
+        joined = simhash._joined_by(edges, edges.groupBy("u").agg(F.min("v").alias("m")))
+        assert joined.where("u = 7").agg(F.min("m"), F.max("m"), F.count("*")).first() == (0, 0, 13_335)
+        joined.write.format("noop").mode("overwrite").save()
+        rows = joined.collect()
+        assert len(rows) == 40_000 and "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_points_are_made_by_many_tasks(spark):
+    """Few small partitions of fingerprints don't make all points."""
+    few = spark.createDataFrame([(i,) for i in range(1000)], "fp long").groupBy("fp").count().select("fp")
+    plan = simhash.links(few)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2
+
+
 # suffix arrays
 
 
