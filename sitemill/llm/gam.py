@@ -158,7 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """``kept`` (the columns of ``keep``) and ``score`` of every whole text; a
-    null text scores as an empty one."""
+    null text scores as an empty one, and all empty texts alike. Rows are
+    scored one by one: repeated rows repeat their score, equal scores are
+    nothing to break, and an empty table gives none. A long text is read whole,
+    its words in memory; ``kept`` is a struct, so no name can clash."""
 
     def work(chunk: TextChunk) -> list[pa.Array]:
         x = np.array([features(t) for t in chunk.rows()]).reshape(-1, len(FEATURES))

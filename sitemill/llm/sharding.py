@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import materialize, shuffle_partitions
+from .common import Scratch, shuffle_partitions
 
 #: Bits of each dimension's bin, and codes that a dimension is counted in.
 BITS, CODES = 5, 1 << 16
@@ -83,7 +83,7 @@ def _codes(slim: DataFrame, dims: list[str]) -> dict[str, Column]:
             code = F.conv(two, 16, 10).cast("int")
         else:
             code = F.floor(F.log2(F.greatest(c.cast("double"), F.lit(0.0)) + 1) * 1000).cast("int")
-        out[d] = F.coalesce(F.least(F.lit(CODES - 1), code + 1), F.lit(0))
+        out[d] = F.when(c.isNull(), 0).otherwise(F.least(F.lit(CODES - 1), code + 1))  # least passes over nulls
     return out
 
 
@@ -131,12 +131,14 @@ def hilbert_shards(docs: DataFrame, shards: int, dims: list[str], law: str = "ro
     if law not in ("rows", "bytes"):
         raise ValueError("law is rows or bytes")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = materialize(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *[F.col(d) for d in dims if d not in OWN]), "slim")
+    scratch = Scratch()
+    slim = scratch.write(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *[F.col(d) for d in dims if d not in OWN]), "slim")
     codes = _codes(slim, dims)
     bins = _bins(slim, codes, bits)
     order = ["curve", "doc_id", "text_crc32"]
     placed = slim.withColumn("curve", hilbert_index(bins, bits)).repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    placed = materialize(placed.withColumn("place", F.monotonically_increasing_id()), "curve")
+    placed = scratch.write(placed.withColumn("place", F.monotonically_increasing_id()), "curve")
+    scratch.remove(placed)
     part = F.shiftright("place", 33)
     totals = placed.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.sum("size").alias("b"))
     one = W.Window.orderBy("p")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -53,6 +54,30 @@ def test_shards_of_odd_documents(odd, none, law):
         sharding.hilbert_shards(odd, 7, ["lang"], "other")
 
 
+def test_shards_against_hand_made_ones(odd, spark):
+    """Codes, bins and ranks counted out; the curve's own places are tested above."""
+    rows = odd.collect()
+    n, bits, sources, langs = len(rows), 5, ["a", "b", "https://x"], ["de", "en"]
+
+    def two_bytes(value, known):
+        shared = 0
+        while len({k.encode()[: shared + 1] for k in (known[0], known[-1])}) == 1 and shared < len(known[0]):
+            shared += 1
+        tail = (value.encode()[shared : shared + 2]).hex().ljust(4, "0")
+        return min(65535, int(tail, 16) + 1)
+
+    codes = {"source": [0 if r["source"] is None else two_bytes(r["source"], sources) for r in rows], "lang": [0 if r["lang"] is None else two_bytes(r["lang"], langs) for r in rows], "doc_id": [0 if r["doc_id"] is None else min(65535, math.floor(math.log2(r["doc_id"] + 1) * 1000) + 1) for r in rows]}
+    bins = {d: [(sum(x < c for x in column) << bits) // n for c in column] for d, column in codes.items()}
+    points = sorted(set(zip(*(bins[d] for d in codes), strict=True)))
+    at = spark.createDataFrame(points, "x int, y int, z int").withColumn("at", sharding.hilbert_index([F.col(c) for c in "xyz"], bits)).collect()
+    curve = {(r["x"], r["y"], r["z"]): r["at"] for r in at}
+    keyed = sorted((curve[tuple(bins[d][i] for d in codes)], r["doc_id"] is not None, r["doc_id"] or 0, zlib.crc32((r["text"] or "").encode())) for i, r in enumerate(rows))
+    first = [-(-s * n // 7) for s in range(7)]
+    want = [(*k, i * 7 // n, i - first[i * 7 // n]) for i, k in enumerate(keyed)]
+    got = sharding.hilbert_shards(odd, 7, ["source", "lang", "doc_id"]).collect()
+    assert sorted((r["curve"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["shard"], r["slot"]) for r in got) == sorted(want)
+
+
 def test_written_shards_hold_every_row_once(odd, tmp_path, spark):
     sharding.write_shards(odd, sharding.hilbert_shards(odd, 5, ["source", "lang"]), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
@@ -87,6 +112,82 @@ def test_gam_learns_features_and_a_pair():
     assert model.score(x[5:6])[0] == pytest.approx(1 / (1 + math.exp(-total)))
 
 
+def gam_by_hand(x, y):
+    """The same boosting row by row; returns each row's score."""
+    n, k = len(x), len(x[0])
+
+    def cuts_of(values, bins):
+        known = sorted(set(values))
+        if len(known) < 2:
+            return []
+        at = {float(np.quantile(c, i / bins)) for c in (values, known) for i in range(1, bins)}
+        places = sorted({min(max(sum(v < a for v in known), 1), len(known) - 1) for a in at})
+        return [(known[i - 1] + known[i]) / 2 for i in places]
+
+    def gain(rows, g, h):
+        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+
+    def split(rows, bin_of, g, h):
+        best, out = 1e-9, None
+        for c in sorted({bin_of[i] for i in rows}):
+            left, right = [i for i in rows if bin_of[i] < c], [i for i in rows if bin_of[i] >= c]
+            if len(left) >= gam.LEAF and len(right) >= gam.LEAF:
+                more = gain(left, g, h) + gain(right, g, h) - gain(rows, g, h)
+                if more > best + 1e-12:
+                    best, out = more, (c, left, right)
+        return (best, *out) if out else None
+
+    def grow(rows, bin_of, low, high, g, h, depth):
+        """Value of each bin from low to high."""
+        found = split(rows, bin_of, g, h) if depth else None
+        if not found:
+            return {b: sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1) for b in range(low, high)}
+        _, c, left, right = found
+        # empty bins between two groups go with the right one, as the first best place is taken
+        c = max([bin_of[i] for i in left]) + 1
+        return grow(left, bin_of, low, c, g, h, depth - 1) | grow(right, bin_of, c, high, g, h, depth - 1)
+
+    bins = [[sum(c <= r[j] for c in cuts_of([q[j] for q in x], gam.BINS)) for r in x] for j in range(k)]
+    size = [len(cuts_of([q[j] for q in x], gam.BINS)) + 1 for j in range(k)]
+    rate = (sum(y) + 0.5) / (n + 1)
+    total = [math.log(rate / (1 - rate))] * n
+    for _ in range(gam.ROUNDS):
+        for j in range(k):
+            p = [1 / (1 + math.exp(-t)) for t in total]
+            value = grow(range(n), bins[j], 0, size[j], [a - b for a, b in zip(y, p, strict=True)], [b * (1 - b) for b in p], 2)
+            total = [t + gam.STEP * value[b] for t, b in zip(total, bins[j], strict=True)]
+    return [1 / (1 + math.exp(-t)) for t in total]
+
+
+def test_boosting_against_row_by_row(monkeypatch):
+    monkeypatch.setattr(gam, "ROUNDS", 4)
+    monkeypatch.setattr(gam, "PAIRS", 0)
+    monkeypatch.setattr(gam, "BINS", 7)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.uniform(size=(160, 4)), 2)
+    y = ((x[:, 0] > 0.5) ^ (rng.uniform(size=160) < 0.15) | (x[:, 2] > 0.9)).astype(float)
+    assert gam.fit(x, y).score(x) == pytest.approx(gam_by_hand(x.tolist(), y.tolist()), abs=1e-9)
+
+
+def test_best_pair_of_cells_by_trial():
+    """The cut along one side and across both halves that explains most."""
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        g, n = rng.normal(size=(4, 5)), rng.integers(0, 60, (4, 5))
+        h = n * 0.2
+        best = 0.0
+        for G, H, N in ((g, h, n), (g.T, h.T, n.T)):
+            for i in range(1, len(G)):
+                total = -(g.sum() ** 2 / (h.sum() + 1))
+                for rows in (slice(0, i), slice(i, None)):
+                    a, b, c = G[rows].sum(0), H[rows].sum(0), N[rows].sum(0)
+                    options = [a.sum() ** 2 / (b.sum() + 1)]
+                    options += [a[:j].sum() ** 2 / (b[:j].sum() + 1) + a[j:].sum() ** 2 / (b[j:].sum() + 1) for j in range(1, len(a)) if c[:j].sum() >= gam.LEAF and c[j:].sum() >= gam.LEAF]
+                    total += max(options)
+                best = max(best, total)
+        assert gam._quadrants(g, h, n)[0] == pytest.approx(best)
+
+
 def test_gam_on_odd_documents(odd, none, labels):
     model = gam.train(odd, labels)
     got = gam.score(odd, model, ["doc_id", "kept", "score"]).select("kept.doc_id", "kept.score", F.col("score").alias("own")).collect()
@@ -158,6 +259,36 @@ def test_rules_and_sentences_equal_sql(spark, folder):
         assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
 
 
+def test_cutoffs_of_several_strata_equal_sql(spark, tmp_path):
+    """Where rules act: two languages with enough labels, one without."""
+    import duckdb
+
+    from sitemill.llm import rules_sql
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(4200):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(12, 30))]
+        if i % 40 == 0:
+            words += ["###"] * rng.randint(1, 60)
+        if i % 55 == 0:
+            words = [w.upper() + "!" for w in words]
+        rows.append((i, " ".join(words) + "\n" + ("same line\n" * (i % 7 if i % 60 == 0 else 0)), ["en", "de", "xx"][0 if i < 2000 else 1 if i < 4000 else 2]))
+    labels = [(i, int(i % 40 != 0 and i % 55 != 0 or i % 11 == 0)) for i in range(4200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "l"))
+    docs, marked = spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "l"))
+    stats = rules.count_texts(docs, ["doc_id"]).select("kept.doc_id", "stratum", *rules.COUNTS)
+    assert {s for s, _ in rules.calibrate(stats, marked)} == {"en", "de"}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    con.sql(f"CREATE VIEW labels AS SELECT * FROM '{tmp_path}/l/*.parquet'")
+    got, want = rules.judge(docs, marked), con.sql(rules_sql.SQL)
+    rejected = got.where("NOT base_failed AND NOT kept").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").count().collect()
+    assert {r["lang"] for r in rejected} == {"en", "de"}
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_cutoffs_need_proof_in_each_stratum(spark):
     text = "good words in a fine line of text that goes on here "
     rows = [(i, "en", text + str(i)) for i in range(3000)] + [(3000 + i, "xx", text + str(i)) for i in range(20)] + [(4000 + i, s, "### " * 30 + " ".join(f"w{i}{k}" for k in range(40))) for i, s in enumerate(["en", "xx"])]
