@@ -6,11 +6,14 @@ down to a Jaccard similarity of ``SIMILARITY`` of their sets of runs of
 by prefix filtering, which loses none: if runs have one order everywhere, two
 sets of the similarity s share a run among the first n - ceil(s n) + 1 of each.
 Runs that a sample of the documents holds most often come last in the order, so
-that common lines meet few documents; any order is exact.
-
-All pairs that meet are compared, but for those that the sizes or parities of
-run hashes (256, then one or two a run) prove too unlike, and those joined by
-other links already. Where
+that common lines meet few documents; any order is exact. A pair that meets in a run
+with so many others before it, in either set, that what is left can't reach the
+similarity is passed over (the run may be shared, but not be the first that
+is), so copies edited at many places of their own don't make pairs.
+
+All other pairs that meet are compared, but for those that the sizes or
+parities of run hashes (256, then one or two a run) prove too unlike, and those
+joined by other links already. Where
 over ``SMALL`` sets meet, they are first tied to one of them, and only pairs
 that this leaves in different groups are compared afterwards, so a large group
 of copies gives an edge for each, not its pairs. Sets are known by 64-bit
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TextChunk, materialize, shuffle_partitions, text_chunks
+from .common import Scratch, TextChunk, apart, shuffle_partitions, text_chunks
 from .simhash import components, links, majority, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -155,11 +158,14 @@ def _screened(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def _near(similarity: float) -> Column:
-    """Whether sizes and parities let sets ``a`` and ``b`` reach the
-    similarity: each run that only one of them has turns one parity."""
+    """Whether sizes, parities and the run that they meet in let sets ``a`` and
+    ``b`` reach the similarity: each run that only one of them has turns one
+    parity, and runs before the first that both have are in one of them."""
     odd = sum((F.bit_count(F.col(f"a.m{k}").bitwiseXOR(F.col(f"b.m{k}"))) for k in range(MARKS)), F.lit(0))
     sizes = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9
-    return sizes & (odd <= (F.col("a.n") + F.col("b.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    share = similarity / (1 + similarity)
+    behind = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    return sizes & (behind >= (F.col("a.n") + F.col("b.n")) * share - 1e-6) & (odd <= (F.col("a.n") + F.col("b.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
 def near_copies(docs: DataFrame, key: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -172,17 +178,23 @@ def near_copies(docs: DataFrame, key: str, similarity: float = SIMILARITY) -> Da
     of runs, and those with a candidate once more. Null texts are empty; texts
     without words are copies of each other.
     """
+    spark, scratch = docs.sparkSession, Scratch()
     keyed = docs.select(F.col(key).alias("key"), "text")
     names = [f"m{k}" for k in range(MARKS)]
-    own = materialize(_mapped(keyed, ["key"], f"fp long, sid long, n long, {', '.join(f'{m} long' for m in names)}, wide binary, prefix array<long>", _prints(similarity, *_common(keyed))), "prints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    own = scratch.write(_mapped(keyed, ["key"], f"fp long, sid long, n long, {', '.join(f'{m} long' for m in names)}, wide binary, prefix array<long>", _prints(similarity, *_common(keyed))), "prints")
+    distinct = scratch.write(own.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     # of a set of runs one document is read again; its fingerprint, the least, stands for it
-    sets = materialize(own.groupBy("sid").agg(F.min("fp").alias("fp"), F.min(F.struct("key")).alias("wanted"), *[F.max(c).alias(c) for c in ("n", *names, "wide")]), "sets")
+    sets = scratch.write(own.groupBy("sid").agg(F.min("fp").alias("fp"), F.min(F.struct("key")).alias("wanted"), *[F.max(c).alias(c) for c in ("n", *names, "wide")]), "sets")
     same = own.select("sid", F.col("fp").alias("b")).distinct().join(sets.where("n > 0").select("sid", F.col("fp").alias("a")), "sid").where("a != b").select("a", "b")
+    near = scratch.write(links(distinct.select("fp")).union(same), "links")
     # one shuffle of the prefixes by run; copies are one set
-    met = own.select("sid", F.explode("prefix").alias("run")).repartition(shuffle_partitions(docs.sparkSession), "run").dropDuplicates(["run", "sid"])
-    met = materialize(met.selectExpr("run", "sid", "count(*) OVER (PARTITION BY run) AS k").where("k > 1"), "met")
-    held = materialize(met.join(sets.select("sid", "fp", "n", *names), "sid"), "held")
+    met = own.select("sid", F.posexplode("prefix").alias("pos", "run")).repartition(shuffle_partitions(spark), "run").dropDuplicates(["run", "sid"])
+    met = scratch.write(met.selectExpr("run", "sid", "pos", "count(*) OVER (PARTITION BY run) AS k").where("k > 1"), "met")
+    slim = scratch.write(own.select("key", "fp"), "keys")
+    scratch.drop(own)
+    scratch.free(spark)
+    held = scratch.write(met.join(sets.select("sid", "fp", "n", *names), "sid"), "held")
+    scratch.drop(met)
     few, many = held.where(F.col("k") <= SMALL), held.where(F.col("k") > SMALL)
     close = _near(similarity)
 
@@ -191,37 +203,48 @@ def near_copies(docs: DataFrame, key: str, similarity: float = SIMILARITY) -> Da
 
     def screened(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("sid").alias(f"of_{c}"), F.col("n").alias(f"n_{c}"), F.col("wide").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-        both = materialize(pairs, "candidates").join(left, F.col("a") == F.col("of_a")).join(right, F.col("b") == F.col("of_b"))
-        return materialize(_screened(both.withColumn("n", F.col("n_a") + F.col("n_b")), similarity), "pairs")
+        both = scratch.write(pairs, "candidates").join(left, F.col("a") == F.col("of_a")).join(right, F.col("b") == F.col("of_b"))
+        return scratch.write(_screened(both.withColumn("n", F.col("n_a") + F.col("n_b")), similarity), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
-        wanted = materialize(sets.join(asked, F.col("sid") == F.col("of")).select("sid", F.col("wanted.key").alias("wanted")), "wanted")
+        wanted = scratch.write(sets.join(asked, F.col("sid") == F.col("of")).select("sid", F.col("wanted.key").alias("wanted")), "wanted")
         texts = keyed.join(wanted, F.col("key").eqNullSafe(F.col("wanted"))).select("sid", "text")
-        runs = materialize(_mapped(texts, ["sid"], "runs binary", _shingles).dropDuplicates(["sid"]), "runs")
+        runs = scratch.write(_mapped(texts, ["sid"], "runs binary", _shingles).dropDuplicates(["sid"]), "runs")
         left, right = (runs.select(F.col("sid").alias(f"of_{c}"), F.col("runs").alias(v)) for c, v in (("a", "x"), ("b", "y")))
         found = _similar(pairs.join(left, F.col("a") == F.col("of_a")).join(right, F.col("b") == F.col("of_b")), similarity)
         for c in ("a", "b"):
             found = found.join(sets.select(F.col("sid").alias(f"s_{c}"), F.col("fp").alias(f"f_{c}")), F.col(c) == F.col(f"s_{c}"))
-        return found.select(F.col("f_a").alias("a"), F.col("f_b").alias("b")).where("a != b")
+        out = scratch.write(found.select(F.col("f_a").alias("a"), F.col("f_b").alias("b")).where("a != b"), "verified")
+        scratch.drop(wanted, runs, pairs)
+        scratch.free(spark)
+        return out
 
     # a few choices over all runs, so that a pair tied in many of them is one pair
-    chosen = many.groupBy("run").agg(F.min_by(F.struct("sid", "n", *names), F.xxhash64(F.pmod("run", F.lit(4)), "sid")).alias("c")).select("run", "c.*")
+    chosen = many.groupBy("run").agg(F.min_by(F.struct("sid", "n", "pos", *names), F.xxhash64(F.pmod("run", F.lit(4)), "sid")).alias("c")).select("run", "c.*")
     ahead, differ = F.col("a.sid") < F.col("b.sid"), F.col("a.sid") != F.col("b.sid")
-    chosen = materialize(chosen, "chosen")
+    chosen = scratch.write(chosen, "chosen")
     pairs = screened(candidates(few, few, ahead).union(candidates(many, chosen, differ)).distinct())
-    edges = materialize(links(distinct.select("fp")).union(same).union(verified(pairs)), "edges")
-    roots = components(edges)
+    edges = near.union(verified(pairs))
+    roots = scratch.write(components(edges, scratch), "first-roots")
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     if not many.isEmpty():
-        roots = materialize(roots, "first-roots")
-        placed = materialize(many.join(roots, F.col("fp") == F.col("node"), "left").select("run", "sid", "n", *names, F.coalesce("root", "fp").alias("root")), "placed")
+        placed = scratch.write(many.join(roots, F.col("fp") == F.col("node"), "left").select("run", "sid", "pos", "n", *names, F.coalesce("root", "fp").alias("root")), "placed")
         # sets of a run that all lie in one group are done
-        apart = placed.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("run")
-        apart = materialize(placed.join(materialize(apart, "apart"), "run"), "open")
-        rest = screened(candidates(apart, apart, ahead & (F.col("a.root") != F.col("b.root"))))
+        unlike = placed.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("run")
+        unlike = scratch.write(placed.join(scratch.write(unlike, "unlike"), "run"), "open")
+        rest = screened(candidates(unlike, unlike, ahead & (F.col("a.root") != F.col("b.root"))))
         if not rest.isEmpty():
-            roots = components(materialize(edges.union(verified(rest)), "edges"))
-    rooted = materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_key"))
-    of = materialize(rooted.join(named, "root").select(F.col("fp").alias("of_fp"), "component_key"), "names")
-    return own.join(of, F.col("fp") == F.col("of_fp")).select(F.col("key").alias(key), "component_key")
+            # links between groups, and the groups of those
+            between = verified(rest)
+            for c in ("a", "b"):
+                between = between.join(roots.select("node", "root"), F.col(c) == F.col("node"), "left").withColumn(c, F.coalesce("root", c)).drop("node", "root")
+            over = components(between, scratch).select(F.col("node").alias("of_group"), F.col("root").alias("group"))
+            rooted = rooted.join(over, F.col("root") == F.col("of_group"), "left").select("fp", "least", F.coalesce("group", "root").alias("root"))
+    rooted = scratch.write(rooted, "roots")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_key")).select(apart("root").alias("of_root"), "component_key")
+    of = scratch.write(rooted.join(named, apart("root") == F.col("of_root")).select(F.col("fp").alias("of_fp"), "component_key"), "names")
+    out = scratch.write(slim.join(of, F.col("fp") == F.col("of_fp")).select(F.col("key").alias(key), "component_key"), "groups")
+    scratch.remove(out)
+    scratch.free(spark)
+    return out

@@ -79,6 +79,40 @@ def test_copies_edited_independently_join_as_all_pairs_do(spark, monkeypatch, sm
     assert got == want
 
 
+def test_copies_with_many_edits_of_their_own_make_no_pairs(spark, monkeypatch):
+    """A family below the similarity: runs are shared by all, pairs are few."""
+    rows = Counter()
+    write = nearcopies.Scratch.write
+
+    def counted(self, df, label):
+        out = write(self, df, label)
+        rows[label] += out.count()
+        return out
+
+    monkeypatch.setattr(nearcopies.Scratch, "write", counted)
+    rng = np.random.default_rng(11)
+    words = [f"w{rng.integers(1 << 40)}" for _ in range(120)]
+    texts_ = [edited(rng, words, 4) for _ in range(200)] + [edited(rng, words, 1) for _ in range(20)]
+    got, want = joined_as_all_pairs(spark, texts_)
+    assert got == want and rows["held"] > 500
+    assert rows["candidates"] < 2000  # of 24,090 pairs
+
+
+def test_groups_joined_by_late_links(spark, monkeypatch):
+    """Chains of copies, met in hot runs, whose ends are unlike."""
+    monkeypatch.setattr(nearcopies, "SMALL", 2)
+    rng = np.random.default_rng(12)
+    texts_ = []
+    for _ in range(6):
+        words = [f"w{rng.integers(1 << 40)}" for _ in range(80)]
+        for step in range(12):
+            words = [*words]
+            words[(step * 7) % 80] = f"e{rng.integers(1 << 40)}"
+            texts_.append(" ".join(words))
+    got, want = joined_as_all_pairs(spark, texts_)
+    assert got == want and len(set(want.values())) < len(texts_)
+
+
 def test_short_copies_join_as_all_pairs_do(spark):
     """Texts of few runs have candidates too, also if an end is changed."""
     rng = np.random.default_rng(7)
