@@ -15,6 +15,16 @@ def overlay(parts: DataFrame, keys: list[str], file_col: str) -> DataFrame:
     return parts.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
+def apply_state(bank: DataFrame, state: DataFrame, keys: tuple[str, ...] = ("base_key", "factor", "r")) -> DataFrame:
+    """A bank with the rows that a state has in place of its own of those keys;
+    rows of the bank that the state doesn't have stay."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}"))
+    kept = bank.alias("b").join(state.select(*keys).distinct().alias("s"), same, "left_anti")
+    return kept.unionByName(state.select(*bank.columns))
+
+
 def pairs(factors: DataFrame, by: list[str]) -> DataFrame:
     """Whether each base has both factors."""
     return factors.groupBy(*by).agg(F.max(F.when(F.col("factor") == "A", 1).otherwise(0)).alias("has_a"), F.max(F.when(F.col("factor") == "B", 1).otherwise(0)).alias("has_b"))

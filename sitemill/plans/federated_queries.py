@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import adapters, aggregation
 from ..storage import cut
 from . import fixtures as X
@@ -59,6 +60,20 @@ def checkpoint_overlay(spark: SparkSession, d: str) -> DataFrame:
     return adapters.overlay(X.factors(spark, d), ["layer", "factor", "r"], "client").select("layer", "factor", "r", _vec_sum().alias("vec_sum"))
 
 
+def explode_adapter(spark: SparkSession, d: str) -> DataFrame:
+    """The table function over SQL: each cell of every factor."""
+    tables.register(spark)
+    X.factors(spark, d).createOrReplaceTempView("sitemill_factors")
+    cells = spark.sql("SELECT client, layer, factor, r, t.pos, t.value FROM sitemill_factors, LATERAL explode_adapter(vec) t")
+    return cells.select("client", "layer", "factor", "r", "pos", exact("value").alias("value"))
+
+
+def apply_state(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest client's bank with the middle one's components on top."""
+    of = lambda c: X.factors(spark, d).where(F.col("client") == c).drop("client")
+    return adapters.apply_state(of(2), of(1), ("layer", "factor", "r")).select("layer", "factor", "r", _vec_sum().alias("vec_sum"))
+
+
 def agg_weight(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("vec_id") % 4
     value = (F.col("vec_id") + 1).cast("double")
@@ -139,6 +154,8 @@ QUERIES = {
     "truncate_bank": (truncate_bank, f"{_F} SELECT s.site, layer, factor, r, {_SUM} AS vec_sum FROM fac JOIN (VALUES ('site-1', 4), ('site-2', 8), ('site-3', 16)) s(site, k) ON r < k WHERE client = 2"),
     "adapter_size_mb": (adapter_size_mb, f"{_F} SELECT client, CAST(sum(len(vec) * 4) AS DOUBLE) / 1048576 AS size_mb FROM fac GROUP BY client"),
     "checkpoint_overlay": (checkpoint_overlay, f"{_F} SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT *, row_number() OVER (PARTITION BY layer, factor, r ORDER BY client DESC) AS n FROM fac) WHERE n = 1"),
+    "explode_adapter": (explode_adapter, f"{_F} SELECT client, layer, factor, r, CAST(pos AS INTEGER) AS pos, round(CAST(x AS DOUBLE), 6) + 0.0 AS value FROM (SELECT client, layer, factor, r, unnest(vec) AS x, unnest(range(0, len(vec))) AS pos FROM fac)"),
+    "apply_state": (apply_state, f"{_F}, own AS (SELECT * FROM fac WHERE client = 2), sent AS (SELECT * FROM fac WHERE client = 1) SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT * FROM sent UNION ALL SELECT * FROM own o WHERE NOT EXISTS (SELECT 1 FROM sent s WHERE s.layer = o.layer AND s.factor = o.factor AND s.r = o.r))"),
     "agg_weight": (agg_weight, "SELECT vec_id AS client, CAST(CASE vec_id % 4 WHEN 1 THEN 1 WHEN 3 THEN 1 ELSE vec_id + 1 END AS DOUBLE) AS weight FROM embeddings"),
     "key_mismatch": (key_mismatch, f"{_F}, k AS (SELECT CAST(client AS VARCHAR) AS client, layer || '.' || factor || '.' || r AS key FROM fac), o AS (SELECT key FROM k WHERE client = '1') SELECT client, key, 'extra' AS side FROM k WHERE key NOT IN (SELECT key FROM o) UNION ALL SELECT c.client, o.key, 'missing' AS side FROM (SELECT DISTINCT client FROM k) c CROSS JOIN o WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.client = c.client AND k.key = o.key)"),
     "agg_dense": (agg_dense, "WITH e AS (SELECT vec_id // 3 AS key, CAST(vec_id % 3 + 1 AS DOUBLE) AS w, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) SELECT key, CAST(pos AS INTEGER) AS pos, round(sum(w * CAST(x AS DOUBLE)) / 6, 6) + 0.0 AS value FROM e GROUP BY key, pos"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import label_of, parse_label
-from ..vocab import VOCABULARY, Vocabulary
+from ..vocab import UNPARSED, UNPARSED_LABEL, VOCABULARY, Vocabulary
 
 #: Makes a predictor once in each Python worker; it maps inputs to responses.
 Factory = Callable[[], Callable[[list], list[str]]]
@@ -33,6 +33,18 @@ def generate(records: DataFrame, factory: Factory, input_col: str, batch: int =
     return records.mapInArrow(run, schema)
 
 
+def respond(factory: Factory, item: object) -> str:
+    """The answer to one input: a batch of one, on the driver."""
+    return factory()([item])[0]
+
+
+def label_of_one(factory: Factory, item: object, vocabulary: Vocabulary = VOCABULARY) -> tuple[str, int, str]:
+    """(response, class, label) of one input, parsed as ``predictions`` does."""
+    response = respond(factory, item)
+    found = [i for i, names in enumerate(zip(vocabulary.labels, vocabulary.alternatives, strict=True)) if any(n in response for n in names)]
+    return (response, found[0], vocabulary.labels[found[0]]) if found else (response, UNPARSED, UNPARSED_LABEL)
+
+
 def predictions(responses: DataFrame, vocabulary: Vocabulary = VOCABULARY) -> DataFrame:
     """Adds ``pred`` and ``pred_label`` parsed from ``response``."""
     return responses.withColumn("pred", parse_label(F.col("response"), vocabulary)).withColumn("pred_label", label_of(F.col("pred"), vocabulary))

@@ -486,6 +486,18 @@ def test_collate(spark):
     assert collate.collate(rows.where("b = 1"), "b", "ids", None, []).first()["labels"] == []
 
 
+def test_one_input_is_a_batch_of_one(spark):
+    factory = lambda: lambda items: [f"It is {LABELS[i]}" if i >= 0 else "no" for i in items]
+    assert predict.respond(factory, 3) == f"It is {LABELS[3]}"
+    assert predict.label_of_one(factory, 3)[1:] == (3, LABELS[3]) and predict.label_of_one(factory, -1) == ("no", -1, "<unparsed>")
+
+
+def test_applied_states_replace_rows(spark):
+    bank = spark.createDataFrame([("l", "A", 0, 1), ("l", "A", 1, 2), ("h", None, 0, 3)], "base_key string, factor string, r int, v int")
+    state = spark.createDataFrame([("l", "A", 1, 9), ("h", None, 0, 8)], "base_key string, factor string, r int, v int")
+    assert sorted(r["v"] for r in adapters.apply_state(bank, state).collect()) == [1, 8, 9]
+
+
 def test_server_state(spark):
     bank = spark.createDataFrame([("l.0", "A", 0), ("l.0", "B", 0), ("head", None, 0)], "base_key string, factor string, r int")
     state = adapters.server_state(bank)
