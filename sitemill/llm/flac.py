@@ -2,7 +2,8 @@
 
 Reading goes through all frames of a batch at once: a step reads the next
 Rice code of every frame, whatever stream it is in, so a batch takes as many
-steps as a frame has samples. Frames are found by the seek table if it names
+steps as a frame has samples. At most ``LANES`` frames go together, on either
+way, so a long stream needs memory for its samples and little more. Frames are found by the seek table if it names
 every frame, else one after the other. Every frame's CRC-8 and CRC-16 and
 every stream's MD5 are verified. Writing takes, for each frame, the least of a
 constant, verbatim, fixed predictors and a fitted linear predictor.
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -25,6 +27,8 @@ BLOCK_CODES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 10
 BIT_CODES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 #: What is written: samples a frame, rate, predictor order and precision.
 BLOCK, RATE, RATE_CODE, LPC_ORDER, LPC_BITS = 1152, 8000, 4, 4, 10
+#: Frames that are worked on together.
+LANES = 1024
 _DIFFERENCES = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 
 
@@ -186,7 +190,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     """A stream for each payload; its bytes are samples of offset 128. Sizes
     are positive multiples of 192 bytes."""
     data = np.frombuffer(b"".join(payloads), np.uint8)
-    samples = (data.astype(np.int16) - 128).astype(np.int8)
+    samples = (data ^ 0x80).view(np.int8)
     lengths = np.fromiter(map(len, payloads), np.int64, len(payloads))
     firsts = np.cumsum(lengths) - lengths
     counts = -(-lengths // BLOCK)
@@ -196,21 +200,25 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     size = np.minimum(BLOCK, lengths[frame_of] - number * BLOCK)
     bodies: list = [None] * len(frame_of)
     for n in np.unique(size).tolist():
-        of = np.flatnonzero(size == n)
-        bits, sizes = _subframes(samples[at[of, None] + np.arange(n)])
-        packed = np.packbits(bits).tobytes()
-        ends = np.cumsum(sizes).tolist()
-        for f, a, b in zip(of.tolist(), [0, *ends[:-1]], ends, strict=True):
-            bodies[f] = packed[a:b]
+        alike = np.flatnonzero(size == n)
+        for lo in range(0, len(alike), LANES):
+            of = alike[lo : lo + LANES]
+            bits, sizes = _subframes(samples[at[of, None] + np.arange(n)])
+            packed = np.packbits(bits).tobytes()
+            ends = np.cumsum(sizes).tolist()
+            for f, a, b in zip(of.tolist(), [0, *ends[:-1]], ends, strict=True):
+                bodies[f] = packed[a:b]
     heads = []
     for i, n in zip(number.tolist(), size.tolist(), strict=True):
         code = next((c for c, s in BLOCK_CODES.items() if s == n), 7)
         head = bytes([0xFF, 0xF8, code << 4 | RATE_CODE, 1 << 1]) + _number(i) + (struct.pack(">H", n - 1) if code == 7 else b"")
         heads.append(head + bytes([crc8(head)]))
     frames = [h + b for h, b in zip(heads, bodies, strict=True)]
-    spans = np.fromiter(map(len, frames), np.int64, len(frames))
-    sums = crc16(np.frombuffer(b"".join(frames), np.uint8), np.cumsum(spans) - spans, spans).tolist() if frames else []
-    frames = [f + struct.pack(">H", c) for f, c in zip(frames, sums, strict=True)]
+    for lo in range(0, len(frames), LANES):
+        own = frames[lo : lo + LANES]
+        spans = np.fromiter(map(len, own), np.int64, len(own))
+        sums = crc16(np.frombuffer(b"".join(own), np.uint8), np.cumsum(spans) - spans, spans).tolist()
+        frames[lo : lo + LANES] = [f + struct.pack(">H", c) for f, c in zip(own, sums, strict=True)]
     out, f = [], 0
     for payload, first, count in zip(payloads, firsts.tolist(), counts.tolist(), strict=True):
         own = frames[f : f + count]
@@ -525,27 +533,41 @@ def decode(raws: list[bytes]) -> list[Stream]:
             while start < base[s + 1]:
                 frames.append(_header(whole, start, info, s))
                 start = int(_frames(whole[: base[s + 1]], frames[-1:])[1][0])
-    got, ends = _frames(whole, frames)
-    of: list[list[int]] = [[] for _ in raws]
-    for i, f in enumerate(frames):
-        of[f.stream].append(i)
+    parts: list[list[np.ndarray]] = [[] for _ in raws]
+    blocks: list[list[tuple[int, int]]] = [[] for _ in raws]
+    last = [None] * len(raws)
+    for own, got, ends in _in_runs(whole, frames):
+        for f, x, end in zip(own, got, ends, strict=True):
+            if last[f.stream] not in (None, f.start):
+                raise FlacError("frames don't lie end to end")
+            last[f.stream] = end
+            parts[f.stream].append(np.stack(x).astype(np.int16 if infos[f.stream].bits <= 16 else np.int32))
+            blocks[f.stream].append((f.first, f.n))
     out = []
     for s, info in enumerate(infos):
-        own = of[s]
-        if own and int(ends[own[-1]]) != base[s + 1]:
+        if last[s] not in (None, base[s + 1]):
             raise FlacError("something follows the last frame")
-        for a, b in zip(own[:-1], own[1:], strict=True):
-            if int(ends[a]) != frames[b].start:
-                raise FlacError("frames don't lie end to end")
-        samples = np.concatenate([np.stack(got[i]) for i in own], 1) if own else np.zeros((info.channels, 0), np.int64)
+        samples = np.concatenate(parts[s], 1) if parts[s] else np.zeros((info.channels, 0), np.int16)
+        parts[s] = []
         if info.total and samples.shape[1] != info.total:
             raise FlacError("samples are missing")
         if any(info.md5) and hashlib.md5(pcm_bytes(samples, info.bits), usedforsecurity=False).digest() != info.md5:
             raise FlacError("the samples' MD5 is wrong")
-        out.append(Stream(info, samples, [(frames[i].first, frames[i].n) for i in own]))
+        out.append(Stream(info, samples, blocks[s]))
     return out
 
 
+def _in_runs(whole: bytes, frames: list[Frame]) -> Iterator[tuple[list[Frame], list, list[int]]]:
+    """Frames, their samples and their ends, up to ``LANES`` at a time; only
+    the bytes of those are unpacked."""
+    for lo in range(0, len(frames), LANES):
+        own = frames[lo : lo + LANES]
+        a = own[0].start
+        b = frames[lo + LANES].start if lo + LANES < len(frames) else len(whole)
+        got, ends = _frames(whole[a:b], [replace(f, start=f.start - a, data=f.data - a) for f in own])
+        yield own, got, (ends + a).tolist()
+
+
 def decode_from(raw: bytes, sample: int) -> tuple[int, np.ndarray]:
     """One frame alone: the one that holds ``sample``, by the seek table.
     Returns its first sample and its samples."""

@@ -578,17 +578,57 @@ def test_shared_passages_go_and_clean_texts_stay(spark, n_docs):
 # media
 
 
+def feature_by_hand(payload):
+    x = [b - 128 for b in payload]
+    n, pairs = len(x), list(zip(x, x[1:], strict=False))
+    return f"n={n};mean={sum(x) / n:.4f};rms={(sum(v * v for v in x) / n) ** 0.5:.4f};peak={max(map(abs, x))};zcr={sum((a >= 0) != (b >= 0) for a, b in pairs) / n:.6f};step={sum(abs(b - a) for a, b in pairs) / n:.4f}"
+
+
 def test_media_of_odd_documents(odd, none):
     got = media.media_features(odd).collect()
-    want = Counter()
+    want, streams = Counter(), Counter()
+    stored = Counter((r["doc_id"], r["n_bytes"], len(r["media"]), hashlib.sha256(r["media"]).hexdigest()) for r in media.encode_media(odd).collect())
     for r in odd.collect():
         raw = (r["text"] or "").encode()
         full = raw + b" " * (-len(raw) % 192 if raw else 192)
-        want[r["doc_id"], len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:])] += 1
-    assert Counter(tuple(r)[:5] for r in got) == want
+        want[r["doc_id"], len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]), feature_by_hand(full)] += 1
+        one = flac.encode([full])[0]
+        streams[r["doc_id"], len(raw), len(one), hashlib.sha256(one).hexdigest()] += 1
+    assert Counter((*tuple(r)[:5], r["feature"]) for r in got) == want
+    assert Counter((r["doc_id"], r["n_bytes"], r["media_bytes"], r["media_sha256"]) for r in got) == streams == stored
     assert media.media_features(none).count() == 0
 
 
+def test_media_are_stored_and_read_back(odd, spark):
+    """A damaged file in the shared folder is found out."""
+    stored = media.materialize(media.encode_media(odd), "test")
+    assert sum(len(r["media"]) for r in spark.read.parquet(stored.cut_path).collect()) > 0
+    hurt = stored.withColumn("media", F.expr("overlay(media PLACING X'00' FROM octet_length(media) - 40)"))
+    with pytest.raises(Exception, match="FlacError"):
+        media.features(hurt).collect()
+
+
+def test_long_streams_need_memory_for_their_samples(monkeypatch):
+    import tracemalloc
+
+    raw = np.random.default_rng(3).choice(np.frombuffer(b"etaoin shrdlu", np.uint8), 192 * 60_000).tobytes()
+    tracemalloc.start()
+    one = flac.encode([raw])[0]
+    up = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    back = flac.decode([one])[0]
+    down = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (back.samples[0] + 128).astype(np.uint8).tobytes() == raw
+    print(f"memory for each byte of a text of {len(raw)} bytes: encoding {up / len(raw):.1f}, decoding {down / len(raw):.1f}")
+    assert max(up, down) < 40 * len(raw)
+    part = raw[: 192 * 200]
+    whole = flac.encode([part, part[:384]])
+    monkeypatch.setattr(flac, "LANES", 7)
+    assert flac.encode([part, part[:384]]) == whole
+    assert [(x.samples[0] + 128).astype(np.uint8).tobytes() for x in flac.decode(whole)] == [part, part[:384]]
+
+
 def test_blocks_seek_and_join(odd, spark):
     stored = media.encode_media(odd.where("doc_id >= 10"))
     held = {r["doc_id"]: r for r in stored.collect()}
