@@ -28,7 +28,7 @@ BIT_CODES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 #: What is written: samples a frame, rate, predictor order and precision.
 BLOCK, RATE, RATE_CODE, LPC_ORDER, LPC_BITS = 1152, 8000, 4, 4, 10
 #: Frames that are worked on together.
-LANES = 1024
+LANES = 4096
 _DIFFERENCES = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 
 
@@ -85,11 +85,13 @@ def _fold(r: np.ndarray) -> np.ndarray:
 
 
 def _rice(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A good Rice parameter of each row and the bits its codes take."""
-    mean = u.mean(1)
-    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.6931, 1e-9))), 0, 14).astype(np.int32)
-    bits = (u >> k[:, None]).sum(1, dtype=np.int64) + u.shape[1] * (1 + k.astype(np.int64))
-    return k, bits
+    """The best Rice parameter of each row, of three around the one that the
+    mean suggests, and the bits its codes take."""
+    near = np.clip(np.floor(np.log2(np.maximum(u.mean(1) * 0.6931, 1e-9))), 0, 14).astype(np.int32)
+    tried = np.clip(near + np.array([[-1], [0], [1]], np.int32), 0, 14)
+    bits = np.stack([(u >> k[:, None]).sum(1, dtype=np.int64) + u.shape[1] * (1 + k.astype(np.int64)) for k in tried])
+    best = bits.argmin(0), np.arange(len(u))
+    return tried[best], bits[best]
 
 
 def _fit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
