@@ -29,7 +29,8 @@ def hash_rank(df: DataFrame, key: str, seed: int, name: str = "pos", within: lis
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     inside = F.row_number().over(W.Window.partitionBy(*group, "_b").orderBy("_h", key))
-    return hashed.withColumn("_r", inside).join(F.broadcast(before), same).withColumn(name, (F.col("_o") + F.col("_r")).cast("long")).drop("_h", "_b", "_c", "_o", "_r", *[f"_g{i}" for i in range(len(group))])
+    offsets = before if group else F.broadcast(before)  # 65,536 rows, or that for each group
+    return hashed.withColumn("_r", inside).join(offsets, same).withColumn(name, (F.col("_o") + F.col("_r")).cast("long")).drop("_h", "_b", "_c", "_o", "_r", *[f"_g{i}" for i in range(len(group))])
 
 
 def ordered_rank(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
