@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, TextChunk, apart, shuffle_partitions, text_chunks
+from .common import Scratch, TextChunk, apart, text_chunks
 from .simhash import components, links, majority, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -184,12 +184,13 @@ def near_copies(docs: DataFrame, key: str, similarity: float = SIMILARITY) -> Da
     own = scratch.write(_mapped(keyed, ["key"], f"fp long, sid long, n long, {', '.join(f'{m} long' for m in names)}, wide binary, prefix array<long>", _prints(similarity, *_common(keyed))), "prints")
     distinct = scratch.write(own.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     # of a set of runs one document is read again; its fingerprint, the least, stands for it
-    sets = scratch.write(own.groupBy("sid").agg(F.min("fp").alias("fp"), F.min(F.struct("key")).alias("wanted"), *[F.max(c).alias(c) for c in ("n", *names, "wide")]), "sets")
+    sets = scratch.write(own.groupBy("sid").agg(F.min("fp").alias("fp"), F.min(F.struct("key")).alias("wanted"), *[F.max(c).alias(c) for c in ("n", *names, "wide", "prefix")]), "sets")
     same = own.select("sid", F.col("fp").alias("b")).distinct().join(sets.where("n > 0").select("sid", F.col("fp").alias("a")), "sid").where("a != b").select("a", "b")
     near = scratch.write(links(distinct.select("fp")).union(same), "links")
-    # one shuffle of the prefixes by run; copies are one set
-    met = own.select("sid", F.posexplode("prefix").alias("pos", "run")).repartition(shuffle_partitions(spark), "run").dropDuplicates(["run", "sid"])
-    met = scratch.write(met.selectExpr("run", "sid", "pos", "count(*) OVER (PARTITION BY run) AS k").where("k > 1"), "met")
+    # copies are one set; runs are counted on the map side first, so that a run of very many sets is split in the join
+    posts = sets.select("sid", F.posexplode("prefix").alias("pos", "run"))
+    counts = posts.groupBy("run").agg(F.count("*").alias("k")).where("k > 1").select(apart("run").alias("of_run"), "k")
+    met = scratch.write(posts.join(counts, apart("run") == F.col("of_run")).select("run", "sid", "pos", "k"), "met")
     slim = scratch.write(own.select("key", "fp"), "keys")
     scratch.drop(own)
     scratch.free(spark)
