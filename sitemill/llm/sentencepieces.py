@@ -257,7 +257,7 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts without begin and end, as 32-bit integers."""
         cache, split = self.cache, [self.words(t) for t in texts]
-        missing = list(set().union(*split) - cache.keys())
+        missing = [w for w in set().union(*split) if w not in cache]  # a difference would go over the whole cache
         long = {}
         if missing:
             for w, ids in zip(missing, self.encode_words(missing), strict=True):

@@ -106,7 +106,7 @@ class WordTokenizer:
         if not self.by_word:
             return self._ask([t.decode() for t in texts])
         cache, split = self.cache, [t.split() for t in texts]
-        missing = list(set().union(*split) - cache.keys())
+        missing = [w for w in set().union(*split) if w not in cache]  # a difference would go over the whole cache
         long: dict[bytes, bytes] = {}
         for w, ids in zip(missing, (self.parts if self.split else self.words)(missing), strict=True):
             (cache if len(w) <= CACHE_BYTES else long)[w] = ids
