@@ -36,13 +36,14 @@ def own_path(spark: SparkSession, label: str) -> str:
     return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+def cut(df: DataFrame, label: str, compression: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Writes ``df`` and reads it back: lineage ends there, nothing upstream
     runs twice, and a lost executor costs a reread. The tables of an
-    application lie in one folder; ``clear`` removes it."""
+    application lie in one folder; ``clear`` removes it. ``options`` are the
+    Parquet writer's."""
     spark = df.sparkSession
     path = own_path(spark, label)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**(options or {})).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
