@@ -19,10 +19,10 @@ from ..storage import cut, discard, free_shuffles
 CHUNK_BYTES = 1 << 21
 
 
-def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back, so
     that a lost executor costs a reread and no operator runs twice."""
-    return cut(df, f"llm-{label}", compression)
+    return cut(df, f"llm-{label}", compression, options)
 
 
 class Scratch:

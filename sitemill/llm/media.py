@@ -27,6 +27,8 @@ from .common import enter, materialize, text_chunks
 UNIT, MOST = 192, 1 << 20
 #: Bytes of streams that are read together: steps are shared by more frames than on writing.
 MOST_READ = 1 << 22
+#: Streams have little to compress but their copies, which larger pages hold together.
+STORED = {"parquet.page.size": str(8 << 20), "parquet.compression.codec.zstd.level": "9"}
 
 
 def payload(text: bytes) -> bytes:
@@ -144,4 +146,4 @@ def features(stored: DataFrame) -> DataFrame:
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores each payload as a FLAC stream in the shared folder and gives the
     ``features`` of what is read back from there."""
-    return features(materialize(encode_media(docs, id_col, text_col), "media", "zstd"))
+    return features(materialize(encode_media(docs, id_col, text_col), "media", "zstd", STORED))
