@@ -121,9 +121,9 @@ def hilbert_shards(docs: DataFrame, shards: int, dims: list[str], law: str = "ro
     size, text_crc32, law, shard, slot, grown_shard, curve`` and the dims;
     ``slot`` counts from 0 in each shard without gaps.
 
-    The slim rows are written once, ordered by ranges of (curve, id), so a
-    third of all rows in one cell is spread over many tasks, and written
-    again; ranks add a row's place in its part to the parts before it. The
+    The slim rows are written once, each with a number of its own, ordered by
+    ranges of (curve, id, CRC, number), so a third of all rows in one cell, or
+    alike in everything, is spread over many tasks, and written again; ranks add a row's place in its part to the parts before it. The
     table of parts has a row for each shuffle partition, so it is broadcast.
     Null texts have no bytes (CRC 0), nulls in a dimension come first, repeated
     rows get a slot each, and an empty table gives no rows.
@@ -132,10 +132,10 @@ def hilbert_shards(docs: DataFrame, shards: int, dims: list[str], law: str = "ro
         raise ValueError("law is rows or bytes")
     text = F.coalesce(F.col(text_col), F.lit(""))
     scratch = Scratch()
-    slim = scratch.write(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *[F.col(d) for d in dims if d not in OWN]), "slim")
+    slim = scratch.write(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *[F.col(d) for d in dims if d not in OWN], F.monotonically_increasing_id().alias("_tie")), "slim")
     codes = _codes(slim, dims)
     bins = _bins(slim, codes, bits)
-    order = ["curve", "doc_id", "text_crc32"]
+    order = ["curve", "doc_id", "text_crc32", "_tie"]
     placed = slim.withColumn("curve", hilbert_index(bins, bits)).repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     placed = scratch.write(placed.withColumn("place", F.monotonically_increasing_id()), "curve")
     scratch.remove(placed)

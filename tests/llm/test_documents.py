@@ -78,6 +78,24 @@ def test_shards_against_hand_made_ones(odd, spark):
     assert sorted((r["curve"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["shard"], r["slot"]) for r in got) == sorted(want)
 
 
+def test_rows_alike_in_everything_are_spread(spark, monkeypatch):
+    """A third of all rows without id and text: many tasks order them."""
+    held = {}
+    write = sharding.Scratch.write
+
+    def kept(self, df, label):
+        held[label] = write(self, df, label)
+        return held[label]
+
+    monkeypatch.setattr(sharding.Scratch, "write", kept)
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text"), F.lit("s").alias("source")).repartition(4)
+    got = sharding.hilbert_shards(rows, 40, ["source", "doc_id"]).collect()
+    assert Counter(r["shard"] for r in got) == dict.fromkeys(range(40), 75)
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(75)) for s in (0, 20, 39))
+    parts = held["curve"].where("doc_id IS NULL").select(F.shiftright("place", 33).alias("p")).groupBy("p").count().collect()
+    assert len(parts) >= 2 and sum(r["count"] for r in parts) == 1000
+
+
 def test_written_shards_hold_every_row_once(odd, tmp_path, spark):
     sharding.write_shards(odd, sharding.hilbert_shards(odd, 5, ["source", "lang"]), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
