@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, gam, media, packing, rules, rules_sql, sentencepieces, sentences, sharding, simhash, suffixarray
+from . import dac, gam, media, packing, rules, rules_sql, sentencepieces, sentences, sharding, simhash, suffixarray, windows
 from .texts import held_out
 
 SHARDS = 40
@@ -76,6 +76,14 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir))
 
 
+#: Seconds of a short and a long window.
+WINDOWS = (600, 43200)
+
+
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.rolling(windows.document_times(table(spark, sf_dir)), WINDOWS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
@@ -87,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_simhash": op9_simhash,
     "op10_flac": op10_flac,
+    "op12_windows": op12_windows,
 }
 #: DuckDB has no CRC-32, tokenizer or suffix array; the other queries are tested by brute force.
-ORACLES: dict[str, str] = {"op6_sentences": sentences.SQL, "op8_rules": rules_sql.SQL}
+ORACLES: dict[str, str] = {"op6_sentences": sentences.SQL, "op8_rules": rules_sql.SQL, "op12_windows": windows.SQL}
