@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, gam, media, packing, rules, rules_sql, sentencepieces, sentences, sharding, simhash, suffixarray, windows
+from . import balltree, dac, gam, media, packing, rules, rules_sql, sentencepieces, sentences, sharding, simhash, suffixarray, windows
 from .texts import held_out
 
 SHARDS = 40
@@ -76,6 +76,14 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir))
 
 
+#: Centroids, rounds, components, scale and seed of the clustering.
+CLUSTERS = {"k": 40, "rounds": 5, "dims": 64, "scale": 256, "seed": 2}
+
+
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.cluster(table(spark, sf_dir, "embeddings"), **CLUSTERS)
+
+
 #: Seconds of a short and a long window.
 WINDOWS = (600, 43200)
 
@@ -95,7 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_simhash": op9_simhash,
     "op10_flac": op10_flac,
+    "op11_ball_tree": op11_ball_tree,
     "op12_windows": op12_windows,
 }
 #: DuckDB has no CRC-32, tokenizer or suffix array; the other queries are tested by brute force.
-ORACLES: dict[str, str] = {"op6_sentences": sentences.SQL, "op8_rules": rules_sql.SQL, "op12_windows": windows.SQL}
+ORACLES: dict[str, str] = {"op6_sentences": sentences.SQL, "op8_rules": rules_sql.SQL, "op11_ball_tree": balltree.sql(**CLUSTERS), "op12_windows": windows.SQL}
