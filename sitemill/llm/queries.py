@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, dac, gam, media, packing, rules, rules_sql, sentencepieces, sentences, sharding, simhash, suffixarray, windows
+from . import balltree, dac, gam, media, packing, rules, rules_sql, sentencepieces, sentences, sharding, simhash, suffixarray, warc, windows
 from .texts import held_out
 
 SHARDS = 40
@@ -92,6 +92,11 @@ def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.rolling(windows.document_times(table(spark, sf_dir)), WINDOWS)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_records(warc.write_records(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_flac": op10_flac,
     "op11_ball_tree": op11_ball_tree,
     "op12_windows": op12_windows,
+    "op13_warc": op13_warc,
 }
 #: DuckDB has no CRC-32, tokenizer or suffix array; the other queries are tested by brute force.
-ORACLES: dict[str, str] = {"op6_sentences": sentences.SQL, "op8_rules": rules_sql.SQL, "op11_ball_tree": balltree.sql(**CLUSTERS), "op12_windows": windows.SQL}
+ORACLES: dict[str, str] = {"op6_sentences": sentences.SQL, "op8_rules": rules_sql.SQL, "op11_ball_tree": balltree.sql(**CLUSTERS), "op12_windows": windows.SQL, "op13_warc": warc.SQL}
