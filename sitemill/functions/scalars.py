@@ -119,5 +119,5 @@ def pad_tokens(ids: Column, length: Column, pad: int, left: bool = False) -> Col
 
 def hash_order(key: Column, seed: int) -> Column:
     """The text by which rows are put in a random order that every engine and
-    every partitioning gives alike."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    every partitioning gives alike. A null key counts as an empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))

@@ -19,7 +19,10 @@ def hash_rank(df: DataFrame, key: str, seed: int, name: str = "pos", within: lis
 
     The hash's first digits deal rows evenly to buckets; a row's place is its
     place in its bucket plus the rows of the buckets before, from a table of
-    a count for each bucket and group. So a group of any size is ranked by many tasks.
+    a count for each bucket and group. So a group of any size is ranked by many
+    tasks. A null key counts as an empty text in the order, so no row is lost;
+    rows of one key have one hash, so a key that very many rows share is ranked
+    in one task (keys are meant to tell rows apart).
     """
     group = within or []
     hashed = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, DIGITS))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..operators import adapters, aggregation
-from ..storage import cut
+from ..sources import tensors
+from ..storage import cut, own_path
 from . import fixtures as X
 from . import rounds
 
@@ -60,6 +61,19 @@ def checkpoint_overlay(spark: SparkSession, d: str) -> DataFrame:
     return adapters.overlay(X.factors(spark, d), ["layer", "factor", "r"], "client").select("layer", "factor", "r", _vec_sum().alias("vec_sum"))
 
 
+def checkpoint_files(spark: SparkSession, d: str) -> DataFrame:
+    """Three clients' adapters as tensor files in one folder, client k holding
+    the layers whose number leaves k or less on division by 3; read back, the
+    last file wins."""
+    folder = own_path(spark, "checkpoint")
+    for client in range(3):
+        held = X.factors(spark, d).where((F.col("client") == client) & (F.col("layer") % 3 <= client))
+        named = held.select(F.concat(F.lit("layers."), F.col("layer").cast("string"), F.lit(".weight")).alias("base_key"), "factor", "r", "vec")
+        tensors.write_checkpoint(tensors.factor_tensors(named), folder, f"client{client}", files=2)
+    found = tensors.factor_rows(tensors.read_tensors(spark, folder))
+    return found.select(F.split("base_key", r"\.")[1].cast("int").alias("layer"), "factor", "r", _vec_sum().alias("vec_sum"))
+
+
 def explode_adapter(spark: SparkSession, d: str) -> DataFrame:
     """The table function over SQL: each cell of every factor."""
     tables.register(spark)
@@ -154,6 +168,7 @@ QUERIES = {
     "truncate_bank": (truncate_bank, f"{_F} SELECT s.site, layer, factor, r, {_SUM} AS vec_sum FROM fac JOIN (VALUES ('site-1', 4), ('site-2', 8), ('site-3', 16)) s(site, k) ON r < k WHERE client = 2"),
     "adapter_size_mb": (adapter_size_mb, f"{_F} SELECT client, CAST(sum(len(vec) * 4) AS DOUBLE) / 1048576 AS size_mb FROM fac GROUP BY client"),
     "checkpoint_overlay": (checkpoint_overlay, f"{_F} SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT *, row_number() OVER (PARTITION BY layer, factor, r ORDER BY client DESC) AS n FROM fac) WHERE n = 1"),
+    "checkpoint_files": (checkpoint_files, f"{_F} SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT *, rank() OVER (PARTITION BY layer, factor ORDER BY client DESC) AS n FROM fac WHERE layer % 3 <= client) WHERE n = 1"),
     "explode_adapter": (explode_adapter, f"{_F} SELECT client, layer, factor, r, CAST(pos AS INTEGER) AS pos, round(CAST(x AS DOUBLE), 6) + 0.0 AS value FROM (SELECT client, layer, factor, r, unnest(vec) AS x, unnest(range(0, len(vec))) AS pos FROM fac)"),
     "apply_state": (apply_state, f"{_F}, own AS (SELECT * FROM fac WHERE client = 2), sent AS (SELECT * FROM fac WHERE client = 1) SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT * FROM sent UNION ALL SELECT * FROM own o WHERE NOT EXISTS (SELECT 1 FROM sent s WHERE s.layer = o.layer AND s.factor = o.factor AND s.r = o.r))"),
     "agg_weight": (agg_weight, "SELECT vec_id AS client, CAST(CASE vec_id % 4 WHEN 1 THEN 1 WHEN 3 THEN 1 ELSE vec_id + 1 END AS DOUBLE) AS weight FROM embeddings"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import resolve_path
 from ..operators.adapters import overlay
 from ..vocab import RECORD_DDL, SUFFIXES
+from .tensors import read_tensors, tensors_of
 
 
 def labelled_paths(paths: DataFrame, classes: DataFrame, path: str = "path", root: str = "") -> DataFrame:
@@ -72,6 +73,12 @@ def load_checkpoint(spark: SparkSession, folder: str, keys: tuple[str, ...] = ("
     return overlay(parts, list(keys), "_file").drop("_file")
 
 
+def load_global_file(spark: SparkSession, path: str) -> DataFrame:
+    """A global model's file of tensors, which must lie under ``model``."""
+    tensors_of(path, "model")  # refuses a bad file here, not when it is read
+    return read_tensors(spark, path, "model")
+
+
 def load_global(spark: SparkSession, path: str) -> DataFrame:
     """A global model's table; it must have the columns of one."""
     table = spark.read.parquet(path)
