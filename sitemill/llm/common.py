@@ -32,8 +32,8 @@ class Scratch:
     def __init__(self):
         self.tables: list[DataFrame] = []
 
-    def write(self, df: DataFrame, label: str) -> DataFrame:
-        self.tables.append(materialize(df, label))
+    def write(self, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+        self.tables.append(materialize(df, label, compression))
         return self.tables[-1]
 
     def drop(self, *tables: DataFrame) -> None:

@@ -114,7 +114,7 @@ def write_records(pages: DataFrame, archives: int | None = None, least: int = 0,
     """The archive table of ``pages``, written into the shared folder. Records
     are dealt to ``archives`` (a shuffle partition each) by their number."""
     own = Scratch()
-    chunks = own.write(digest_chunks(pages, id_col, url_col, text_col, chunk), "payloads")
+    chunks = own.write(digest_chunks(pages, id_col, url_col, text_col, chunk), "payloads", "zstd")
     types = record_types(chunks, least, pages.schema[id_col].dataType.simpleString())
     # a revisit needs its header alone
     both = chunks.join(types, "record").where("record_type = 'response' OR chunk = 0")
