@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..storage import cut
+from . import wide
 
 
 def client_weight(meta: Column, key: str = "num_examples", steps: str = "num_steps") -> Column:
@@ -149,14 +150,16 @@ def _bank(base: object, kind: pa.DataType, b: np.ndarray, a: np.ndarray, **more:
     return table
 
 
-def reconstruct(factors: DataFrame, weights: DataFrame, by: str, target: int, most: int | None = None) -> DataFrame:
+def reconstruct(factors: DataFrame, weights: DataFrame, by: str, target: int, most: int | None = None, edge: int | None = None) -> DataFrame:
     """``by, factor, r, vec``: the mean of the clients' products, truncated to
     ``target`` components, without ever filling the product.
 
     Where the clients' ranks of a base add up to over ``most``, clients are
     merged in groups of about so many first, again and again: a group's product
     needs no more components than its lesser side has, so no task takes all
-    clients. Nothing is cut off before the last step.
+    clients. Nothing is cut off before the last step. A base whose sides are
+    wider than that too is decomposed in blocks of ``edge`` values
+    (``wide.decompose``).
     """
     most = most or MOST_COMPONENTS
     total = _total(weights)
@@ -185,7 +188,13 @@ def reconstruct(factors: DataFrame, weights: DataFrame, by: str, target: int, mo
         if now >= held:  # sides wider than all the ranks: there is nothing to merge
             break
         held = now
-    return rows.groupBy("base").applyInArrow(last, f"base {kind}, factor string, r int, vec array<double>").withColumnRenamed("base", by)
+    out = f"base {kind}, factor string, r int, vec array<double>"
+    if held <= most:
+        return rows.groupBy("base").applyInArrow(last, out).withColumnRenamed("base", by)
+    sizes = rows.groupBy("base").agg((F.count_if(F.col("factor") == "A") > most).alias("is_wide"))
+    marked = cut(rows.join(sizes, "base"), "marked")
+    few = marked.where("NOT is_wide").drop("is_wide").groupBy("base").applyInArrow(last, out)
+    return few.union(wide.decompose(marked.where("is_wide").drop("is_wide"), target, edge)).withColumnRenamed("base", by)
 
 
 def metric_mean(updates: DataFrame) -> DataFrame:

@@ -62,12 +62,11 @@ def checkpoint_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checkpoint_files(spark: SparkSession, d: str) -> DataFrame:
-    """Three clients' adapters as tensor files in one folder, client k holding
-    the layers whose number leaves k or less on division by 3; read back, the
-    last file wins."""
+    """Three clients' adapters as tensor files in one folder, each without a
+    third of the layers; read back, the last file wins."""
     folder = own_path(spark, "checkpoint")
     for client in range(3):
-        held = X.factors(spark, d).where((F.col("client") == client) & (F.col("layer") % 3 <= client))
+        held = X.factors(spark, d).where((F.col("client") == client) & ((F.col("layer") + client) % 3 != 0))
         named = held.select(F.concat(F.lit("layers."), F.col("layer").cast("string"), F.lit(".weight")).alias("base_key"), "factor", "r", "vec")
         tensors.write_checkpoint(tensors.factor_tensors(named), folder, f"client{client}", files=2)
     found = tensors.factor_rows(tensors.read_tensors(spark, folder))
@@ -124,6 +123,14 @@ def agg_reconstructed(spark: SparkSession, d: str) -> DataFrame:
     return aggregation.update_mean(bank, one, ["layer"]).select("layer", "i", "j", exact("value").alias("value"))
 
 
+def agg_reconstructed_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The same where ranks add up to more than a task takes and sides are
+    wider still: in blocks of 24 of the 64 values, triangles joined in a tree."""
+    bank = cut(aggregation.reconstruct(X.factors(spark, d), X.weights(spark), "layer", 32, 8, 24), "bank").withColumn("client", F.lit(0))
+    one = spark.createDataFrame([(0, 1.0)], "client int, w double")
+    return aggregation.update_mean(bank, one, ["layer"]).select("layer", "i", "j", exact("value").alias("value"))
+
+
 def _updates(spark: SparkSession, d: str, sent: F.Column | None = None) -> DataFrame:
     """An update a client and user: mean values by event type as metrics."""
     means = X.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("x"))
@@ -168,7 +175,7 @@ QUERIES = {
     "truncate_bank": (truncate_bank, f"{_F} SELECT s.site, layer, factor, r, {_SUM} AS vec_sum FROM fac JOIN (VALUES ('site-1', 4), ('site-2', 8), ('site-3', 16)) s(site, k) ON r < k WHERE client = 2"),
     "adapter_size_mb": (adapter_size_mb, f"{_F} SELECT client, CAST(sum(len(vec) * 4) AS DOUBLE) / 1048576 AS size_mb FROM fac GROUP BY client"),
     "checkpoint_overlay": (checkpoint_overlay, f"{_F} SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT *, row_number() OVER (PARTITION BY layer, factor, r ORDER BY client DESC) AS n FROM fac) WHERE n = 1"),
-    "checkpoint_files": (checkpoint_files, f"{_F} SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT *, rank() OVER (PARTITION BY layer, factor ORDER BY client DESC) AS n FROM fac WHERE layer % 3 <= client) WHERE n = 1"),
+    "checkpoint_files": (checkpoint_files, f"{_F} SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT *, rank() OVER (PARTITION BY layer, factor ORDER BY client DESC) AS n FROM fac WHERE (layer + client) % 3 <> 0) WHERE n = 1"),
     "explode_adapter": (explode_adapter, f"{_F} SELECT client, layer, factor, r, CAST(pos AS INTEGER) AS pos, round(CAST(x AS DOUBLE), 6) + 0.0 AS value FROM (SELECT client, layer, factor, r, unnest(vec) AS x, unnest(range(0, len(vec))) AS pos FROM fac)"),
     "apply_state": (apply_state, f"{_F}, own AS (SELECT * FROM fac WHERE client = 2), sent AS (SELECT * FROM fac WHERE client = 1) SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT * FROM sent UNION ALL SELECT * FROM own o WHERE NOT EXISTS (SELECT 1 FROM sent s WHERE s.layer = o.layer AND s.factor = o.factor AND s.r = o.r))"),
     "agg_weight": (agg_weight, "SELECT vec_id AS client, CAST(CASE vec_id % 4 WHEN 1 THEN 1 WHEN 3 THEN 1 ELSE vec_id + 1 END AS DOUBLE) AS weight FROM embeddings"),
@@ -177,6 +184,7 @@ QUERIES = {
     "agg_naive": (agg_naive, f"{_F}, c AS (SELECT f.layer, f.factor, f.r, w.w, unnest(f.vec) AS x, unnest(range(0, len(f.vec))) AS pos FROM fac f JOIN w ON w.client = f.client WHERE f.r < 16), m AS (SELECT layer, factor, r, pos, sum(w * CAST(x AS DOUBLE)) / 6 AS value FROM c GROUP BY layer, factor, r, pos), g AS (SELECT DISTINCT layer, factor FROM fac) SELECT g.layer, g.factor, CAST(rr.r AS INTEGER) AS r, CAST(p.pos AS INTEGER) AS pos, round(coalesce(m.value, 0.0), 6) + 0.0 AS value FROM g CROSS JOIN range(16) rr(r) CROSS JOIN range(64) p(pos) LEFT JOIN m ON m.layer = g.layer AND m.factor = g.factor AND m.r = rr.r AND m.pos = p.pos"),
     "delta_w": (delta_w, _DELTA),
     "agg_reconstructed": (agg_reconstructed, _DELTA),
+    "agg_reconstructed_wide": (agg_reconstructed_wide, _DELTA),
     "agg_metrics": (agg_metrics, _METRICS),
     "agg_metrics_suppressed": (agg_metrics_suppressed, f"SELECT * FROM ({_METRICS}) WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id % 100 = 0)"),
     "round_loop": (round_loop, None),
