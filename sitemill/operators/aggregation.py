@@ -69,7 +69,7 @@ def _total(weights: DataFrame) -> DataFrame:
 
 def dense_mean(tensors: DataFrame, weights: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
     """``by, pos, value``: the weighted mean of every cell over clients."""
-    weighted = tensors.join(F.broadcast(weights), "client").select(*by, "w", F.posexplode(vec).alias("pos", "x"))
+    weighted = tensors.join(weights, "client").select(*by, "w", F.posexplode(vec).alias("pos", "x"))
     sums = weighted.groupBy(*by, "pos").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("s"))
     return sums.crossJoin(F.broadcast(_total(weights))).select(*by, "pos", (F.col("s") / F.col("total")).alias("value"))
 
@@ -80,7 +80,7 @@ def factor_mean(factors: DataFrame, weights: DataFrame, by: list[str], target: i
     clients. Components no client has are zeros up to ``target``; those zeros
     are added to the one sum, so filling needs no join."""
     cell = [*by, "factor", "r", "pos"]
-    weighted = factors.where(F.col("r") < target).join(F.broadcast(weights), "client").select(*by, "factor", "r", "w", F.posexplode("vec").alias("pos", "x"))
+    weighted = factors.where(F.col("r") < target).join(weights, "client").select(*by, "factor", "r", "w", F.posexplode("vec").alias("pos", "x"))
     terms = weighted.select(*cell, (F.col("w") * F.col("x").cast("double")).alias("term"))
     widths = factors.groupBy(*by, "factor").agg(F.max(F.size("vec")).alias("width"))
     zeros = widths.select(*by, "factor", F.explode(F.sequence(F.lit(0), F.lit(target - 1))).alias("r"), "width").select(*by, "factor", "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pos"), F.lit(0.0).alias("term"))
@@ -93,7 +93,7 @@ def update_mean(factors: DataFrame, weights: DataFrame, by: list[str]) -> DataFr
     factors. It fills a whole matrix; for large ones use ``reconstruct``."""
     a = factors.where("factor = 'A'").select("client", *by, "r", F.col("vec").alias("a"))
     b = factors.where("factor = 'B'").select("client", *by, "r", F.col("vec").alias("b"))
-    both = b.join(a, ["client", *by, "r"]).join(F.broadcast(weights), "client")
+    both = b.join(a, ["client", *by, "r"]).join(weights, "client")
     # a row of the product at a time: the sum over ranks and clients happens on the map side
     cells = both.select(*by, "w", "a", F.posexplode("b").alias("i", "x")).select(*by, "i", F.posexplode(F.transform("a", lambda y: F.col("w") * F.col("x").cast("double") * y.cast("double"))).alias("j", "v"))
     sums = cells.groupBy(*by, "i", "j").agg(F.sum("v").alias("s"))
@@ -163,7 +163,7 @@ def reconstruct(factors: DataFrame, weights: DataFrame, by: str, target: int, mo
     """
     most = most or MOST_COMPONENTS
     total = _total(weights)
-    rows = factors.join(F.broadcast(weights), "client").crossJoin(F.broadcast(total)).select(F.col(by).alias("base"), F.xxhash64("client").alias("client"), "factor", F.col("r").cast("int").alias("r"), F.col("vec").cast("array<double>").alias("vec"), F.sqrt(F.col("w") / F.col("total")).alias("share"))
+    rows = factors.join(weights, "client").crossJoin(F.broadcast(total)).select(F.col(by).alias("base"), F.xxhash64("client").alias("client"), "factor", F.col("r").cast("int").alias("r"), F.col("vec").cast("array<double>").alias("vec"), F.sqrt(F.col("w") / F.col("total")).alias("share"))
     kind = dict(rows.dtypes)["base"]
 
     def width(rows: DataFrame) -> int:

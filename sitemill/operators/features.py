@@ -21,7 +21,7 @@ def mask_drop_impute(long: DataFrame, row: str, feature: str, value: str, train:
     training = long.where(F.col(train))
     lost = training.groupBy(feature).agg(F.avg(F.col(value).isNull().cast("double")).alias("lost")).where(F.col("lost") <= most_missing)
     kept = lost.join(medians(training, feature, value), feature, "left").select(F.col(feature).alias("_kept"), "median")
-    return long.join(F.broadcast(kept), F.col(feature) == F.col("_kept")).select(row, feature, F.coalesce(F.col(value), F.col("median")).alias(value))
+    return long.join(kept, F.col(feature) == F.col("_kept")).select(row, feature, F.coalesce(F.col(value), F.col("median")).alias(value))
 
 
 def top_fraction(scores: DataFrame, name: str, score: str, fraction: float) -> DataFrame:

@@ -51,11 +51,12 @@ def ordered_rank(df: DataFrame, order: list[Column | str], name: str = "place")
 
 def medians(df: DataFrame, group: str, value: str) -> DataFrame:
     """``group, median``: exact medians of the values that are not null. Groups
-    of any size are ranked by many tasks; their counts are a small table."""
+    of any size are ranked by many tasks; whether their counts are few enough
+    for a broadcast is left to the planner."""
     ranked = ordered_rank(df.where(F.col(value).isNotNull()).select(group, value), [group, value], "_k")
     spans = ranked.groupBy(group).agg(F.min("_k").alias("_lo"), F.count("*").alias("_n")).select(F.col(group).alias("_g"), "_lo", "_n")
     at = F.col("_k") - F.col("_lo")
-    middle = ranked.join(F.broadcast(spans), F.col(group) == F.col("_g")).where((at == F.expr("(_n - 1) div 2")) | (at == F.expr("_n div 2")))
+    middle = ranked.join(spans, F.col(group) == F.col("_g")).where((at == F.expr("(_n - 1) div 2")) | (at == F.expr("_n div 2")))
     return middle.groupBy(group).agg(F.avg(value).alias("median"))
 
 

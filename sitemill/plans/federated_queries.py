@@ -16,7 +16,7 @@ from . import rounds
 TARGET = 16
 
 
-def exact(column: str) -> F.Column:
+def exact(column: str | F.Column) -> F.Column:
     """To 6 decimals, without a negative zero."""
     return F.round(column, 6) + F.lit(0.0)
 
@@ -38,8 +38,10 @@ def infer_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def default_ranks(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.range(1, 33).select(F.col("id").cast("int").alias("n"))
-    return adapters.default_ranks(n.crossJoin(spark.range(1, 33).select(F.col("id").cast("int").alias("g"))))
+    """For as many clients as order lines are numbered, and greatest ranks as
+    quantities are sold."""
+    grid = X.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("g")).distinct()
+    return adapters.default_ranks(grid)
 
 
 def rank_map(spark: SparkSession, d: str) -> DataFrame:
@@ -74,11 +76,16 @@ def checkpoint_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def explode_adapter(spark: SparkSession, d: str) -> DataFrame:
-    """The table function over SQL: each cell of every factor."""
+    """Each cell of every factor."""
+    cells = X.factors(spark, d).select("client", "layer", "factor", "r", F.posexplode("vec").alias("pos", "value"))
+    return cells.select("client", "layer", "factor", "r", "pos", exact(F.col("value").cast("double")).alias("value"))
+
+
+def fit_rank(spark: SparkSession, d: str) -> DataFrame:
+    """All factors cut or filled to ten components, by the table function in SQL."""
     tables.register(spark)
-    X.factors(spark, d).createOrReplaceTempView("sitemill_factors")
-    cells = spark.sql("SELECT client, layer, factor, r, t.pos, t.value FROM sitemill_factors, LATERAL explode_adapter(vec) t")
-    return cells.select("client", "layer", "factor", "r", "pos", exact("value").alias("value"))
+    fitted = spark.sql("SELECT * FROM fit_rank(TABLE(SELECT client, layer, factor, r, vec FROM {factors}), 10)", factors=X.factors(spark, d))
+    return fitted.select("client", "layer", "factor", "r", _vec_sum().alias("vec_sum"))
 
 
 def apply_state(spark: SparkSession, d: str) -> DataFrame:
@@ -148,13 +155,15 @@ def agg_metrics_suppressed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def round_loop(spark: SparkSession, d: str) -> DataFrame:
-    """Three rounds of three sites: the loss of each."""
-    data = X.table(spark, d, "embeddings").select(F.concat(F.lit("site-"), (F.col("vec_id") % 3 + 1).cast("string")).alias("site"), "embedding", "label")
+    """Three rounds of three sites on four fifths of the vectors, each judged
+    on 40 of the others."""
+    rows = X.table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("site-"), (F.col("vec_id") % 3 + 1).cast("string")).alias("site"), "embedding", "label")
     rng = np.random.default_rng(3)
     start = [("A", r, (rng.normal(size=64) / 8).tolist()) for r in range(TARGET)] + [("B", r, [0.0] * 10) for r in range(TARGET)]
     bank = spark.createDataFrame(start, "factor string, r int, vec array<double>")
     ranks = spark.createDataFrame([("site-1", 4), ("site-2", 8), ("site-3", 16)], "site string, rank int")
-    return rounds.run_rounds(data, bank, ranks, 3, TARGET)[1]
+    held_out = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("key"), "embedding", "label")
+    return rounds.run_rounds(rows.where("vec_id % 5 <> 0"), bank, ranks, 3, TARGET, held_out=held_out, eval_size=40)[1]
 
 
 _SUM = "round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 4) + 0.0"
@@ -170,13 +179,14 @@ QUERIES = {
     "pair_check": (pair_check, f"{_F} SELECT client, layer, CAST(max(CASE WHEN factor = 'A' THEN 1 ELSE 0 END) AS INTEGER) AS has_a, CAST(max(CASE WHEN factor = 'B' THEN 1 ELSE 0 END) AS INTEGER) AS has_b FROM fac GROUP BY client, layer"),
     "pair_missing": (pair_missing, f"WITH {X.factors_sql(False)}, p AS (SELECT client, layer, CAST(max(CASE WHEN factor = 'A' THEN 1 ELSE 0 END) AS INTEGER) AS has_a, CAST(max(CASE WHEN factor = 'B' THEN 1 ELSE 0 END) AS INTEGER) AS has_b FROM fac GROUP BY client, layer) SELECT * FROM p WHERE has_a + has_b < 2"),
     "infer_rank": (infer_rank, f"{_F}, m AS (SELECT DISTINCT client, max(r) + 1 AS rank FROM fac GROUP BY client, layer, factor) SELECT client, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) AS ranks FROM m GROUP BY client"),
-    "default_ranks": (default_ranks, "WITH c AS (SELECT CAST(n AS INTEGER) AS n, CAST(g AS INTEGER) AS g, CAST(i AS INTEGER) AS client FROM range(1, 33) a(n) JOIN range(1, 33) b(g) ON n <= g JOIN range(0, 32) k(i) ON i < n), r AS (SELECT *, greatest(1, CAST(round_even(g / power(CAST(2 AS DOUBLE), n - 1 - client), 0) AS INTEGER)) AS raw FROM c), s AS (SELECT *, max(raw - client) OVER (PARTITION BY n, g ORDER BY client) + client AS rank FROM r), t AS (SELECT *, max(rank) OVER (PARTITION BY n, g) AS top FROM s) SELECT n, g, client, CAST(CASE WHEN top > g THEN g - n + 1 + client ELSE rank END AS INTEGER) AS rank FROM t"),
+    "default_ranks": (default_ranks, "WITH c AS (SELECT n, g, CAST(i AS INTEGER) AS client FROM (SELECT DISTINCT l_linenumber AS n, CAST(l_quantity AS INTEGER) AS g FROM lineitem) JOIN range(0, 100) k(i) ON i < n WHERE n <= g), r AS (SELECT *, greatest(1, CAST(round_even(g / power(CAST(2 AS DOUBLE), n - 1 - client), 0) AS INTEGER)) AS raw FROM c), s AS (SELECT *, max(raw - client) OVER (PARTITION BY n, g ORDER BY client) + client AS rank FROM r), t AS (SELECT *, max(rank) OVER (PARTITION BY n, g) AS top FROM s) SELECT n, g, client, CAST(CASE WHEN top > g THEN g - n + 1 + client ELSE rank END AS INTEGER) AS rank FROM t"),
     "rank_map": (rank_map, f"{_F} SELECT DISTINCT layer AS base_key, CASE layer WHEN 0 THEN 4 WHEN 3 THEN 32 ELSE 16 END AS rank FROM fac"),
     "truncate_bank": (truncate_bank, f"{_F} SELECT s.site, layer, factor, r, {_SUM} AS vec_sum FROM fac JOIN (VALUES ('site-1', 4), ('site-2', 8), ('site-3', 16)) s(site, k) ON r < k WHERE client = 2"),
     "adapter_size_mb": (adapter_size_mb, f"{_F} SELECT client, CAST(sum(len(vec) * 4) AS DOUBLE) / 1048576 AS size_mb FROM fac GROUP BY client"),
     "checkpoint_overlay": (checkpoint_overlay, f"{_F} SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT *, row_number() OVER (PARTITION BY layer, factor, r ORDER BY client DESC) AS n FROM fac) WHERE n = 1"),
     "checkpoint_files": (checkpoint_files, f"{_F} SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT *, rank() OVER (PARTITION BY layer, factor ORDER BY client DESC) AS n FROM fac WHERE (layer + client) % 3 <> 0) WHERE n = 1"),
     "explode_adapter": (explode_adapter, f"{_F} SELECT client, layer, factor, r, CAST(pos AS INTEGER) AS pos, round(CAST(x AS DOUBLE), 6) + 0.0 AS value FROM (SELECT client, layer, factor, r, unnest(vec) AS x, unnest(range(0, len(vec))) AS pos FROM fac)"),
+    "fit_rank": (fit_rank, f"{_F}, own AS (SELECT DISTINCT client, layer, factor FROM fac) SELECT o.client, o.layer, o.factor, CAST(k AS INTEGER) AS r, coalesce({_SUM}, 0.0) AS vec_sum FROM own o CROSS JOIN range(10) g(k) LEFT JOIN fac f ON f.client = o.client AND f.layer = o.layer AND f.factor = o.factor AND f.r = k"),
     "apply_state": (apply_state, f"{_F}, own AS (SELECT * FROM fac WHERE client = 2), sent AS (SELECT * FROM fac WHERE client = 1) SELECT layer, factor, r, {_SUM} AS vec_sum FROM (SELECT * FROM sent UNION ALL SELECT * FROM own o WHERE NOT EXISTS (SELECT 1 FROM sent s WHERE s.layer = o.layer AND s.factor = o.factor AND s.r = o.r))"),
     "agg_weight": (agg_weight, "SELECT vec_id AS client, CAST(CASE vec_id % 4 WHEN 1 THEN 1 WHEN 3 THEN 1 ELSE vec_id + 1 END AS DOUBLE) AS weight FROM embeddings"),
     "key_mismatch": (key_mismatch, f"{_F}, k AS (SELECT CAST(client AS VARCHAR) AS client, layer || '.' || factor || '.' || r AS key FROM fac), o AS (SELECT key FROM k WHERE client = '1') SELECT client, key, 'extra' AS side FROM k WHERE key NOT IN (SELECT key FROM o) UNION ALL SELECT c.client, o.key, 'missing' AS side FROM (SELECT DISTINCT client FROM k) c CROSS JOIN o WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.client = c.client AND k.key = o.key)"),

@@ -17,7 +17,9 @@ N, VALIDATION = 3, 20
 
 
 def alt_labels(spark: SparkSession, d: str) -> DataFrame:
-    return X.classes(spark).select("idx", "canonical", S.alt_label(F.col("canonical")).alias("alt"))
+    """Other forms of every part's label, ``brand: type: name``, and of the classes'."""
+    parts = X.table(spark, d, "part").select(F.concat_ws(": ", "p_brand", "p_type", "p_name").alias("canonical"))
+    return parts.union(X.records(spark, d).select("canonical")).select("canonical", S.alt_label(F.col("canonical")).alias("alt"))
 
 
 def dict_encode(spark: SparkSession, d: str) -> DataFrame:
@@ -160,17 +162,19 @@ def client_counts_capped(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, d, 60)
 
 
-def _wishes(spark: SparkSession) -> DataFrame:
-    n = spark.range(1, 13).select(F.col("id").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("client"))
-    return n.crossJoin(F.broadcast(X.classes(spark).select(F.col("idx").alias("label"))))
+def _wishes(spark: SparkSession, d: str) -> DataFrame:
+    """Clients and labels: as many clients as there are quantities sold, the
+    vectors' labels that are classes."""
+    n = X.table(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("n")).distinct().select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("client"))
+    return n.crossJoin(F.broadcast(X.records(spark, d).select("label").distinct()))  # a row a class
 
 
 def dominant_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _wishes(spark).select("n", "client", "label", splits.dominant(F.col("n"), X.N_CLASSES, F.col("client"), F.col("label")).alias("is_dominant")).where("is_dominant")
+    return _wishes(spark, d).select("n", "client", "label", splits.dominant(F.col("n"), X.N_CLASSES, F.col("client"), F.col("label")).alias("is_dominant")).where("is_dominant")
 
 
 def preference_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return _wishes(spark).select("n", "client", "label", F.round(splits.preference(F.col("n"), X.N_CLASSES, F.col("client"), F.col("label"), 0.8), 6).alias("weight"))
+    return _wishes(spark, d).select("n", "client", "label", F.round(splits.preference(F.col("n"), X.N_CLASSES, F.col("client"), F.col("label"), 0.8), 6).alias("weight"))
 
 
 def split_random(spark: SparkSession, d: str) -> DataFrame:
@@ -217,13 +221,13 @@ _REC_IN = f"{X.RECORDS}, rec_in AS (SELECT vec_id AS key, label FROM rec)"
 _HIST = f"""WITH {_REC_IN}, {X.QUOTA}, hist AS (SELECT s.site, c.idx, c.code, CAST(count(t.key) AS BIGINT) AS cnt
   FROM (VALUES ('site-1'), ('site-2'), ('site-3')) s(site) CROSS JOIN classes c LEFT JOIN (SELECT * FROM het WHERE split = 'train') t ON t.site = s.site AND t.label = c.idx
   GROUP BY s.site, c.idx, c.code)"""
-_WISH = f"""WITH {X.CLASSES}, g AS (SELECT CAST(n.n AS INTEGER) AS n, CAST(i.i AS INTEGER) AS client, c.idx AS label, n.n > 9 AS more, 9 // n.n AS size, 9 % n.n AS extra
-  FROM range(1, 13) n(n) JOIN range(0, 12) i(i) ON i.i < n.n CROSS JOIN classes c),
+_WISH = f"""WITH {X.RECORDS}, g AS (SELECT n.n, CAST(i.i AS INTEGER) AS client, c.label, n.n > 9 AS more, 9 // n.n AS size, 9 % n.n AS extra
+  FROM (SELECT DISTINCT CAST(l_quantity AS INTEGER) AS n FROM lineitem) n JOIN range(0, 1000) i(i) ON i.i < n.n CROSS JOIN (SELECT DISTINCT label FROM rec) c),
 m AS (SELECT *, CASE WHEN more THEN label = client % 9 ELSE label >= client * size + least(client, extra) AND label < client * size + least(client, extra) + size + CASE WHEN client < extra THEN 1 ELSE 0 END END AS is_dominant,
   CASE WHEN more THEN 1 ELSE size + CASE WHEN client < extra THEN 1 ELSE 0 END END AS mine FROM g)"""
 
 QUERIES = {
-    "alt_labels": (alt_labels, f"WITH {X.CLASSES} SELECT idx, canonical, '(' || split_part(canonical, ': ', 1) || ') ' || substr(canonical, strpos(canonical, ': ') + 2) AS alt FROM classes"),
+    "alt_labels": (alt_labels, f"WITH {X.RECORDS}, l AS (SELECT p_brand || ': ' || p_type || ': ' || p_name AS canonical FROM part UNION ALL SELECT canonical FROM rec) SELECT canonical, '(' || split_part(canonical, ': ', 1) || ') ' || substr(canonical, strpos(canonical, ': ') + 2) AS alt FROM l"),
     "dict_encode": (dict_encode, f"WITH {X.RECORDS} SELECT vec_id, label AS idx, code, canonical FROM rec"),
     "scan_labelled_paths": (scan_labelled_paths, f"WITH {X.CLASSES}, {X.PATHS} SELECT substr(path, 7) AS image, c.idx AS label, c.canonical AS label_name, c.code AS raw_label FROM img JOIN classes c ON c.code = upper(split_part(path, '/', -2)) WHERE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.bmp', '.jpeg', '.jpg', '.png', '.tif', '.tiff', '.webp')"),
     "ordered_traversal": (ordered_traversal, f"""WITH {X.CLASSES}, {X.PATHS}, p AS (SELECT CASE length(path) % 3 WHEN 0 THEN 'a-b' || substr(path, 6) WHEN 1 THEN 'a' || substr(path, 6) ELSE substr(path, 7) END AS image FROM img WHERE lower(regexp_extract(path, '[.][^./]+$')) IN ('.bmp', '.jpeg', '.jpg', '.png', '.tif', '.tiff', '.webp'))

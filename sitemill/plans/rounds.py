@@ -1,68 +1,44 @@
-"""The round loop: truncate the bank for each site, train, aggregate."""
+"""The round loop: truncate the bank for each site, train, aggregate, evaluate."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.adapters import truncate_bank
 from ..operators.aggregation import AGGREGATORS, Aggregator, check_updates, client_weight, require_same_keys
+from ..operators.sampling import round_subset
 from ..storage import cut
-
-#: (site rows, {factor: matrix}) -> ({factor: matrix}, loss)
-Trainer = Callable[[pd.DataFrame, dict[str, np.ndarray]], tuple[dict[str, np.ndarray], float]]
-
-
-def least_squares(rows: pd.DataFrame, factors: dict[str, np.ndarray], steps: int = 5, rate: float = 0.05) -> tuple[dict[str, np.ndarray], float]:
-    """A stand-in for a trainer: gradient steps of a rank-r linear model
-    ``y = B A x`` with one output a class."""
-    x = np.stack(rows["embedding"].to_list()).astype(np.float64)
-    a, b = factors["A"].copy(), factors["B"].copy()
-    y = np.eye(b.shape[0])[rows["label"].to_numpy()]
-    for _ in range(steps):
-        error = x @ a.T @ b.T - y
-        gb, ga = error.T @ (x @ a.T) / len(x), (error @ b).T @ x / len(x)
-        b, a = b - rate * gb, a - rate * ga
-    return {"A": a, "B": b}, float(((x @ a.T @ b.T - y) ** 2).mean())
-
-
-def train_sites(data: DataFrame, bank: DataFrame, ranks: DataFrame, trainer: Trainer) -> DataFrame:
-    """``site, factor, r, vec, loss, n``: each site's factors after training on
-    its own rows, a task a site."""
-    own = truncate_bank(bank, ranks)
-    schema = "site string, factor string, r int, vec array<double>, loss double, n long"
-
-    def one(rows: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(factors):
-            return pd.DataFrame(columns=["site", "factor", "r", "vec", "loss", "n"], dtype=object)
-        sides = {f: np.stack(factors[factors["factor"] == f].sort_values("r")["vec"].to_list()) for f in ("A", "B")}
-        new, loss = trainer(rows, {"A": sides["A"], "B": sides["B"].T})
-        out = [(rows["site"].iloc[0], f, r, v.tolist(), loss, len(rows)) for f, m in (("A", new["A"]), ("B", new["B"].T)) for r, v in enumerate(m)]
-        return pd.DataFrame(out, columns=["site", "factor", "r", "vec", "loss", "n"])
-
-    return data.groupBy("site").cogroup(own.groupBy("site")).applyInPandas(lambda rows, factors: one(rows, factors), schema)
+from .trainer import Trainer, evaluate, spread_rows, train_sites
 
 
-def run_rounds(data: DataFrame, bank: DataFrame, ranks: DataFrame, n_rounds: int, target: int, aggregator: Aggregator | str = "reconstructed", trainer: Trainer = least_squares) -> tuple[DataFrame, DataFrame]:
-    """The bank after ``n_rounds`` and ``round, loss`` of each. ``data`` has
-    ``site, embedding, label``; every site must answer in every round, with a
-    positive weight and the same keys. Each round is written, so lineage stays
-    one round long."""
+def run_rounds(data: DataFrame, bank: DataFrame, ranks: DataFrame, n_rounds: int, target: int, aggregator: Aggregator | str = "reconstructed", trainer: Trainer = train_sites, held_out: DataFrame | None = None, eval_size: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The bank after ``n_rounds`` and ``round, loss, eval_loss,
+    neg_eval_loss, accuracy`` of each. ``data`` has ``site, embedding, label``;
+    every site must answer in every round, with a positive weight and the same
+    keys. After a round the new bank is judged on ``eval_size`` rows of
+    ``held_out`` (``key, embedding, label``), drawn anew each round; 0 means
+    all, and without such rows the last columns are NaN. Rows are dealt to
+    tasks once; each round is written, so lineage stays one round long."""
     combine = AGGREGATORS[aggregator] if isinstance(aggregator, str) else aggregator
-    n_sites, losses = ranks.count(), None
-    for k in range(n_rounds):
-        trained = cut(train_sites(data, bank, ranks, trainer), "round")
-        updates = trained.select(F.col("site").alias("client"), F.lit("FULL").alias("params_type"), F.create_map(F.lit("num_examples"), F.col("n").cast("double")).alias("meta"), "loss").dropDuplicates(["client"])
-        check_updates(updates, n_sites)
-        require_same_keys(trained.select(F.col("site").alias("client"), F.col("factor").alias("key")))
-        weights = updates.select("client", client_weight(F.col("meta")).alias("w"), "loss")
-        row = weights.agg((F.sum(F.col("loss") * F.col("w")) / F.sum("w")).alias("loss")).select(F.lit(k + 1).alias("round"), "loss")
-        losses = row if losses is None else losses.union(row)
-        factors = trained.select(F.col("site").alias("client"), F.lit("all").alias("base_key"), "factor", "r", "vec")
-        weights = weights.drop("loss")
-        bank = cut(combine(factors, weights, "base_key", target), "bank").select("factor", "r", "vec")
-    return bank, losses
+    n_sites, log = ranks.count(), None
+    spread = spread_rows(data)
+    try:
+        for k in range(n_rounds):
+            trained = cut(trainer(spread, bank, ranks), "round")
+            updates = trained.select(F.col("site").alias("client"), F.lit("FULL").alias("params_type"), F.create_map(F.lit("num_examples"), F.col("n").cast("double")).alias("meta"), "loss").dropDuplicates(["client"])
+            check_updates(updates, n_sites)
+            require_same_keys(trained.select(F.col("site").alias("client"), F.col("factor").alias("key")))
+            weights = updates.select("client", client_weight(F.col("meta")).alias("w"), "loss")
+            row = weights.agg((F.sum(F.col("loss") * F.col("w")) / F.sum("w")).alias("loss")).select(F.lit(k + 1).alias("round"), "loss")
+            factors = trained.select(F.col("site").alias("client"), F.lit("all").alias("base_key"), "factor", "r", "vec")
+            bank = cut(combine(factors, weights.drop("loss"), "base_key", target), "bank").select("factor", "r", "vec")
+            if held_out is None:
+                nan = F.lit(float("nan"))
+                row = row.select("*", nan.alias("eval_loss"), nan.alias("neg_eval_loss"), nan.alias("accuracy"))
+            else:
+                row = row.crossJoin(F.broadcast(evaluate(round_subset(held_out, "key", eval_size, k + 1), bank).drop("total")))  # a row by a row
+            log = row if log is None else log.union(row)
+        log = None if log is None else cut(log, "rounds")
+    finally:
+        spread.unpersist()
+    return bank, log

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_model_prefix
-
+from ..storage import cut, discard
 
 
 def colour(k: int) -> str:
@@ -24,12 +24,19 @@ def write_sites(split: DataFrame, folder: str) -> None:
 
 def write_arrays(records: DataFrame, folder: str, by: Column, most: int = 10_000) -> None:
     """Records as JSON files that each hold an array of ``most`` at most, by
-    all tasks: rows are dealt to arrays by ``by`` and their own hash."""
-    own = F.struct(*records.columns)
-    counts = records.groupBy(by.alias("_by")).agg(F.ceil(F.count("*") * 2 / most).alias("_n"))
-    dealt = records.select(own.alias("record"), by.alias("_by")).join(counts, "_by").withColumn("_part", F.pmod(F.xxhash64("record"), F.col("_n")))
-    arrays = dealt.groupBy("_by", "_part").agg(F.to_json(F.collect_list("record")).alias("value")).select("value")
+    all tasks. Records are numbered in a written table and dealt to arrays by
+    that number, so equal ones spread too; what chance puts too many into one
+    is cut."""
+    if most < 1:
+        raise ValueError("an array holds one record at least")
+    numbered = cut(records.select(F.struct(*records.columns).alias("record"), by.alias("_by"), F.monotonically_increasing_id().alias("_id")), "records")
+    counts = numbered.groupBy("_by").agg(F.ceil(F.count("*") * 2 / most).alias("_n")).select(F.col("_by").alias("_of"), "_n")
+    dealt = numbered.join(counts, F.col("_by").eqNullSafe(F.col("_of"))).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_n")))
+    held = dealt.groupBy("_by", "_part").agg(F.collect_list("record").alias("all"))
+    starts = F.sequence(F.lit(0), F.expr(f"(size(all) - 1) DIV {most}"))
+    arrays = held.select("all", F.explode(starts).alias("k")).select(F.to_json(F.slice("all", F.col("k") * most + 1, most)).alias("value"))
     arrays.write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
+    discard(numbered)
 
 
 def site_json(split: DataFrame, site: str, part: str, most: int = 100_000) -> str:

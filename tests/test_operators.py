@@ -15,7 +15,7 @@ from sitemill import storage
 from sitemill.functions import scalars as S
 from sitemill.functions import settings
 from sitemill.operators import adapters, aggregation, collate, evaluation, features, histograms, sampling, splits
-from sitemill.plans import fixtures, predict, rounds
+from sitemill.plans import fixtures, predict
 from sitemill.sources import files, sinks
 from sitemill.streaming import rounds as streams
 from sitemill.vocab import LABELS, VOCABULARY
@@ -348,19 +348,6 @@ def test_prediction_in_batches(spark):
         predict.evaluate(records, {}, "id")
 
 
-@pytest.mark.parametrize("aggregator", ["naive", "reconstructed"])
-def test_rounds_lower_the_loss(spark, aggregator):
-    data = spark.read.parquet(f"{D}/embeddings.parquet").select(F.concat(F.lit("site-"), (F.col("vec_id") % 2 + 1).cast("string")).alias("site"), "embedding", "label")
-    rng = np.random.default_rng(0)
-    bank = spark.createDataFrame([("A", r, (rng.normal(size=64) / 8).tolist()) for r in range(4)] + [("B", r, [0.0] * 10) for r in range(4)], "factor string, r int, vec array<double>")
-    ranks = spark.createDataFrame([("site-1", 2), ("site-2", 4)], "site string, rank int")
-    new, losses = rounds.run_rounds(data, bank, ranks, 3, 4, aggregator)
-    got = [r["loss"] for r in losses.orderBy("round").collect()]
-    assert got[-1] < got[0] and new.count() == 8
-    with pytest.raises(ValueError):
-        rounds.run_rounds(data.where("site = 'site-1'"), bank, ranks, 1, 4, aggregator)
-
-
 def test_same_clients_are_the_identity(spark):
     mats, factors, weights = bank_of(spark, 5, (3,))
     twice = factors.union(factors.withColumn("client", F.lit(1)))
@@ -426,49 +413,6 @@ def test_sequential_split_by_hand(spark):
     assert Counter(got.values()) == {(f"site-{i + 1}", part): k for i in range(n) for part, k in (("validation", 3), ("train", 17))}
 
 
-def test_rounds_against_numpy(spark):
-    """Truncate, train, average: three rounds of the same by hand."""
-    table = spark.read.parquet(f"{D}/embeddings.parquet").select((F.col("vec_id") % 2).alias("s"), "embedding", "label", "vec_id").where("vec_id < 60").orderBy("vec_id").collect()
-    data = spark.createDataFrame([(f"site-{r['s'] + 1}", r["embedding"], r["label"]) for r in table], "site string, embedding array<float>, label int").coalesce(1)
-    a, b = np.random.default_rng(0).normal(size=(4, 64)) / 8, np.zeros((10, 4))
-    bank = spark.createDataFrame([("A", r, v.tolist()) for r, v in enumerate(a)] + [("B", r, v.tolist()) for r, v in enumerate(b.T)], "factor string, r int, vec array<double>")
-    ranks = {0: 2, 1: 4}
-    new, losses = rounds.run_rounds(data, bank, spark.createDataFrame([(f"site-{s + 1}", k) for s, k in ranks.items()], "site string, rank int"), 3, 4, "naive")
-    want = []
-    for _ in range(3):
-        sums, total, lost = [np.zeros_like(a), np.zeros_like(b)], 0, 0.0
-        for s, k in ranks.items():
-            rows = [r for r in table if r["s"] == s]
-            x, y = np.array([r["embedding"] for r in rows], float), np.eye(10)[[r["label"] for r in rows]]
-            p, q = a[:k].copy(), b[:, :k].copy()
-            for _ in range(5):
-                error = x @ p.T @ q.T - y
-                p, q = p - 0.05 * (error @ q).T @ x / len(x), q - 0.05 * error.T @ (x @ p.T) / len(x)
-            lost += len(x) * ((x @ p.T @ q.T - y) ** 2).mean()
-            total += len(x)
-            sums[0][:k] += len(x) * p
-            sums[1][:, :k] += len(x) * q
-        a, b = sums[0] / total, sums[1] / total
-        want.append(lost / total)
-    assert [r["loss"] for r in losses.orderBy("round").collect()] == pytest.approx(want)
-    got = {(r["factor"], r["r"]): r["vec"] for r in new.collect()}
-    assert np.allclose([got["A", r] for r in range(4)], a) and np.allclose([got["B", r] for r in range(4)], b.T)
-
-
-def test_rounds_refuse_updates(spark):
-    """Absent sites, and factors that only some sites send."""
-    data = spark.createDataFrame([("site-1", [1.0, 0.0], 0), ("site-2", [0.0, 1.0], 1)], "site string, embedding array<float>, label int")
-    bank = spark.createDataFrame([("A", 0, [0.1, 0.2]), ("B", 0, [0.0, 0.0])], "factor string, r int, vec array<double>")
-    ranks = spark.createDataFrame([("site-1", 1), ("site-2", 1)], "site string, rank int")
-    with pytest.raises(ValueError, match="1 of 2"):
-        rounds.run_rounds(data.where("site = 'site-1'"), bank, ranks, 1, 1)
-    with pytest.raises(ValueError, match="differ"):
-        aggregation.require_same_keys(spark.createDataFrame([("a", "A"), ("a", "B"), ("b", "A")], "client string, key string"))
-    aggregation.require_same_keys(spark.createDataFrame([("a", "A"), ("b", "A")], "client string, key string"))
-    with pytest.raises(ValueError, match="differ"):
-        rounds.run_rounds(data, bank, ranks, 1, 1, trainer=lambda rows, f: ({"A": f["A"], "B": f["B"]} if rows["site"].iloc[0] == "site-1" else {"A": f["A"], "B": f["B"][:, :0]}, 0.0))
-
-
 def test_devices_and_paths():
     assert [settings.device_map(x) for x in ("cpu", "cuda", "cuda:3", "mps")] == [None, {"": 0}, {"": 3}, None]
     for bad in ("cuda:x", "cudax", "cuda:"):
