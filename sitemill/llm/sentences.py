@@ -1,14 +1,20 @@
 """Removal of repeated runs of sentences.
 
-A text is cut into sentences, each with the white space behind it, so that
-they join to the same text; one of over ``LONG`` words (a list, a word over and
-over) is cut into pieces of so many, which count as sentences. From every sentence a run goes over the fewest
-sentences that hold ``LEAST`` words: several as a rule, one if it alone is that
-long. Runs are hashed, and the first run of a hash in the order of (doc_id,
-place) stays; every sentence in any later run of it goes. Runs are measured in
-words since short lines are alike by chance, while a passage of over 50 words
-may hold two or three long sentences, the first grown together with what stands
-before it. A text of fewer words is one run.
+A text is cut into sentences behind full stops, question and exclamation marks
+of any script and line feeds, each with the white space behind it, so that they
+join to the same text. A word is a run without white space, or one character of
+a script that is written without spaces. A sentence of over ``LONG`` words (a
+list, prose without stops, a word over and over) is cut into pieces, which count
+as sentences: between two words that say so by their own letters and lengths, one
+pair in ``RATE`` by chance, so a passage is cut alike wherever it stands; and
+every ``LONG`` words from there, where none does.
+
+From every sentence a run goes over the fewest sentences, two at least, that
+hold ``LEAST`` words. Runs are hashed, and the first run of a hash in the order
+of (doc_id, place) stays; every sentence in any later run of it goes. Runs are
+measured in words since short lines are alike by chance, while a passage of over
+50 words may hold two or three long sentences, the first grown together with what
+stands before it. A text of fewer words is one run, if it has two sentences.
 
 Runs are compared by a 128-bit hash of their trimmed sentences, so only
 fixed-size keys are shuffled: once to find hashes that occur twice, combined on
@@ -20,7 +26,7 @@ Texts come back only in the last join.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,53 +36,81 @@ from pyspark.sql import types as T
 
 from .common import Scratch, TextChunk, text_chunks
 
-#: Words of a run, and most words of a sentence.
-LEAST, LONG = 20, 25
-PATTERN = r"[^.!?\n]*[.!?\n]+[ \n\t\r]*|[^.!?\n]+"
-PIECES = rf"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){{1,{LONG}}}|[\x20\x09-\x0D]+"
-
-
-_find, _pieces = (re.compile(p.encode()).findall for p in (PATTERN, PIECES))
+#: Words of a run, most words of a sentence, and one pair of words in so many by chance that cuts a longer one.
+LEAST, LONG, RATE = 20, 16, 6
+# Marks that end a sentence.
+ENDS = ".!?\n。！？｡．؟۔।॥…"
+# First and last characters of scripts without spaces (Thai and Lao, Burmese, Khmer, Chinese and Japanese).
+UNSPACED = "".join(f"{a}-{b}" for a, b in (("\u0e00", "\u0eff"), ("\u1000", "\u109f"), ("\u1780", "\u17ff"), ("\u2e80", "\u2fdf"), ("\u3005", "\u3007"), ("\u3040", "\u30ff"), ("\u3400", "\u4dbf"), ("\u4e00", "\u9fff"), ("\uf900", "\ufaff"), ("\U00020000", "\U0003ffff")))
+SPACE = r"\x20\x09-\x0D"
+PATTERN = rf"[^{ENDS}]*[{ENDS}]+[ \n\t\r]*|[^{ENDS}]+".replace("\n", r"\n")
+WORDS = rf"[{UNSPACED}]|[^{SPACE}{UNSPACED}]+"
+#: Words with the white space around them, which join to any text that has one.
+SPACED = rf"[{SPACE}]*(?:{WORDS})[{SPACE}]*"
+_BLANK = " \t\n\v\f\r"
+
+_find, _words, _spaced, _unspaced = re.compile(PATTERN).findall, re.compile(WORDS).findall, re.compile(SPACED).findall, re.compile(f"[{UNSPACED}]").search
+
+
+def _counter(text: str) -> Callable[[str], int]:
+    """How to count words of a part of a text."""
+    return (lambda part: len(_words(part))) if _unspaced(text) else (lambda part: len(part.encode().split()))
+
+
+def pieces(sentence: str) -> list[str]:
+    """A long sentence, cut as the module's head says."""
+    spaced = _spaced(sentence)
+    bare = [w.strip(_BLANK) for w in spaced]
+    size = np.fromiter(map(len, bare), np.int64, len(bare))
+    first = np.fromiter((ord(w[0]) for w in bare), np.int64, len(bare))
+    last = np.fromiter((ord(w[-1]) for w in bare), np.int64, len(bare))
+    says = (31 * first[1:] + 17 * last[:-1] + 7 * size[1:] + 3 * size[:-1]) % RATE == 0
+    out = []
+    starts = [0, *(np.flatnonzero(says) + 1).tolist(), len(bare)]
+    for a, b in zip(starts, starts[1:], strict=False):
+        out += ["".join(spaced[k : min(k + LONG, b)]) for k in range(a, b, LONG)]
+    return out
 
 
-def sentences(raw: bytes) -> list[bytes]:
-    """The sentences of a text; they join to it."""
-    out = []
-    for part in _find(raw):
-        if len(part) > 2 * LONG and len(part.split()) > LONG:
-            out += _pieces(part)
+def sentences(text: str) -> tuple[list[str], np.ndarray]:
+    """The sentences of a text, which join to it, and their words."""
+    count = _counter(text)
+    out: list[str] = []
+    for part in _find(text):
+        if len(part) > LONG and count(part) > LONG:
+            out += pieces(part)
         else:
             out.append(part)
-    return out
+    return out, np.fromiter(map(count, out), np.int64, len(out))
 
 
-def runs(parts: list[bytes], least: int = LEAST) -> list[tuple[int, int]]:
+def runs(words: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
     """[first, end) of the run from each sentence that has one."""
-    if not parts:
-        return []
-    words = np.concatenate(([0], np.cumsum([len(p.split()) for p in parts])))
-    ends = np.searchsorted(words, words[:-1] + least)
-    found = np.flatnonzero(ends <= len(parts))
-    return list(zip(found.tolist(), ends[found].tolist(), strict=True)) or [(0, len(parts))]
+    n = len(words)
+    upto = np.concatenate(([0], np.cumsum(words)))
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + least), np.arange(n) + 2)
+    found = np.flatnonzero(ends <= n)
+    return list(zip(found.tolist(), ends[found].tolist(), strict=True)) or ([(0, n)] if n > 1 else [])
 
 
 def run_keys(raw: bytes, least: int = LEAST) -> tuple[list[int], list[bytes]]:
     """Where runs begin, and a 128-bit key of the trimmed sentences of each."""
     import xxhash
 
-    parts = [p.strip(b" \n\t\r") for p in sentences(raw)]
-    found = runs(parts, least)
-    return [a for a, _ in found], [xxhash.xxh3_128_digest(b"\n".join(parts[a:b])) for a, b in found]
+    parts, words = sentences(raw.decode())
+    found = runs(words, least)
+    bare = [p.strip(" \n\t\r").encode() for p in parts]
+    return [a for a, _ in found], [xxhash.xxh3_128_digest(b"\n".join(bare[a:b])) for a, b in found]
 
 
 def without(raw: bytes, places: list[int], least: int = LEAST) -> tuple[int, int, bytes]:
     """Sentences, those removed, and the text without the runs at ``places``."""
-    parts = sentences(raw)
+    parts, words = sentences(raw.decode())
     if not places:
         return len(parts), 0, raw
-    ends = dict(runs(parts, least))
+    ends = dict(runs(words, least))
     gone = {i for p in places for i in range(p, ends[p])}
-    return len(parts), len(gone), b"".join([p for i, p in enumerate(parts) if i not in gone])
+    return len(parts), len(gone), "".join([p for i, p in enumerate(parts) if i not in gone]).encode()
 
 
 def remove_repeated_runs(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,25 +160,33 @@ def remove_repeated_runs(docs: DataFrame, least: int = LEAST, id_col: str = "doc
 
 #: The same in DuckDB over the table ``documents``.
 SQL = rf"""
-WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS cid,
-         flatten(list_transform(regexp_extract_all(coalesce(text, ''), '{PATTERN}'),
-           lambda s: CASE WHEN len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) > {LONG} THEN regexp_extract_all(s, '{PIECES}') ELSE [s] END)) AS parts
-  FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS cid FROM documents),
+u AS (SELECT DISTINCT cid, text FROM d),
+a AS (SELECT cid, unnest(l) AS part, unnest(range(1, len(l) + 1)) AS i FROM (SELECT cid, regexp_extract_all(text, '{PATTERN}') AS l FROM u)),
+b AS (SELECT *, len(regexp_extract_all(part, '{WORDS}')) AS n FROM a),
+k AS (
+  SELECT cid, i, unnest(l) AS spaced, unnest(range(1, len(l) + 1)) AS j
+  FROM (SELECT cid, i, regexp_extract_all(part, '{SPACED}') AS l FROM b WHERE n > {LONG})),
+k2 AS (SELECT *, trim(spaced, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM k),
+k3 AS (SELECT *, lag(bare) OVER (PARTITION BY cid, i ORDER BY j) AS before FROM k2),
+k4 AS (
+  SELECT *, sum(CASE WHEN before IS NOT NULL AND (31 * ord(bare[1]) + 17 * ord(before[-1]) + 7 * length(bare) + 3 * length(before)) % {RATE} = 0 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY cid, i ORDER BY j) AS piece FROM k3),
+k5 AS (SELECT *, (row_number() OVER (PARTITION BY cid, i, piece ORDER BY j) - 1) // {LONG} AS again FROM k4),
+k6 AS (SELECT cid, i, min(j) AS j, string_agg(spaced, '' ORDER BY j) AS part, count(*) AS n FROM k5 GROUP BY cid, i, piece, again),
+s0 AS (SELECT cid, part, n, row_number() OVER (PARTITION BY cid ORDER BY i, j) AS i
+  FROM (SELECT cid, i, 0 AS j, part, n FROM b WHERE n <= {LONG} UNION ALL SELECT cid, i, j, part, n FROM k6)),
 t AS (
-  SELECT cid, any_value(list_transform(parts, lambda s: trim(s, chr(32) || chr(10) || chr(9) || chr(13)))) AS bare
-  FROM d WHERE len(parts) > 0 GROUP BY cid),
-s AS (
-  SELECT cid, i, sum(len(regexp_extract_all(bare[i], '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY cid ORDER BY i) AS upto,
-         len(regexp_extract_all(bare[i], '[^\x20\x09-\x0D]+')) AS own
-  FROM t, LATERAL (SELECT unnest(range(1, len(bare) + 1)) AS i)),
+  SELECT cid, list(part ORDER BY i) AS parts, list(trim(part, chr(32) || chr(10) || chr(9) || chr(13)) ORDER BY i) AS bare FROM s0 GROUP BY cid),
+s AS (SELECT cid, i, n AS own, sum(n) OVER (PARTITION BY cid ORDER BY i) AS upto FROM s0),
 e AS (SELECT cid, upto, min(i) AS stop FROM s GROUP BY cid, upto),
 p AS (
-  SELECT s.cid, s.i - 1 AS place, e.stop
+  SELECT s.cid, s.i - 1 AS place, greatest(e.stop, s.i + 1) AS stop
   FROM s ASOF JOIN e ON s.cid = e.cid AND e.upto >= s.upto - s.own + {LEAST}),
+p2 AS (SELECT p.* FROM p JOIN t USING (cid) WHERE stop <= len(bare)),
 w AS (
-  SELECT cid, place, stop FROM p
-  UNION ALL SELECT cid, 0, len(bare) FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.cid = t.cid)),
+  SELECT cid, place, stop FROM p2
+  UNION ALL SELECT cid, 0, len(bare) FROM t WHERE len(bare) > 1 AND NOT EXISTS (SELECT 1 FROM p2 WHERE p2.cid = t.cid)),
 r AS (
   SELECT w.cid, place, stop, md5(array_to_string(list_slice(bare, place + 1, stop), chr(10))) AS key
   FROM w JOIN t USING (cid)),
@@ -154,7 +196,7 @@ m AS (
     FROM r JOIN (SELECT DISTINCT doc_id, cid FROM d) USING (cid)) WHERE nth > 1),
 g AS (SELECT DISTINCT doc_id, cid, unnest(range(place, stop)) AS s FROM m),
 l AS (SELECT doc_id, cid, list(s) AS gone FROM g GROUP BY doc_id, cid)
-SELECT d.doc_id, CAST(len(d.parts) AS BIGINT) AS n_sentences, CAST(coalesce(len(l.gone), 0) AS BIGINT) AS n_removed,
-       CASE WHEN l.gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(d.parts) + 1), lambda i: NOT list_contains(l.gone, i - 1)), lambda i: d.parts[i]), ''), '') END AS kept_text
-FROM d LEFT JOIN l ON d.cid = l.cid AND d.doc_id IS NOT DISTINCT FROM l.doc_id
+SELECT d.doc_id, CAST(coalesce(len(t.parts), 0) AS BIGINT) AS n_sentences, CAST(coalesce(len(l.gone), 0) AS BIGINT) AS n_removed,
+       CASE WHEN l.gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(t.parts) + 1), lambda i: NOT list_contains(l.gone, i - 1)), lambda i: t.parts[i]), ''), '') END AS kept_text
+FROM d LEFT JOIN t USING (cid) LEFT JOIN l ON d.cid = l.cid AND d.doc_id IS NOT DISTINCT FROM l.doc_id
 """
