@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -15,6 +15,17 @@ def accuracy(predictions: DataFrame, by: list[str]) -> DataFrame:
     return predictions.groupBy(*by).agg(F.coalesce(F.try_divide(right, F.count("*")), F.lit(0.0)).alias("accuracy"), right.alias("correct"), F.count("*").alias("total"), F.count_if(F.col("pred") < 0).alias("unparsed"))
 
 
+def observed(predictions: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """The predictions and what a tracker wants of them, counted while they are
+    used: ``correct``, ``total``, ``unparsed`` and ``longest`` response come
+    with the first job that reads all rows, at no second pass. ``get`` waits
+    for that job."""
+    run = Observation(name)
+    counted = [F.count_if(F.col("pred") == F.col("label")).alias("correct"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("pred") < 0).alias("unparsed")]
+    longest = [F.max(F.length("response")).alias("longest")] if "response" in predictions.columns else []
+    return predictions.observe(run, *counted, *longest), run
+
+
 def accuracy_delta(accuracies: DataFrame, base: object, tuned: object) -> DataFrame:
     """``base, tuned, delta`` of two models' accuracies; no row without both."""
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("accuracy")))

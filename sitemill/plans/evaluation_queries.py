@@ -30,6 +30,13 @@ def accuracy(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.accuracy(parse_label(spark, d), ["model"]).select("model", exact("accuracy").alias("accuracy"), "correct", "total", "unparsed")
 
 
+def run_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of both models, told by the job that writes the predictions."""
+    rows, run = evaluation.observed(predict.predictions(X.responses(spark, d)))
+    cut(rows, "predictions")
+    return spark.createDataFrame([tuple(run.get[c] for c in ("correct", "total", "unparsed", "longest"))], "correct long, total long, unparsed long, longest int")
+
+
 def accuracy_delta(spark: SparkSession, d: str) -> DataFrame:
     both = evaluation.accuracy(parse_label(spark, d), ["model"])
     return evaluation.accuracy_delta(both, 0, 1).select(*[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("base", "tuned", "delta")])
@@ -159,6 +166,7 @@ QUERIES = {
     "predictions": (predictions, f"{_P} SELECT p.model, p.item, p.label, p.response, p.pred, coalesce(c.canonical, '<unparsed>') AS pred_label FROM parsed p LEFT JOIN classes c ON c.idx = p.pred"),
     "preview": (preview, "SELECT doc_id, CASE WHEN length(text) > 240 THEN substr(text, 1, 240) || '...' ELSE text END AS preview FROM documents"),
     "accuracy": (accuracy, f"{_ACC} SELECT model, round(correct / CAST(total AS DOUBLE), 6) + 0.0 AS accuracy, correct, total, unparsed FROM acc"),
+    "run_metrics": (run_metrics, f"{_P} SELECT CAST(sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total, CAST(sum(CASE WHEN pred < 0 THEN 1 ELSE 0 END) AS BIGINT) AS unparsed, CAST(max(length(response)) AS INTEGER) AS longest FROM parsed"),
     "accuracy_delta": (accuracy_delta, f"{_ACC}, b AS (SELECT max(CASE WHEN model = 0 THEN correct / CAST(total AS DOUBLE) END) AS base, max(CASE WHEN model = 1 THEN correct / CAST(total AS DOUBLE) END) AS tuned FROM acc) SELECT round(base, 4) + 0.0 AS base, round(tuned, 4) + 0.0 AS tuned, round(tuned - base, 4) + 0.0 AS delta FROM b"),
     "progress": (progress, f"{_O}, r AS (SELECT model, idx, CAST(sum(CASE WHEN pred = label THEN 1 ELSE 0 END) OVER w AS BIGINT) AS correct_so_far, CAST(sum(CASE WHEN pred < 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS unparsed, max(idx) OVER (PARTITION BY model) AS last FROM o WINDOW w AS (PARTITION BY model ORDER BY idx)) SELECT model, idx, correct_so_far, unparsed FROM r WHERE idx = 1 OR idx = last OR idx % 50 = 0"),
     "show_examples": (show_examples, f"{_O} SELECT model, idx, item, pred FROM o WHERE idx <= 5"),

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import variants as V
 from ..operators import collate, histograms, sampling, splits
+from ..operators.asof import asof_join
 from ..sources import files, sinks
 from ..storage import own_path
 from ..vocab import QUESTION, VOCABULARY
@@ -148,6 +150,18 @@ def late_materialize(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("pos", "doc_id", F.length("text").alias("length"))
 
 
+def json_paths(spark: SparkSession, d: str) -> DataFrame:
+    """What every click's JSON tells: rows that are no JSON are marked."""
+    value = V.parsed(F.col("props"))
+    return X.table(spark, d, "clicks").select("click_id", "props", value.alias("v")).select("click_id", V.is_broken(F.col("props"), F.col("v")).alias("is_broken"), V.path(F.col("v"), "$.k", "bigint").alias("k"), V.path(F.col("v"), "$.device.os", "string").alias("os"), V.path(F.col("v"), "$.items[0].sku", "bigint").alias("first_sku"), V.total(F.col("v"), "$.items", "qty").alias("qty"))
+
+
+def asof_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Every sale with the newest change of its client up to that time."""
+    sales = X.table(spark, d, "sales").select("sale_id", "client_id", "sold_at")
+    return asof_join(sales, X.table(spark, d, "client_changes"), ["client_id"], "sold_at", "valid_at", ["seq", "segment", "city"], ["seq", "change_id"]).select("sale_id", "client_id", "seq", "segment", "city")
+
+
 def _counts(spark: SparkSession, d: str, per_client: int | None) -> DataFrame:
     total = X.table(spark, d, "documents").agg(F.count("*").alias("total"))
     grid = spark.range(2, 8).select(F.col("id").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("client"))
@@ -253,6 +267,11 @@ QUERIES = {
     "sample_all": (sample_all, "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS pos FROM documents"),
     "round_eval_subset": (round_eval_subset, "SELECT * FROM (SELECT CAST(k AS INTEGER) AS round, row_number() OVER (PARTITION BY k ORDER BY md5((42 + k) || ':' || doc_id), doc_id) AS pos, doc_id FROM documents, range(3) r(k)) WHERE pos <= 30"),
     "late_materialize": (late_materialize, "SELECT * FROM (SELECT row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) AS pos, doc_id, CAST(length(text) AS INTEGER) AS length FROM documents) WHERE pos <= 50"),
+    "json_paths": (json_paths, """WITH c AS (SELECT click_id, props, TRY_CAST(props AS JSON) AS v FROM clicks)
+  SELECT click_id, props IS NOT NULL AND v IS NULL AS is_broken, TRY_CAST(v->>'$.k' AS BIGINT) AS k, v->>'$.device.os' AS os, TRY_CAST(v->>'$.items[0].sku' AS BIGINT) AS first_sku,
+    CASE WHEN json_type(v, '$.items') = 'ARRAY' THEN CAST(coalesce(list_sum(list_transform(CAST(json_extract(v, '$.items[*].qty') AS VARCHAR[]), lambda x: TRY_CAST(x AS BIGINT))), 0) AS BIGINT) END AS qty FROM c"""),
+    "asof_changes": (asof_changes, """WITH r AS (SELECT * FROM client_changes WHERE client_id IS NOT NULL AND valid_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id, valid_at ORDER BY seq DESC NULLS LAST, change_id DESC NULLS LAST) = 1)
+  SELECT s.sale_id, s.client_id, r.seq, r.segment, r.city FROM sales s ASOF LEFT JOIN r ON s.client_id = r.client_id AND s.sold_at >= r.valid_at"""),
     "client_counts_even": (client_counts_even, "SELECT CAST(n AS INTEGER) AS n, CAST(i AS INTEGER) AS client, CAST(t // n + CASE WHEN i < t % n THEN 1 ELSE 0 END AS BIGINT) AS cnt FROM range(2, 8) a(n) JOIN range(0, 7) b(i) ON i < n CROSS JOIN (SELECT count(*) AS t FROM documents)"),
     "client_counts_capped": (client_counts_capped, "SELECT CAST(n AS INTEGER) AS n, CAST(i AS INTEGER) AS client, CAST(least(60, t // n) AS BIGINT) AS cnt FROM range(2, 8) a(n) JOIN range(0, 7) b(i) ON i < n CROSS JOIN (SELECT count(*) AS t FROM documents)"),
     "dominant_groups": (dominant_groups, f"{_WISH} SELECT n, client, label, is_dominant FROM m WHERE is_dominant"),

@@ -10,7 +10,7 @@ import __spark_entry__
 from sitemill import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales client_changes".split()
 
 
 @pytest.fixture(scope="module")
