@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..functions import variants as V
 from ..operators import collate, histograms, sampling, splits
 from ..operators.asof import asof_join
-from ..sources import files, sinks
+from ..sources import archives, files, sinks
 from ..storage import own_path
 from ..vocab import QUESTION, VOCABULARY
 from . import fixtures as X
@@ -32,6 +32,17 @@ def scan_labelled_paths(spark: SparkSession, d: str) -> DataFrame:
     return files.labelled_paths(X.image_paths(spark, d), X.classes(spark), root="/data/")
 
 
+def scan_archives(spark: SparkSession, d: str) -> DataFrame:
+    """The same files packed into archives of the shared folder, and their
+    labels and sizes read straight from there."""
+    paths = X.image_paths(spark, d)
+    folder = own_path(spark, "archives")
+    archives.write_archives(paths.select(F.substr("path", F.lit(2)).alias("path"), F.encode(F.repeat(F.col("path"), F.lit(3)), "UTF-8").alias("content")), folder, 4)
+    held = archives.read_archives(spark, folder).select(F.concat(F.lit("/"), "path").alias("path"), F.octet_length("content").cast("bigint").alias("size"))
+    found = files.labelled_paths(held.select("path"), X.classes(spark), root="/data/")
+    return found.join(held, F.concat(F.lit("/data/"), "image") == F.col("path")).select("image", "label", "size")
+
+
 def ordered_traversal(spark: SparkSession, d: str) -> DataFrame:
     """The place of each labelled path in a walk, folders nested at two depths."""
     paths = X.image_paths(spark, d).select(F.when(F.length("path") % 3 == 0, F.concat(F.lit("/data/a-b"), F.substr("path", F.lit(6)))).when(F.length("path") % 3 == 1, F.concat(F.lit("/data/a"), F.substr("path", F.lit(6)))).otherwise(F.col("path")).alias("path"))
@@ -244,6 +255,7 @@ QUERIES = {
     "alt_labels": (alt_labels, f"WITH {X.RECORDS}, l AS (SELECT p_brand || ': ' || p_type || ': ' || p_name AS canonical FROM part UNION ALL SELECT canonical FROM rec) SELECT canonical, '(' || split_part(canonical, ': ', 1) || ') ' || substr(canonical, strpos(canonical, ': ') + 2) AS alt FROM l"),
     "dict_encode": (dict_encode, f"WITH {X.RECORDS} SELECT vec_id, label AS idx, code, canonical FROM rec"),
     "scan_labelled_paths": (scan_labelled_paths, f"WITH {X.CLASSES}, {X.PATHS} SELECT substr(path, 7) AS image, c.idx AS label, c.canonical AS label_name, c.code AS raw_label FROM img JOIN classes c ON c.code = upper(split_part(path, '/', -2)) WHERE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.bmp', '.jpeg', '.jpg', '.png', '.tif', '.tiff', '.webp')"),
+    "scan_archives": (scan_archives, f"WITH {X.CLASSES}, {X.PATHS} SELECT substr(path, 7) AS image, c.idx AS label, CAST(3 * length(path) AS BIGINT) AS size FROM img JOIN classes c ON c.code = upper(split_part(path, '/', -2)) WHERE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.bmp', '.jpeg', '.jpg', '.png', '.tif', '.tiff', '.webp')"),
     "ordered_traversal": (ordered_traversal, f"""WITH {X.CLASSES}, {X.PATHS}, p AS (SELECT CASE length(path) % 3 WHEN 0 THEN 'a-b' || substr(path, 6) WHEN 1 THEN 'a' || substr(path, 6) ELSE substr(path, 7) END AS image FROM img WHERE lower(regexp_extract(path, '[.][^./]+$')) IN ('.bmp', '.jpeg', '.jpg', '.png', '.tif', '.tiff', '.webp'))
   SELECT image, c.idx AS label, row_number() OVER (ORDER BY string_split(image, '/')[:-2], string_split(image, '/')[-1]) AS place FROM p JOIN classes c ON c.code = upper(split_part(image, '/', -2))"""),
     "collate_batch": (collate_batch, f"""WITH t AS (SELECT vec_id, {_TOK.format(n=5)} AS ids, max(vec_id % 5 + 1) OVER (PARTITION BY vec_id // 4) AS most FROM embeddings),
