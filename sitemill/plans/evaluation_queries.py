@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import evaluation, features, sampling
+from ..operators import evaluation, features, sampling, sketches
 from ..storage import cut
 from ..streaming import rounds as streams
 from . import fixtures as X
@@ -147,6 +147,30 @@ def stream_rounds(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_available(streams.complete_rounds(updates, 20), "rounds")
 
 
+def stream_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases within ten hours of a client's view, as a join of two streams."""
+    schema = X.table(spark, d, "events").schema
+
+    def of(kind: str) -> DataFrame:
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        return stream.where(F.col("event_type") == kind).select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+
+    found = streams.run_available(streams.answered(of("view"), of("purchase"), "10 HOURS"), "answers")
+    return found.select("client", F.unix_micros("asked_at").alias("asked_at"), F.unix_micros("answered_at").alias("answered_at"))
+
+
+def sketch_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Medians and numbers of parts by return flag, merged from sketches of
+    each line number; whether they are as near as stated."""
+    lines = X.table(spark, d, "lineitem")
+    parts = cut(sketches.sketched(lines, ["l_returnflag", "l_linenumber"], "l_extendedprice", "l_partkey"), "sketches")
+    of = cut(sketches.merged(parts, ["l_returnflag"]).select("l_returnflag", "n", "lost", sketches.quantile(0.5).alias("estimate"), sketches.distinct().alias("parts")), "merged")
+    errors = sketches.rank_errors(lines, ["l_returnflag"], "l_extendedprice", of, 0.5).select(F.col("l_returnflag").alias("flag"), "error")
+    exact_parts = lines.groupBy(F.col("l_returnflag").alias("other")).agg(F.count_distinct("l_partkey").alias("k"))
+    both = of.join(errors, F.col("l_returnflag") == F.col("flag")).join(exact_parts, F.col("l_returnflag") == F.col("other"))
+    return both.select("l_returnflag", "n", "lost", (F.col("error") <= sketches.RANK_ERROR).alias("near_median"), (F.abs(F.col("parts") - F.col("k")) <= sketches.COUNT_ERROR * F.col("k")).alias("near_parts"))
+
+
 _P = f"WITH {X.PARSED}"
 _O = f"{_P}, o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY md5('42:' || item), item) AS idx FROM parsed)"
 _ACC = f"{_P}, acc AS (SELECT model, CAST(sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total, CAST(sum(CASE WHEN pred < 0 THEN 1 ELSE 0 END) AS BIGINT) AS unparsed FROM parsed GROUP BY model)"
@@ -184,5 +208,7 @@ QUERIES = {
     "crosstab": (crosstab, "SELECT vec_id % 4 AS grp, " + ", ".join(f"count(*) FILTER (label = {k}) AS label_{k}" for k in range(10)) + " FROM embeddings GROUP BY vec_id % 4"),
     "spaced_select": (spaced_select, _SPACED),
     "stream_windows": (stream_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
+    "stream_answers": (stream_answers, "SELECT a.user_id AS client, epoch_us(a.ts) AS asked_at, epoch_us(b.ts) AS answered_at FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 10 HOURS"),
+    "sketch_medians": (sketch_medians, "SELECT l_returnflag, count(*) AS n, CAST(0 AS BIGINT) AS lost, true AS near_median, true AS near_parts FROM lineitem GROUP BY 1"),
     "stream_rounds": (stream_rounds, "SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS round, CAST(20 AS INTEGER) AS clients, CAST(20.0 AS DOUBLE) AS weight FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 20) = 20"),
 }

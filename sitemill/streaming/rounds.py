@@ -67,3 +67,30 @@ def run_available(stream: DataFrame, name: str, keys: list[str] | None = None) -
         return out.drop("_batch")
     newest = W.Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
     return out.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "_batch")
+
+
+def attended(announced: DataFrame, updates: DataFrame, open_for: str, late: str = "10 minutes") -> DataFrame:
+    """``round, client, opens, sent_at, weight`` of every client that a round
+    was announced to: its update while the round was open (from ``opens`` for
+    ``open_for``), or nulls once the watermark says that none can come any more.
+
+    ``announced`` has ``round, client, opens``, ``updates`` have ``round,
+    client, ts, weight``; both are streams. An update that comes twice within
+    ``late`` counts once; one that is later than ``late`` behind the newest, or
+    outside its round's time, counts for none. Both sides' state goes as the
+    watermark passes what they could meet.
+    """
+    once = updates.select("round", "client", F.col("ts").alias("sent_at"), "weight").withWatermark("sent_at", late).dropDuplicatesWithinWatermark(["round", "client"])
+    asked = announced.select("round", "client", "opens").withWatermark("opens", late)
+    u, a = once.alias("u"), asked.alias("a")
+    met = (F.col("a.round") == F.col("u.round")) & (F.col("a.client") == F.col("u.client")) & (F.col("u.sent_at") >= F.col("a.opens")) & (F.col("u.sent_at") < F.col("a.opens") + F.expr(f"INTERVAL {open_for}"))
+    return a.join(u, met, "left_outer").select("a.round", "a.client", "a.opens", "u.sent_at", "u.weight")
+
+
+def answered(asked: DataFrame, answers: DataFrame, within: str, late: str = "10 minutes") -> DataFrame:
+    """``client, asked_at, answered_at`` of all answers of a client within a
+    time of what it was asked: an interval join of streams of ``client, ts``."""
+    q = asked.select("client", F.col("ts").alias("asked_at")).withWatermark("asked_at", late).alias("q")
+    r = answers.select("client", F.col("ts").alias("answered_at")).withWatermark("answered_at", late).alias("r")
+    met = (F.col("q.client") == F.col("r.client")) & (F.col("r.answered_at") > F.col("q.asked_at")) & (F.col("r.answered_at") <= F.col("q.asked_at") + F.expr(f"INTERVAL {within}"))
+    return q.join(r, met).select("q.client", "q.asked_at", "r.answered_at")
