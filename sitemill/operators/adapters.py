@@ -122,3 +122,10 @@ def site_ranks(n: int, greatest: int, given: list[int] | None = None) -> list[in
     for i in range(n):
         out.append(max(1, round(greatest / 2 ** (n - 1 - i)), out[-1] + 1 if out else 1))
     return out if out[-1] <= greatest else list(range(greatest - n + 1, greatest + 1))
+
+
+def rank_fault(ranks: Column, n: Column, greatest: Column) -> Column:
+    """Why a list of ranks can't be that of ``n`` sites, or null: the same
+    refusals for rows of a table."""
+    bad = F.exists(ranks, lambda k: k.isNull() | (k <= 0) | (k > greatest))
+    return F.when(ranks.isNull() | (F.size(ranks) != n), F.lit("one rank a client is needed")).when(bad, F.lit("ranks lie between 1 and the greatest"))

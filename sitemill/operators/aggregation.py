@@ -197,13 +197,17 @@ def reconstruct(factors: DataFrame, weights: DataFrame, by: str, target: int, mo
     return few.union(wide.decompose(marked.where("is_wide").drop("is_wide"), target, edge)).withColumnRenamed("base", by)
 
 
-def metric_mean(updates: DataFrame) -> DataFrame:
-    """``metric, value``: each metric over the clients that sent it. If any
-    client sent none at all, there are no metrics."""
-    weighted = updates.withColumn("w", client_weight(F.col("meta")))
-    complete = weighted.agg(F.coalesce(F.bool_and(F.col("metrics").isNotNull()), F.lit(True)).alias("all_sent"))
-    means = weighted.select("w", F.explode("metrics").alias("metric", "x")).where("x IS NOT NULL").groupBy("metric").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("value"))
-    return means.crossJoin(F.broadcast(complete)).where("all_sent").select("metric", "value")
+def metric_mean(updates: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by, metric, value``: each metric over the clients that sent it, in all
+    or in each group (a round). Where any client sent none at all, there are no
+    metrics. Groups are told by a mark on their rows, so that nothing is joined."""
+    by = by or []
+    weighted = updates.withColumn("_w", client_weight(F.col("meta"))).withColumn("_silent", F.col("metrics").isNull())
+    # a client without any metrics gives one row for its group, with no name
+    each = weighted.select(*by, "_w", "_silent", F.explode_outer("metrics").alias("metric", "_x"))
+    sums = each.where("_silent OR _x IS NOT NULL").groupBy(*by, "metric", "_silent").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("value"))
+    silent = F.max(F.col("_silent")).over(W.Window.partitionBy(*by))
+    return sums.withColumn("_none", silent).where("NOT _none").select(*by, "metric", "value")  # a row a metric and group
 
 
 class Aggregator(Protocol):

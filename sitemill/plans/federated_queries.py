@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import tables
 from ..operators import adapters, aggregation
-from ..sources import tensors
+from ..sources import files, sinks, tensors
 from ..storage import cut, own_path
 from . import fixtures as X
 from . import rounds
@@ -139,11 +140,12 @@ def agg_reconstructed_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _updates(spark: SparkSession, d: str, sent: F.Column | None = None) -> DataFrame:
-    """An update a client and user: mean values by event type as metrics."""
+    """An update a client and user: mean values by event type as metrics;
+    users fall to seven rounds."""
     means = X.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("x"))
     maps = means.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "x"))).alias("metrics"))
     metrics = F.col("metrics") if sent is None else F.when(sent, F.col("metrics"))
-    return maps.select(metrics.alias("metrics"), F.create_map(F.lit("num_examples"), (F.col("user_id") % 3 + 1).cast("double")).alias("meta"))
+    return maps.select((F.col("user_id") % 7).alias("round"), metrics.alias("metrics"), F.create_map(F.lit("num_examples"), (F.col("user_id") % 3 + 1).cast("double")).alias("meta"))
 
 
 def agg_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +153,29 @@ def agg_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_metrics_suppressed(spark: SparkSession, d: str) -> DataFrame:
-    return aggregation.metric_mean(_updates(spark, d, F.col("user_id") % 100 != 0)).select("metric", exact("value").alias("value"))
+    """Seven rounds, of which those are without metrics that have a silent user."""
+    return aggregation.metric_mean(_updates(spark, d, ~F.col("user_id").isin(14, 29, 30)), ["round"]).select("round", "metric", exact("value").alias("value"))
+
+
+def explicit_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of ranks as they are typed, one a site, and what is wrong with them."""
+    lines = X.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"), F.concat_ws(" , ", F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))), lambda x: x["q"].cast("string"))).alias("typed"))
+    ranks = S.parse_ranks(F.col("typed"))
+    return lines.select("l_orderkey", F.size(ranks).alias("given"), adapters.rank_fault(ranks, F.col("n"), F.lit(45)).alias("fault"))
+
+
+def load_global(spark: SparkSession, d: str) -> DataFrame:
+    """A global bank's file, written and loaded again."""
+    path = own_path(spark, "global")
+    sinks.write_adapter(X.factors(spark, d).where("client = 2").select(F.col("layer").cast("string").alias("base_key"), "factor", "r", "vec"), path)
+    return files.load_global(spark, path).select("base_key", "factor", "r", _vec_sum().alias("vec_sum"))
+
+
+def server_state(spark: SparkSession, d: str) -> DataFrame:
+    """What a server shows of each client's adapter, loaded back by a client."""
+    shown = adapters.server_state(X.factors(spark, d).where("client = 1").select(F.concat(F.lit("layers."), F.col("layer").cast("string")).alias("base_key"), "factor", "r", "vec"))
+    own, _ = adapters.load_server_state(shown)
+    return shown.select(F.col("base_key").alias("shown"), "factor", "r", "vec").join(own.select(F.concat(F.lit("model."), "base_key").alias("shown"), "base_key", "factor", "r"), ["shown", "factor", "r"]).select("shown", "base_key", "factor", "r", _vec_sum().alias("vec_sum"))
 
 
 def round_loop(spark: SparkSession, d: str) -> DataFrame:
@@ -196,6 +220,9 @@ QUERIES = {
     "agg_reconstructed": (agg_reconstructed, _DELTA),
     "agg_reconstructed_wide": (agg_reconstructed_wide, _DELTA),
     "agg_metrics": (agg_metrics, _METRICS),
-    "agg_metrics_suppressed": (agg_metrics_suppressed, f"SELECT * FROM ({_METRICS}) WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id % 100 = 0)"),
+    "agg_metrics_suppressed": (agg_metrics_suppressed, "SELECT user_id % 7 AS round, event_type AS metric, round(sum((user_id % 3 + 1) * x) / sum(user_id % 3 + 1), 6) + 0.0 AS value FROM (SELECT user_id, event_type, avg(value) AS x FROM events GROUP BY user_id, event_type) WHERE user_id % 7 NOT IN (SELECT user_id % 7 FROM events WHERE user_id IN (14, 29, 30)) GROUP BY 1, 2"),
+    "explicit_ranks": (explicit_ranks, "SELECT l_orderkey, CAST(count(*) AS INTEGER) AS given, CASE WHEN count(*) <> max(l_linenumber) THEN 'one rank a client is needed' WHEN max(CAST(l_quantity AS INTEGER)) > 45 OR min(CAST(l_quantity AS INTEGER)) <= 0 THEN 'ranks lie between 1 and the greatest' END AS fault FROM lineitem GROUP BY l_orderkey"),
+    "load_global": (load_global, f"{_F} SELECT 'model.' || layer AS base_key, factor, r, {_SUM} AS vec_sum FROM fac WHERE client = 2"),
+    "server_state": (server_state, f"{_F} SELECT 'model.layers.' || layer AS shown, 'layers.' || layer AS base_key, factor, r, {_SUM} AS vec_sum FROM fac WHERE client = 1"),
     "round_loop": (round_loop, None),
 }

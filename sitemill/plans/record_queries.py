@@ -206,6 +206,13 @@ def split_random(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_random(X.table(spark, d, "documents"), "doc_id", N, VALIDATION)
 
 
+def split_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Each strategy by its name, 0 samples a client meaning all."""
+    rows = X.records(spark, d)
+    out = [splits.split_records(rows, "vec_id", "label", X.N_CLASSES, N, name, 0, validation=VALIDATION).select(F.lit(name).alias("strategy"), "vec_id", "site", "split") for name in ("random", "heterogeneous")]
+    return out[0].union(out[1])
+
+
 def split_heterogeneous(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_quota(X.records(spark, d), "vec_id", "label", X.N_CLASSES, N, VALIDATION)
 
@@ -289,6 +296,9 @@ QUERIES = {
     "dominant_groups": (dominant_groups, f"{_WISH} SELECT n, client, label, is_dominant FROM m WHERE is_dominant"),
     "preference_matrix": (preference_matrix, f"{_WISH} SELECT n, client, label, round(CASE WHEN mine = 9 THEN CAST(1.0 AS DOUBLE) / 9 WHEN is_dominant THEN CAST(0.8 AS DOUBLE) / mine ELSE (CAST(1.0 AS DOUBLE) - CAST(0.8 AS DOUBLE)) / (9 - mine) END, 6) AS weight FROM m"),
     "split_random": (split_random, "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS pos FROM documents), t AS (SELECT count(*) AS t FROM documents), c AS (SELECT 'site-' || (i + 1) AS site, i * (t // 3) + least(i, t % 3) AS lo, (i + 1) * (t // 3) + least(i + 1, t % 3) AS hi FROM range(3) x(i), t) SELECT doc_id, site, CASE WHEN pos - lo <= 20 THEN 'validation' ELSE 'train' END AS split FROM r JOIN c ON pos > lo AND pos <= hi"),
+    "split_dispatch": (split_dispatch, f"""WITH {_REC_IN}, {X.QUOTA}, c AS (SELECT 'site-' || (i + 1) AS site, i * (total // 3) + least(i, total % 3) AS lo, (i + 1) * (total // 3) + least(i + 1, total % 3) AS hi FROM range(3) x(i), tot)
+  SELECT 'heterogeneous' AS strategy, key AS vec_id, site, split FROM het UNION ALL
+  SELECT 'random', key, site, CASE WHEN pos - lo <= 20 THEN 'validation' ELSE 'train' END FROM (SELECT key, row_number() OVER (ORDER BY h, key) AS pos FROM h) JOIN c ON pos > lo AND pos <= hi"""),
     "split_heterogeneous": (split_heterogeneous, f"WITH {_REC_IN}, {X.QUOTA} SELECT key AS vec_id, label, site, split FROM het"),
     "split_sequential": (split_sequential, None),
     "label_hist": (label_hist, f"{_HIST} SELECT site, idx AS label, cnt FROM hist"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from html import escape
+from xml.etree import ElementTree as ET
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import add_model_prefix
 from ..storage import cut, discard
 
+#: The longest bar, as ``chart_rows`` has it.
+BAR = 470.0
+
 
 def colour(k: int) -> str:
     """A colour of its own for each class: hues a golden angle apart."""
@@ -53,20 +56,33 @@ def write_adapter(factors: DataFrame, path: str) -> None:
     factors.withColumn("base_key", add_model_prefix(F.col("base_key"))).write.mode("overwrite").parquet(path)
 
 
-def chart_svg(rows: DataFrame, labels: tuple[str, ...], dominant: dict[str, list[str]] | None = None) -> str:
-    """A bar chart of ``chart_rows``: a panel a site, sites by name. Rows
-    number sites times classes and are drawn on the driver."""
+def chart_svg(rows: DataFrame, labels: tuple[str, ...], dominant: dict[str, list[str]] | None = None, heading: str = "Training labels by site", about: str = "Records of each class that each site trains on.") -> str:
+    """A bar chart of ``chart_rows``: a heading, then a framed panel a site,
+    sites by name, with its dominant labels where they are told. Readers of
+    the page that can't see it get ``heading`` and ``about`` as its title and
+    description. Rows number sites times classes and are drawn on the driver."""
     held: dict[str, list] = {}
     for r in rows.orderBy("site", "idx").collect():
         held.setdefault(r["site"], []).append(r)
-    line, head, out, y = 22, 44, [], 16
+    line, head, gap, y = 24, 46, 18, 52
+    chart = ET.Element("svg", {"xmlns": "http://www.w3.org/2000/svg", "font-family": "sans-serif", "font-size": "12", "role": "img", "aria-labelledby": "chart-title chart-about"})
+    ET.SubElement(chart, "title", {"id": "chart-title"}).text = heading
+    ET.SubElement(chart, "desc", {"id": "chart-about"}).text = about
+    write = lambda x, y, text, **style: setattr(ET.SubElement(chart, "text", {"x": str(x), "y": str(y), **style}), "text", text)
+    write(16, 32, heading, **{"font-size": "18", "font-weight": "bold"})
     for site, bars in sorted(held.items()):
+        ET.SubElement(chart, "rect", {"x": "8", "y": str(y), "width": "844", "height": str(head + line * len(bars)), "rx": "8", "fill": "none", "stroke": "silver"})
         caption = f" (dominant: {', '.join(dominant[site])})" if dominant and site in dominant else ""
-        out.append(f'<text x="16" y="{y + 16}" font-weight="bold">{escape(site + caption)}</text>')
+        write(24, y + 24, site + caption, **{"font-weight": "bold"})
         for k, r in enumerate(bars):
-            top = y + head - 16 + k * line
-            out.append(f'<text x="16" y="{top + 13}">{escape(labels[r["idx"]])}</text>')
-            out.append(f'<rect x="300" y="{top}" width="{r["bar"]:.1f}" height="16" fill="{colour(r["idx"])}"/>')
-            out.append(f'<text x="{306 + r["bar"]:.1f}" y="{top + 13}">{r["cnt"]}</text>')
-        y += head + line * len(bars)
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="860" height="{y + 16}" font-family="sans-serif" font-size="12">\n' + "\n".join(out) + "\n</svg>\n"
+            top = y + head - 8 + k * line
+            write(24, top + 13, labels[r["idx"]])
+            for width, fill in ((BAR, "whitesmoke"), (r["bar"], colour(r["idx"]))):
+                ET.SubElement(chart, "rect", {"x": "300", "y": str(top), "width": f"{width:.1f}", "height": "16", "fill": fill})
+            write(308 + BAR, top + 13, str(r["cnt"]))
+        y += head + line * len(bars) + gap
+    chart.set("viewBox", f"0 0 860 {y}")
+    chart.set("width", "860")
+    chart.set("height", str(y))
+    ET.indent(chart)
+    return ET.tostring(chart, encoding="unicode", xml_declaration=True) + "\n"

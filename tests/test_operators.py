@@ -6,6 +6,7 @@ import random
 import time
 import zipfile
 from collections import Counter
+from xml.etree import ElementTree as ET
 
 import numpy as np
 import pytest
@@ -123,6 +124,13 @@ def test_histogram_has_zeros_and_chart(spark):
     assert rows.agg(F.max("bar")).first()[0] == 470.0
     svg = sinks.chart_svg(rows, LABELS, {"site-1": ["A & B"]})
     assert svg.index("site-1 (") < svg.index("site-10") < svg.index("site-2") and "A &amp; B" in svg
+    page = ET.fromstring(svg)
+    ns = "{http://www.w3.org/2000/svg}"
+    texts = [t.text for t in page.iter(f"{ns}text")]
+    assert page.find(f"{ns}title").text == texts[0] and page.find(f"{ns}desc").text and page.get("viewBox").endswith(page.get("height"))
+    assert len(texts) == 1 + 3 * (1 + 2 * 9) and len(list(page.iter(f"{ns}rect"))) == 3 * (1 + 2 * 9)
+    bars = sorted({float(r.get("width")) for r in page.iter(f"{ns}rect") if r.get("height") == "16"})
+    assert bars == [0, 235, 470]
     assert histograms.chart_rows(table.withColumn("cnt", F.lit(0))).agg(F.max("bar")).first()[0] == 0
 
 
