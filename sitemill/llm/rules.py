@@ -118,7 +118,8 @@ def verdict(cutoffs: dict[tuple[str, str], int]) -> Column:
 
 
 def count_texts(docs: DataFrame, keep: list[str], stratum_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``kept, stratum`` and the counts of every whole text."""
+    """``kept, stratum`` and the counts of every whole text. A null stratum is
+    that of the empty text."""
     marked = docs.withColumn("stratum of rules", F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
     found = map_texts(marked, [*keep, "stratum of rules"], SCHEMA, _counts, text_col)
     return found.select(F.struct(*[F.col(f"kept.`{c}`").alias(c) for c in keep]).alias("kept"), F.col("kept.`stratum of rules`").alias("stratum"), *COUNTS)

@@ -47,41 +47,45 @@ PATTERN = rf"[^{ENDS}]*[{ENDS}]+[ \n\t\r]*|[^{ENDS}]+".replace("\n", r"\n")
 WORDS = rf"[{UNSPACED}]|[^{SPACE}{UNSPACED}]+"
 #: Words with the white space around them, which join to any text that has one.
 SPACED = rf"[{SPACE}]*(?:{WORDS})[{SPACE}]*"
-_BLANK = " \t\n\v\f\r"
 
-_find, _words, _spaced, _unspaced = re.compile(PATTERN).findall, re.compile(WORDS).findall, re.compile(SPACED).findall, re.compile(f"[{UNSPACED}]").search
-
-
-def _counter(text: str) -> Callable[[str], int]:
-    """How to count words of a part of a text."""
-    return (lambda part: len(_words(part))) if _unspaced(text) else (lambda part: len(part.encode().split()))
-
-
-def pieces(sentence: str) -> list[str]:
-    """A long sentence, cut as the module's head says."""
-    spaced = _spaced(sentence)
-    bare = [w.strip(_BLANK) for w in spaced]
-    size = np.fromiter(map(len, bare), np.int64, len(bare))
-    first = np.fromiter((ord(w[0]) for w in bare), np.int64, len(bare))
-    last = np.fromiter((ord(w[-1]) for w in bare), np.int64, len(bare))
-    says = (31 * first[1:] + 17 * last[:-1] + 7 * size[1:] + 3 * size[:-1]) % RATE == 0
-    out = []
-    starts = [0, *(np.flatnonzero(says) + 1).tolist(), len(bare)]
-    for a, b in zip(starts, starts[1:], strict=False):
-        out += ["".join(spaced[k : min(k + LONG, b)]) for k in range(a, b, LONG)]
-    return out
+_find = re.compile(PATTERN).findall
+_LONE = [(ord(a), ord(b)) for a, b in re.findall("(.)-(.)", UNSPACED)]
 
 
 def sentences(text: str) -> tuple[list[str], np.ndarray]:
-    """The sentences of a text, which join to it, and their words."""
-    count = _counter(text)
-    out: list[str] = []
-    for part in _find(text):
-        if len(part) > LONG and count(part) > LONG:
-            out += pieces(part)
-        else:
-            out.append(part)
-    return out, np.fromiter(map(count, out), np.int64, len(out))
+    """The sentences of a text, which join to it, and their words: all words of
+    a text are told at once, in arrays of its code points."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if not len(code):
+        return [], np.zeros(0, np.int64)
+    starts = np.concatenate(([0], np.cumsum([len(p) for p in _find(text)])))[:-1]
+    solid, lone = ~((code == 32) | ((code >= 9) & (code <= 13))), np.zeros(len(code), bool)
+    if code.max() >= _LONE[0][0]:
+        for a, b in _LONE:
+            lone |= (code >= a) & (code <= b)
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1] | lone[1:] | lone[:-1]
+    begins[starts] = solid[starts]
+    ends = solid.copy()
+    ends[:-1] &= ~solid[1:] | begins[1:]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    of = np.searchsorted(starts, first, "right") - 1
+    is_long = np.bincount(of, minlength=len(starts)) > LONG
+    cut = np.zeros(len(first), bool)
+    if is_long.any():
+        opens = np.ones(len(first), bool)
+        opens[1:] = of[1:] != of[:-1]
+        size, x, y = last - first + 1, code[first].astype(np.int64), code[last].astype(np.int64)
+        says = np.zeros(len(first), bool)
+        says[1:] = (31 * x[1:] + 17 * y[:-1] + 7 * size[1:] + 3 * size[:-1]) % RATE == 0
+        says &= is_long[of] & ~opens
+        at = np.arange(len(first))
+        since = at - np.maximum.accumulate(np.where(opens | says, at, 0))
+        cut = says | (is_long[of] & (since > 0) & (since % LONG == 0))
+    bounds = np.sort(np.concatenate((starts, first[cut], [len(code)])))
+    words = np.diff(np.searchsorted(first, bounds))
+    at = bounds.tolist()
+    return [text[a:b] for a, b in zip(at, at[1:], strict=False)], words
 
 
 def runs(words: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
