@@ -49,10 +49,10 @@ def key_mismatches(keys: DataFrame, first: str) -> DataFrame:
     wanted = own.where(F.col("client") == first).select("key", F.lit(1).alias("is_wanted"))
     marked = own.join(wanted, "key", "left")
     extra = marked.where("is_wanted IS NULL").select("client", "key", F.lit("extra").alias("side"))
-    # only clients that lack something are laid against the wanted keys
-    held = marked.groupBy("client").agg(F.count("is_wanted").alias("held"))
-    short = held.crossJoin(wanted.agg(F.count("*").alias("n"))).where("held < n").select("client")
-    lacked = short.crossJoin(wanted.select("key")).join(own, ["client", "key"], "left_anti")
+    # a row a client that lacks something, with its keys, against one row with the keys of a model
+    everything = F.broadcast(wanted.agg(F.collect_set("key").alias("all"), F.count("*").alias("n")))
+    held = marked.groupBy("client").agg(F.collect_set(F.when(F.col("is_wanted") == 1, F.col("key"))).alias("mine"))
+    lacked = held.crossJoin(everything).where(F.size("mine") < F.col("n")).select("client", F.explode(F.array_except("all", "mine")).alias("key"))
     return extra.union(lacked.select("client", "key", F.lit("missing").alias("side")))
 
 

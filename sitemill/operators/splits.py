@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.scalars import hash_order
 from ..storage import cut
 from .sampling import hash_rank
 
@@ -112,6 +113,25 @@ def split_quota(df: DataFrame, key: str, label: str, labels: int, n: int, valida
     return hash_rank(placed, key, seed, "rank", ["site"]).select(key, label, "site", F.when(F.col("rank") <= validation, "validation").otherwise("train").alias("split"))
 
 
+def uniform(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 that a key draws, the same on every engine: 52 bits
+    of its hash."""
+    return F.conv(F.substring(hash_order(key, seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def weighted_choice(weights: Column, u: Column) -> Column:
+    """The place, from 0, of the candidate that a draw ``u`` falls to: the first
+    at which the weights so far reach ``u`` times their sum, or the last. Where
+    no weight is over 0 all candidates are alike; null without candidates."""
+    n = F.size(weights)
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    goal = u * total
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("found"), F.lit(0).alias("at"))
+    met = F.aggregate(weights, start, lambda s, w: F.struct((s["sum"] + w).alias("sum"), F.when((s["found"] < 0) & (s["sum"] + w >= goal), s["at"]).otherwise(s["found"]).alias("found"), (s["at"] + 1).alias("at")), lambda s: s["found"])
+    alike = F.least(F.floor(u * n).cast("int"), n - 1)
+    return F.when(n > 0, F.when(total > 0, F.when(met >= 0, met).otherwise(n - 1)).otherwise(alike))
+
+
 def split_sequential(df: DataFrame, key: str, label: str, labels: int, n: int, validation: int, fraction: float = 0.8, seed: int = 42, per_client: int | None = None) -> DataFrame:
     """The order-dependent rule: each row in turn goes to a site drawn by
     preference times remaining capacity. One row's choice depends on all

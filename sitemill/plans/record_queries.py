@@ -202,6 +202,13 @@ def preference_matrix(spark: SparkSession, d: str) -> DataFrame:
     return _wishes(spark, d).select("n", "client", "label", F.round(splits.preference(F.col("n"), X.N_CLASSES, F.col("client"), F.col("label"), 0.8), 6).alias("weight"))
 
 
+def weighted_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The site that each document draws among three to six, by weights of
+    its own length; a fifth of the documents has none above 0."""
+    weights = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 4 + 2).cast("int")), lambda i: F.when(F.col("doc_id") % 5 > 0, ((F.col("n_chars") + i * 3) % 7).cast("double")).otherwise(0.0))
+    return X.table(spark, d, "documents").select("doc_id", splits.weighted_choice(weights, splits.uniform(F.col("doc_id"), 42)).alias("site"))
+
+
 def split_random(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_random(X.table(spark, d, "documents"), "doc_id", N, VALIDATION)
 
@@ -295,6 +302,9 @@ QUERIES = {
     "client_counts_capped": (client_counts_capped, "SELECT CAST(n AS INTEGER) AS n, CAST(i AS INTEGER) AS client, CAST(least(60, t // n) AS BIGINT) AS cnt FROM range(2, 8) a(n) JOIN range(0, 7) b(i) ON i < n CROSS JOIN (SELECT count(*) AS t FROM documents)"),
     "dominant_groups": (dominant_groups, f"{_WISH} SELECT n, client, label, is_dominant FROM m WHERE is_dominant"),
     "preference_matrix": (preference_matrix, f"{_WISH} SELECT n, client, label, round(CASE WHEN mine = 9 THEN CAST(1.0 AS DOUBLE) / 9 WHEN is_dominant THEN CAST(0.8 AS DOUBLE) / mine ELSE (CAST(1.0 AS DOUBLE) - CAST(0.8 AS DOUBLE)) / (9 - mine) END, 6) AS weight FROM m"),
+    "weighted_choice": (weighted_choice, """WITH w AS (SELECT doc_id, list_transform(range(doc_id % 4 + 3), lambda i: CASE WHEN doc_id % 5 > 0 THEN CAST((n_chars + i * 3) % 7 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS w, CAST('0x' || substr(md5('42:' || doc_id), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
+  t AS (SELECT *, list_sum(w) AS total, list_transform(range(1, len(w) + 1), lambda i: list_sum(w[1:i])) AS so_far FROM w)
+  SELECT doc_id, CAST(CASE WHEN total > 0 THEN len(list_filter(so_far, lambda x: x < u * total)) ELSE least(floor(u * len(w)), len(w) - 1) END AS INTEGER) AS site FROM t"""),
     "split_random": (split_random, "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS pos FROM documents), t AS (SELECT count(*) AS t FROM documents), c AS (SELECT 'site-' || (i + 1) AS site, i * (t // 3) + least(i, t % 3) AS lo, (i + 1) * (t // 3) + least(i + 1, t % 3) AS hi FROM range(3) x(i), t) SELECT doc_id, site, CASE WHEN pos - lo <= 20 THEN 'validation' ELSE 'train' END AS split FROM r JOIN c ON pos > lo AND pos <= hi"),
     "split_dispatch": (split_dispatch, f"""WITH {_REC_IN}, {X.QUOTA}, c AS (SELECT 'site-' || (i + 1) AS site, i * (total // 3) + least(i, total % 3) AS lo, (i + 1) * (total // 3) + least(i + 1, total % 3) AS hi FROM range(3) x(i), tot)
   SELECT 'heterogeneous' AS strategy, key AS vec_id, site, split FROM het UNION ALL

@@ -54,3 +54,15 @@ def test_arrays_are_never_longer(spark, tmp_path, most):
     assert all(len({r.get("raw_label") for r in a}) == 1 for a in arrays)
     with pytest.raises(ValueError):
         sinks.write_arrays(same, str(tmp_path / "none"), F.col("raw_label"), 0)
+
+
+def test_weighted_choices(spark):
+    """Draws fall to candidates as often as their weights say, and to none of weight 0."""
+    def picked(weights, u):
+        return spark.range(1).select(splits.weighted_choice(F.array(*[F.lit(float(w)) for w in weights]).cast("array<double>"), F.lit(u)).alias("x")).first()["x"]
+
+    assert [picked([1, 0, 3], u) for u in (0.0, 0.25, 0.2500001, 0.999)] == [0, 0, 2, 2]
+    assert [picked([0, 0], u) for u in (0.0, 0.49, 0.5, 1.0)] == [0, 0, 1, 1] and picked([], 0.5) is None
+    many = spark.range(20_000).select(splits.weighted_choice(F.array(F.lit(1.0), F.lit(0.0), F.lit(4.0)), splits.uniform(F.col("id"), 7)).alias("x")).groupBy("x").count()
+    shares = {r["x"]: r["count"] / 20_000 for r in many.collect()}
+    assert set(shares) == {0, 2} and abs(shares[0] - 0.2) < 0.01
