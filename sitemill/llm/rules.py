@@ -130,7 +130,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col:
 
     Texts are read once; the slim counts are written and joined with the
     labels by id. A null text has no words and so fails the base; a null
-    stratum is one of its own; rows that repeat an id each count. A long text
+    stratum is that of the empty text; rows that repeat an id each count. A long text
     is counted whole; texts of the same measures share a step, so ties are
     rejected or kept together. An empty table gives none. Only the id, stratum
     and text are read, so no name can clash.
