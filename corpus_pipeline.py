@@ -30,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base or a proved cutoff; null and very
-    short texts fail the base, a null language is a stratum of its own. Counts
+    short texts fail the base, a null language is that of the empty text. Counts
     are taken twice, for the cutoffs and for the verdicts, so that texts aren't
     shuffled."""
     stats = rules.count_texts(docs.select("doc_id", "lang", "text"), ["doc_id"]).select("kept.doc_id", "stratum", *rules.COUNTS)
