@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.scalars import hash_order
-from ..storage import cut
+from ..storage import cut, discard
 from .sampling import hash_rank
 
 
@@ -132,41 +135,69 @@ def weighted_choice(weights: Column, u: Column) -> Column:
     return F.when(n > 0, F.when(total > 0, F.when(met >= 0, met).otherwise(n - 1)).otherwise(alike))
 
 
-def split_sequential(df: DataFrame, key: str, label: str, labels: int, n: int, validation: int, fraction: float = 0.8, seed: int = 42, per_client: int | None = None) -> DataFrame:
-    """The order-dependent rule: each row in turn goes to a site drawn by
-    preference times remaining capacity. One row's choice depends on all
-    before it, so keys and labels (no more) go through one task; use
-    ``split_quota`` where that is too much."""
-    rows = hash_rank(df.select(key, label), key, seed)
-    schema = f"{df.select(key, label).schema.simpleString()[7:-1].replace(':', ' ')}, site string, split string"
-
-    def fold(held: pd.DataFrame) -> pd.DataFrame:
-        import random
-
-        held = held.sort_values("pos", ignore_index=True)
-        counts = check_counts(len(held), n, per_client, validation)
-        room, rng, out = list(counts), random.Random(seed), []
-        block, extra = divmod(labels, n)
-        own = [{i % labels} if n > labels else set(range(i * block + min(i, extra), (i + 1) * block + min(i + 1, extra))) for i in range(n)]
-        wish = [[1 / labels if len(o) == labels else fraction / len(o) if x in o else (1 - fraction) / (labels - len(o)) for x in range(labels)] for o in own]
-        for x in held[label].tolist():
-            weights = [wish[i][x] * room[i] for i in range(n)]
-            open_sites = [i for i in range(n) if room[i]]
-            if not open_sites:
-                out.append(-1)
-                continue
-            total = sum(weights)
-            site = rng.choices(open_sites, [weights[i] for i in open_sites])[0] if total > 0 else rng.choice(open_sites)
-            room[site] -= 1
-            out.append(site)
-        held["at"] = out
-        held = held[held["at"] >= 0].sample(frac=1, random_state=seed)
-        place = held.groupby("at").cumcount()
-        held["site"] = "site-" + (held["at"] + 1).astype(str)
-        held["split"] = ["validation" if p < validation else "train" for p in place]
-        return held[[key, label, "site", "split"]]
-
-    return rows.groupBy(F.lit(1).alias("all")).applyInPandas(lambda held: fold(held), schema)
+#: Rows of the sequential rule that one task takes at a time.
+SEQUENCE = 1 << 20
+
+
+def _fold(wish: list[list[float]], room: list[int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sites of rows in turn, from the room that is left at their start."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = list(room)
+        for batch in batches:
+            out = []
+            for x, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if x is None or not 0 <= x < len(wish[0]):
+                    raise ValueError(f"no class {x}")
+                free = [i for i, k in enumerate(left) if k]
+                if not free:
+                    out.append(None)
+                    continue
+                weights = [wish[i][x] * left[i] for i in free]
+                total = sum(weights)
+                if total > 0:
+                    sums = list(accumulate(weights))
+                    at = free[min(bisect_left(sums, u * total), len(free) - 1)]
+                else:
+                    at = free[min(int(u * len(free)), len(free) - 1)]
+                left[at] -= 1
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], [*batch.schema.names[:2], "_at"])
+
+    return run
+
+
+def split_sequential(df: DataFrame, key: str, label: str, labels: int, n: int, validation: int, fraction: float = 0.8, seed: int = 42, per_client: int | None = None, block: int = SEQUENCE) -> DataFrame:
+    """The order-dependent rule: each row in hash order goes to a site drawn by
+    preference times the room it has left; a surplus is dropped.
+
+    One row's choice depends on all before it, so blocks of ``block`` rows go
+    through a task each, one block after the other; what a block leaves to the
+    next is a number a site. Draws are by the rows' own hashes, so blocks do
+    not change the outcome. It takes as long as one core needs for all rows;
+    ``split_quota`` has no such bound. A label that is no class is refused.
+    """
+    rows = df.select(key, label)
+    total = rows.count()
+    counts = check_counts(total, n, per_client, validation)
+    size, extra = divmod(labels, n)
+    own = [{i % labels} if n > labels else set(range(i * size + min(i, extra), (i + 1) * size + min(i + 1, extra))) for i in range(n)]
+    wish = [[1 / labels if len(o) == labels else fraction / len(o) if x in o else (1 - fraction) / (labels - len(o)) for x in range(labels)] for o in own]
+    drawn = hash_rank(rows, key, seed, "_pos").withColumn("_u", uniform(F.col(key), seed + 1))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ordered = cut(drawn.repartitionByRange(parts, "_pos").sortWithinPartitions("_pos"), "sequence")  # so that a block is read alone
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    placed, room = [], list(counts)
+    for first in range(0, total, block):
+        here = ordered.where((F.col("_pos") > first) & (F.col("_pos") <= first + block)).select(key, label, "_u", "_pos")
+        placed.append(cut(here.repartition(1).sortWithinPartitions("_pos").mapInArrow(_fold(wish, room), f"{kind}, _at int"), "placed"))
+        for r in placed[-1].where("_at IS NOT NULL").groupBy("_at").count().collect():  # a row a site
+            room[r["_at"]] -= r["count"]
+        if not any(room):
+            break
+    discard(ordered)
+    whole = reduce(DataFrame.union, placed).where("_at IS NOT NULL").select(key, label, F.concat(F.lit("site-"), (F.col("_at") + 1).cast("string")).alias("site"))
+    return hash_rank(whole, key, seed, "_rank", ["site"]).select(key, label, "site", F.when(F.col("_rank") <= validation, "validation").otherwise("train").alias("split"))
 
 
 def per_client(samples: int | None) -> int | None:
@@ -177,7 +208,7 @@ def per_client(samples: int | None) -> int | None:
 def split_records(df: DataFrame, key: str, label: str, labels: int, n: int, strategy: str = "heterogeneous", samples_per_client: int | None = None, **options: object) -> DataFrame:
     """Splits by ``heterogeneous`` quotas, the ``sequential`` rule, or at
     ``random``; ``samples_per_client`` of 0 or less means all. Every strategy
-    refuses what ``check_counts`` refuses, ``sequential`` when it runs."""
+    refuses what ``check_counts`` refuses."""
     options["per_client"] = per_client(samples_per_client)
     if strategy == "random":
         return split_random(df, key, n, **options)

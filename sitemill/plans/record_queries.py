@@ -310,7 +310,13 @@ QUERIES = {
   SELECT 'heterogeneous' AS strategy, key AS vec_id, site, split FROM het UNION ALL
   SELECT 'random', key, site, CASE WHEN pos - lo <= 20 THEN 'validation' ELSE 'train' END FROM (SELECT key, row_number() OVER (ORDER BY h, key) AS pos FROM h) JOIN c ON pos > lo AND pos <= hi"""),
     "split_heterogeneous": (split_heterogeneous, f"WITH {_REC_IN}, {X.QUOTA} SELECT key AS vec_id, label, site, split FROM het"),
-    "split_sequential": (split_sequential, None),
+    "split_sequential": (split_sequential, f"""WITH RECURSIVE {_REC_IN}, o AS (SELECT key, label, md5('42:' || key) AS h, CAST('0x' || substr(md5('43:' || key), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u, row_number() OVER (ORDER BY md5('42:' || key), key) AS i FROM rec_in),
+  g AS (SELECT CAST(0 AS BIGINT) AS i, (SELECT list(CAST(t // 3 + CASE WHEN s < t % 3 THEN 1 ELSE 0 END AS BIGINT) ORDER BY s) FROM range(3) r(s), (SELECT count(*) AS t FROM rec_in)) AS room, CAST(-1 AS BIGINT) AS took
+    UNION ALL SELECT i, list_transform(range(3), lambda s: room[s + 1] - CASE WHEN s = took THEN 1 ELSE 0 END), took
+    FROM (SELECT i, room, len(list_filter(range(3), lambda s: list_sum(w[1:s + 1]) < u * list_sum(w))) AS took
+      FROM (SELECT o.i, o.u, g.room, list_transform(range(3), lambda s: CASE WHEN o.label // 3 = s THEN CAST(0.8 AS DOUBLE) / 3 ELSE (1 - CAST(0.8 AS DOUBLE)) / 6 END * g.room[s + 1]) AS w FROM g JOIN o ON o.i = g.i + 1))),
+  p AS (SELECT o.key, o.label, o.h, 'site-' || (g.took + 1) AS site FROM o JOIN g USING (i))
+  SELECT key AS vec_id, label, site, CASE WHEN row_number() OVER (PARTITION BY site ORDER BY h, key) <= 20 THEN 'validation' ELSE 'train' END AS split FROM p"""),
     "label_hist": (label_hist, f"{_HIST} SELECT site, idx AS label, cnt FROM hist"),
     "label_hist_text": (label_hist_text, f"{_HIST} SELECT site, string_agg(code || '=' || cnt, ', ' ORDER BY idx) AS summary FROM hist GROUP BY site"),
     "chart_rows": (chart_rows, f"{_HIST} SELECT site, idx AS label, cnt, round(CAST(cnt AS DOUBLE) / greatest(max(cnt) OVER (), 1) * CAST(470.0 AS DOUBLE), 1) AS bar FROM hist"),

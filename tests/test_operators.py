@@ -2,7 +2,6 @@ import datetime as dt
 import hashlib
 import json
 import os
-import random
 import time
 import zipfile
 from collections import Counter
@@ -403,24 +402,32 @@ def test_samples_per_client(spark, strategy):
         assert set(got.values()) == {each} and len(got) == 3
 
 
-def test_sequential_split_by_hand(spark):
-    """The same fold, record by record, over records in hash order."""
+@pytest.mark.parametrize("block", [7, 50, 1 << 20])
+def test_sequential_split_by_hand(spark, block):
+    """The same fold, record by record, over records in hash order; blocks change nothing."""
     n, validation, fraction = 4, 3, 0.7
     rows = [(i, i * 7 % 9) for i in range(90)]
-    got = {r["id"]: (r["site"], r["split"]) for r in splits.split_sequential(spark.createDataFrame(rows, "id long, label int"), "id", "label", 9, n, validation, fraction, per_client=20).collect()}
+    frame = spark.createDataFrame(rows, "id long, label int").repartition(3)
+    got = {r["id"]: (r["site"], r["split"]) for r in splits.split_sequential(frame, "id", "label", 9, n, validation, fraction, per_client=20, block=block).collect()}
     order = sorted(rows, key=lambda r: (hashlib.md5(f"42:{r[0]}".encode()).hexdigest(), r[0]))
-    own, rng, room, placed = [{0, 1, 2}, {3, 4}, {5, 6}, {7, 8}], random.Random(42), [20] * n, []
+    own, room, placed = [{0, 1, 2}, {3, 4}, {5, 6}, {7, 8}], [20] * n, []
     for key, label in order:
         chances = [room[i] * (fraction / len(own[i]) if label in own[i] else (1 - fraction) / (9 - len(own[i]))) for i in range(n)]
-        there = [i for i in range(n) if room[i]]
-        if there:
-            site = rng.choices(there, [chances[i] for i in there])[0]
+        if any(room):
+            goal = int(hashlib.md5(f"43:{key}".encode()).hexdigest()[:13], 16) / 2**52 * sum(chances)
+            site = next(i for i in range(n) if room[i] and sum(chances[: i + 1]) >= goal)
             room[site] -= 1
             placed.append((key, site))
     assert {k: f"site-{s + 1}" for k, s in placed} == {k: s for k, (s, _) in got.items()} and len(got) == 80
     assert Counter(got.values()) == {(f"site-{i + 1}", part): k for i in range(n) for part, k in (("validation", 3), ("train", 17))}
 
 
+def test_sequential_split_refuses_labels(spark):
+    for bad in (9, -1, None):
+        with pytest.raises(Exception, match="no class"):
+            splits.split_sequential(spark.createDataFrame([(i, bad) for i in range(9)], "id long, label int"), "id", "label", 9, 3, 0)
+
+
 def test_devices_and_paths():
     assert [settings.device_map(x) for x in ("cpu", "cuda", "cuda:3", "mps")] == [None, {"": 0}, {"": 3}, None]
     for bad in ("cuda:x", "cudax", "cuda:"):
