@@ -185,4 +185,4 @@ def test_registered():
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {k.split("_")[0] for k in found if k.startswith("op") and k[2].isdigit()} | {"pipeline"} & set(found)
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {k.split("_")[0] for k in found if k.startswith("op") and k[2].isdigit()} | {"pipeline"} & set(found)
