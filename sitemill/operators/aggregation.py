@@ -3,13 +3,14 @@ and metrics.
 
 Sums run in double over exploded components with partial aggregation on the
 map side, so a shuffle carries one row a cell and task, whatever the clients
-number. Only the truncated decomposition is Python: a group a base key, with
-matrices as small as the sum of the clients' ranks, merged by groups of clients
-where that is much.
+number. Products of factors are summed in tiles, one at a time in a task. The
+truncated decomposition is a group a base key, with matrices as small as the
+sum of the clients' ranks, merged by groups of clients where that is much.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -88,16 +89,94 @@ def factor_mean(factors: DataFrame, weights: DataFrame, by: list[str], target: i
     return sums.crossJoin(F.broadcast(_total(weights))).select(*cell, (F.col("s") / F.col("total")).alias("value"))
 
 
-def update_mean(factors: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
+class _Tile:
+    """Sums of a tile of a product. Terms with a null count for nothing; a cell
+    of nothing else is null, and one no component reaches is not there."""
+
+    def __init__(self, edge: int) -> None:
+        self.sums, self.given, self.ends = np.zeros((edge, edge)), np.zeros((edge, edge), bool), np.zeros(edge, np.int32)
+
+    def multiply(self, left: pa.ListArray, right: pa.ListArray) -> None:
+        """Adds the products of slices of columns and of rows."""
+        (x, has_x, high), (y, has_y, wide_) = _filled(left), _filled(right)
+        h, w = x.shape[1], y.shape[1]
+        for m, n in np.unique(np.stack([high, wide_]), axis=1).T:
+            self.ends[:m] = np.maximum(self.ends[:m], n)
+        with np.errstate(invalid="ignore", over="ignore"):
+            if left.values.null_count or right.values.null_count or (high < h).any() or (wide_ < w).any() or not (np.isfinite(x).all() and np.isfinite(y).all()):
+                for a, b, has_a, has_b in zip(x, y, has_x, has_y, strict=True):
+                    both = np.outer(has_a, has_b)
+                    self.sums[:h, :w] += np.where(both, np.outer(a, b), 0)
+                    self.given[:h, :w] |= both
+            else:
+                self.sums[:h, :w] += x.T @ y
+                self.given[:h, :w] = True
+
+    def add(self, at: np.ndarray, rows: pa.ListArray) -> None:
+        """Adds rows of other sums of the tile."""
+        x, has_x, long = _filled(rows)
+        with np.errstate(invalid="ignore", over="ignore"):
+            np.add.at(self.sums[:, : x.shape[1]], at, x)
+        np.logical_or.at(self.given[:, : x.shape[1]], at, has_x)
+        np.maximum.at(self.ends, at, long.astype(np.int32))
+
+    def batch(self, key: tuple[pa.Scalar, ...], names: list[str]) -> pa.RecordBatch:
+        """``key``, the row in the tile and its cells."""
+        at = np.flatnonzero(self.ends)
+        there = np.arange(self.sums.shape[1]) < self.ends[at, None]
+        cells = pa.array(self.sums[at][there], mask=~self.given[at][there])
+        rows = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(self.ends[at])]).astype(np.int32), cells)
+        return pa.RecordBatch.from_arrays([*[pa.repeat(k, len(at)) for k in key], pa.array(at.astype(np.int32)), rows], names)
+
+
+def _filled(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists as rows of a matrix, which of its cells are no nulls, and lengths."""
+    lengths, flat = pc.list_value_length(lists).to_numpy(), lists.flatten()
+    inside = np.arange(lengths.max()) < lengths[:, None]
+    values, given = np.zeros(inside.shape), np.zeros(inside.shape, bool)
+    values[inside], given[inside] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+    return values, given, lengths
+
+
+def update_mean(factors: DataFrame, weights: DataFrame, by: list[str], edge: int | None = None, most: int | None = None) -> DataFrame:
     """``by, i, j, value``: the weighted mean of the clients' products of
-    factors. It fills a whole matrix; for large ones use ``reconstruct``."""
+    factors. It fills a whole matrix; for large ones use ``reconstruct``.
+
+    Components are dealt to tiles of ``edge`` by ``edge`` cells, and a task
+    holds one tile at a time, however many cells it makes: only components are
+    shuffled and no map of cells is kept. Bases of over ``most`` components have
+    several sums a tile, which are added up by tiles."""
+    edge, most = edge or wide.EDGE, most or MOST_COMPONENTS
     a = factors.where("factor = 'A'").select("client", *by, "r", F.col("vec").alias("a"))
     b = factors.where("factor = 'B'").select("client", *by, "r", F.col("vec").alias("b"))
-    both = b.join(a, ["client", *by, "r"]).join(weights, "client")
-    # a row of the product at a time: the sum over ranks and clients happens on the map side
-    cells = both.select(*by, "w", "a", F.posexplode("b").alias("i", "x")).select(*by, "i", F.posexplode(F.transform("a", lambda y: F.col("w") * F.col("x").cast("double") * y.cast("double"))).alias("j", "v"))
-    sums = cells.groupBy(*by, "i", "j").agg(F.sum("v").alias("s"))
-    return sums.crossJoin(F.broadcast(_total(weights))).select(*by, "i", "j", (F.col("s") / F.col("total")).alias("value"))
+    both = b.join(a, ["client", *by, "r"]).join(weights, "client").where("size(a) > 0 AND size(b) > 0")
+    groups = a.groupBy(*by).agg(F.ceil(F.count("*") / most).alias("_groups"))
+    is_much = (groups.agg(F.max("_groups").alias("n")).first()["n"] or 0) > 1
+    both = both.join(groups, by).withColumn("_g", F.pmod(F.xxhash64("client", "r"), F.col("_groups"))) if is_much else both.withColumn("_g", F.lit(0))
+    tiles = both.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(size(b) - 1) DIV {edge}"))).alias("_bi")).select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(size(a) - 1) DIV {edge}"))).alias("_bj"))
+    piece = lambda vec, at: F.slice(vec, F.col(at).cast("int") * edge + 1, edge)
+    dealt = tiles.select(*by, "_bi", "_bj", "_g", F.transform(piece("b", "_bi"), lambda x: F.col("w") * x.cast("double")).alias("left"), F.transform(piece("a", "_bj"), lambda y: y.cast("double")).alias("right"))
+    names = [*by, "_bi", "_bj", "_at", "_row"]
+    kinds = dict(dealt.dtypes)
+    ddl = ", ".join([*[f"`{c}` {kinds[c]}" for c in names[:-2]], "_at int", "_row array<double>"])
+
+    def products(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = _Tile(edge)
+        for batch in batches:
+            tile.multiply(batch.column("left"), batch.column("right"))
+        yield tile.batch(key[: len(names) - 2], names)
+
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = _Tile(edge)
+        for batch in batches:
+            tile.add(batch.column("_at").to_numpy(), batch.column("_row"))
+        yield tile.batch(key, names)
+
+    rows = dealt.groupBy(*by, "_bi", "_bj", "_g").applyInArrow(products, ddl)
+    if is_much:
+        rows = rows.groupBy(*by, "_bi", "_bj").applyInArrow(added, ddl)
+    cells = rows.select(*by, (F.col("_bi") * edge + F.col("_at")).cast("int").alias("i"), F.col("_bj"), F.posexplode("_row").alias("_pos", "s"))
+    return cells.crossJoin(F.broadcast(_total(weights))).select(*by, "i", (F.col("_bj") * edge + F.col("_pos")).cast("int").alias("j"), (F.col("s") / F.col("total")).alias("value"))
 
 
 def truncated(left: np.ndarray, right: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import json
 import os
+import re
 import time
 import zipfile
 from collections import Counter
@@ -210,6 +211,38 @@ def test_means_against_numpy(spark):
     assert np.allclose(b, want)
 
 
+def test_mean_updates_in_tiles(spark):
+    """As one product, whatever the tiles and sums a tile; no map of cells."""
+    mats, factors, weights = bank_of(spark, 7, (3,) * 5)
+    mean = sum((c + 1) / 15 * b @ a for c, (b, a) in mats.items())
+    for edge, most in ((None, None), (4, None), (4, 2), (3, 1)):
+        found = aggregation.update_mean(factors, weights, ["base_key"], edge, most)
+        assert not re.search(r"Aggregate\(keys?=\[[^\]]*\bj#", found._jdf.queryExecution().executedPlan().toString())
+        cells = {(r["i"], r["j"]): r["value"] for r in found.collect()}
+        assert len(cells) == 30 and np.allclose([cells[i, j] for i in range(6) for j in range(5)], mean.reshape(-1))
+
+
+@pytest.mark.parametrize("edge, most", [(None, None), (2, None), (2, 1)])
+def test_mean_updates_of_odd_vectors(spark, edge, most):
+    """A null counts for nothing, vectors may be shorter than others, and what
+    is no number stays none."""
+    nan = float("nan")
+    rows = [(0, "A", 0, [1.0, None, 2.0]), (0, "B", 0, [3.0, 4.0]), (1, "A", 0, [5.0]), (1, "B", 0, [6.0, None, 7.0]), (0, "A", 1, []), (0, "B", 1, [1.0] * 5), (0, "A", 2, [float("inf"), 1.0]), (0, "B", 2, [nan, None, None, 2.0]), (1, "A", 3, [9.0] * 9), (2, "A", 0, [1.0]), (2, "B", 0, [1.0]), (0, "A", 4, None), (0, "B", 4, [1.0] * 7)]
+    factors = spark.createDataFrame([("k", *r) for r in rows], "base_key string, client int, factor string, r int, vec array<double>")
+    weights = spark.createDataFrame([(0, 1.0), (1, 3.0)], "client int, w double")
+    got = {(r["i"], r["j"]): r["value"] for r in aggregation.update_mean(factors, weights, ["base_key"], edge, most).collect()}
+    want = {}
+    pairs = [(1.0, [3.0, 4.0], [1.0, None, 2.0]), (3.0, [6.0, None, 7.0], [5.0]), (1.0, [nan, None, None, 2.0], [float("inf"), 1.0])]
+    for w, b, a in pairs:
+        for i, x in enumerate(b):
+            for j, y in enumerate(a):
+                had = want.setdefault((i, j), None)
+                want[i, j] = had if x is None or y is None else (had or 0.0) + w * x * y
+    assert got.keys() == want.keys()
+    assert all((got[k] is None) == (v is None) and (v is None or np.isclose(got[k], v / 4, equal_nan=True)) for k, v in want.items())
+    assert aggregation.update_mean(factors.limit(0), weights, ["base_key"], edge, most).count() == 0
+
+
 @pytest.mark.parametrize("target", [2, 5, 9])
 def test_reconstruction(spark, target):
     mats, factors, weights = bank_of(spark, 2, (1, 2, 4))
