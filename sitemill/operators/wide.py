@@ -18,12 +18,14 @@ and the product meets only thin matrices of target + ``SPARE`` columns:
 
 A task holds a block, or a few thin blocks of one place; the driver sees the
 singular values of each base, which are as many as the bank has components.
+Joins are by shuffles (``merge``), so that a stage ends between two steps in
+Python: a task has one Python process, and a batch of results few blocks.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from ..storage import cut, discard
 
 EDGE, COMPONENTS, FAN, SPARE = 512, 512, 8, 8
+#: Bytes of results that a task gathers before it hands them on, about.
+RESULTS = 4 << 20
 TOLERANCE, MOST_ROUNDS = 1e-13, 100
 
 
@@ -45,6 +49,19 @@ def _rows(names: list[str], rows: list[tuple], schema: pa.Schema) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([x.reshape(-1) if isinstance(x, np.ndarray) else x for x in c], schema.field(n).type) for n, c in zip(names, columns, strict=True)], names)
 
 
+def _batches(names: list[str], rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows that end with a matrix or numbers, in batches of about ``RESULTS`` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += row[-1].nbytes
+        if size >= RESULTS:
+            yield _rows(names, held, schema)
+            held, size = [], 0
+    if held:
+        yield _rows(names, held, schema)
+
+
 def _schema(kind: pa.DataType, *longs: str) -> pa.Schema:
     return pa.schema([("base", kind), *[(n, pa.int64()) for n in longs], ("mat", pa.list_(pa.float64()))])
 
@@ -78,21 +95,22 @@ def multiply(left: DataFrame, thin: DataFrame, columns: int, back: bool) -> Data
     components."""
     kind = dict(left.dtypes)["base"]
     over, into = ("g", "b") if back else ("b", "g")
-    met = left.select("base", F.col(over).alias("at"), F.col(into).alias("to"), F.col("tag").alias("own"), F.col("mat").alias("block")).join(thin.select("base", "at", "tag", F.col("mat").alias("thin")), ["base", "at"])
+    met = left.select("base", F.col(over).alias("at"), F.col(into).alias("to"), F.col("tag").alias("own"), F.col("mat").alias("block")).join(thin.select("base", "at", "tag", F.col("mat").alias("thin")).hint("merge"), ["base", "at"])
+
+    def product(base: pa.Scalar, to: pa.Scalar, own: pa.Scalar, block: pa.Scalar, tag: pa.Scalar, right: pa.Scalar) -> tuple:
+        v = _mat(right, columns)
+        if back:
+            if own.as_py() != tag.as_py():
+                raise ValueError("factors without their partner")
+            x = block.values.to_numpy().reshape(len(v), -1).T
+        else:
+            x = block.values.to_numpy().reshape(-1, len(v))
+        return base.as_py(), to.as_py(), 0 if back else own.as_py(), x @ v
 
     def products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema, out = _schema(batch.schema.field("base").type, "at", "tag"), []
-            for base, to, own, block, tag, right in zip(*[batch.column(n) for n in ("base", "to", "own", "block", "tag", "thin")], strict=True):
-                v = _mat(right, columns)
-                if back:
-                    if own.as_py() != tag.as_py():
-                        raise ValueError("factors without their partner")
-                    x = block.values.to_numpy().reshape(len(v), -1).T
-                else:
-                    x = block.values.to_numpy().reshape(-1, len(v))
-                out.append((base.as_py(), to.as_py(), 0 if back else own.as_py(), x @ v))
-            yield _rows(schema.names, out, schema)
+            schema = _schema(batch.schema.field("base").type, "at", "tag")
+            yield from _batches(schema.names, map(product, *[batch.column(n) for n in ("base", "to", "own", "block", "tag", "thin")]), schema)
 
     def add(table: pa.Table) -> pa.Table:
         schema = _schema(table.schema.field("base").type, "at", "tag")
@@ -105,32 +123,39 @@ def multiply(left: DataFrame, thin: DataFrame, columns: int, back: bool) -> Data
     return met.select("base", "to", "own", "block", "tag", "thin").mapInArrow(products, ddl).groupBy("base", "at").applyInArrow(add, ddl)
 
 
-def triangles(thin: DataFrame, columns: int) -> DataFrame:
+def triangles(thin: DataFrame, columns: int, work: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``base, blocks, mat``: the small triangle of a QR of each base's whole
-    thin matrix, by a tree, and its number of blocks."""
+    thin matrix, by a tree, and its number of blocks; or ``work`` on the
+    triangle, where it is made."""
     kind = dict(thin.dtypes)["base"]
     ddl = _ddl(kind, "at", "blocks")
 
-    def reduce(stacked: np.ndarray) -> np.ndarray:
-        r = np.linalg.qr(stacked, mode="r")
+    def reduce(rows: np.ndarray) -> np.ndarray:
+        r = np.linalg.qr(rows, mode="r")
         return np.vstack([r, np.zeros((columns - len(r), columns))]) if len(r) < columns else r
 
     def leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = _schema(batch.schema.field("base").type, "at", "blocks")
-            yield _rows(schema.names, [(b.as_py(), a.as_py(), a.as_py() + 1, reduce(_mat(m, columns))) for b, a, m in zip(batch.column("base"), batch.column("at"), batch.column("mat"), strict=True)], schema)
+            yield from _batches(schema.names, ((b.as_py(), a.as_py(), a.as_py() + 1, reduce(_mat(m, columns))) for b, a, m in zip(batch.column("base"), batch.column("at"), batch.column("mat"), strict=True)), schema)
 
-    def join(table: pa.Table) -> pa.Table:
+    def stacked(table: pa.Table, done: Callable[[np.ndarray], np.ndarray]) -> pa.Table:
         schema = _schema(table.schema.field("base").type, "at", "blocks")
-        stacked = np.vstack([_mat(m, columns) for m in table["mat"]])
-        return pa.Table.from_batches([_rows(schema.names, [(table["base"][0].as_py(), table["at"][0].as_py(), max(table["blocks"].to_pylist()), reduce(stacked))], schema)])
+        below = np.vstack([_mat(m, columns) for m in table["mat"]])
+        return pa.Table.from_batches([_rows(schema.names, [(table["base"][0].as_py(), table["at"][0].as_py(), max(table["blocks"].to_pylist()), done(reduce(below)))], schema)])
+
+    def join(table: pa.Table) -> pa.Table:
+        return stacked(table, lambda r: r)
+
+    def root(table: pa.Table) -> pa.Table:
+        return stacked(table, work or (lambda r: r))
 
     out = thin.select("base", "at", "mat").mapInArrow(leaves, ddl)
     most = thin.agg(F.coalesce(F.max("at"), F.lit(0)).alias("m")).first()["m"]
-    while most > 0:
+    while most >= FAN:
         most //= FAN
         out = out.withColumn("at", F.expr(f"at DIV {FAN}")).groupBy("base", "at").applyInArrow(join, ddl)
-    return out.select("base", "blocks", "mat")
+    return out.withColumn("at", F.lit(0).cast("bigint")).groupBy("base", "at").applyInArrow(root, ddl).select("base", "blocks", "mat")
 
 
 def turned(thin: DataFrame, turns: DataFrame, columns: int) -> DataFrame:
@@ -138,12 +163,12 @@ def turned(thin: DataFrame, turns: DataFrame, columns: int) -> DataFrame:
     blocks, mat``), which go to the blocks' own places."""
     kind = dict(thin.dtypes)["base"]
     placed = turns.select("base", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("at"), F.col("mat").alias("turn"))
-    met = thin.select("base", "at", "mat").join(placed, ["base", "at"])
+    met = thin.select("base", "at", "mat").join(placed.hint("merge"), ["base", "at"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = _schema(batch.schema.field("base").type, "at", "tag")
-            yield _rows(schema.names, [(b.as_py(), a.as_py(), 0, _mat(m, columns) @ t.values.to_numpy().reshape(columns, -1)) for b, a, m, t in zip(*[batch.column(n) for n in ("base", "at", "mat", "turn")], strict=True)], schema)
+            yield from _batches(schema.names, ((b.as_py(), a.as_py(), 0, _mat(m, columns) @ t.values.to_numpy().reshape(columns, -1)) for b, a, m, t in zip(*[batch.column(n) for n in ("base", "at", "mat", "turn")], strict=True)), schema)
 
     return met.mapInArrow(run, _ddl(kind, "at", "tag"))
 
@@ -155,7 +180,7 @@ def _of_triangles(found: DataFrame, columns: int, work, name: str = "mat") -> Da
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = pa.schema([("base", batch.schema.field("base").type), ("blocks", pa.int64()), (name, pa.list_(pa.float64()))])
-            yield _rows(schema.names, [(b.as_py(), n.as_py(), work(_mat(m, columns))) for b, n, m in zip(*[batch.column(c) for c in ("base", "blocks", "mat")], strict=True)], schema)
+            yield from _batches(schema.names, ((b.as_py(), n.as_py(), work(_mat(m, columns))) for b, n, m in zip(*[batch.column(c) for c in ("base", "blocks", "mat")], strict=True)), schema)
 
     return found.mapInArrow(run, ddl)
 
@@ -170,7 +195,7 @@ def orthonormal(thin: DataFrame, columns: int, passes: int = 2) -> DataFrame:
     """A thin matrix whose columns are orthonormal, or zero, and span the same."""
     for _ in range(passes):
         thin = cut(thin, "thin")
-        thin = turned(thin, _of_triangles(triangles(thin, columns), columns, _whitening), columns)
+        thin = turned(thin, triangles(thin, columns, _whitening), columns)
     return cut(thin, "thin")
 
 

@@ -1,9 +1,11 @@
 """Decompositions in blocks against numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitemill.operators import aggregation, wide
+from sitemill.storage import cut
 
 
 @pytest.fixture
@@ -85,3 +87,36 @@ def test_a_tree_of_triangles(spark, small_blocks):
     kept = np.diag(gram) > 0.5
     assert kept.sum() == 4 and np.allclose(gram[np.ix_(kept, kept)], np.eye(4), atol=1e-9) and not q[:, ~kept].any()
     assert np.allclose(q @ (q.T @ x), x, atol=1e-6)
+
+
+def chained(plan):
+    """Python processes that a task of this stage has at once; 0 where a stage ends."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return chained(plan.executedPlan())
+    below = plan.children()
+    held = sum(chained(below.apply(k)) for k in range(below.size())) + ("InArrow" in name)
+    assert held <= 1, plan.toString()
+    return 0 if "Exchange" in name else held
+
+
+def test_a_task_has_one_python_process(spark):
+    a = spark.createDataFrame([("x", 0, 0, 5, [1.0, 2.0, 3.0, 4.0])], "base string, g bigint, b bigint, tag bigint, mat array<double>")
+    thin = spark.createDataFrame([("x", 0, 5, [1.0, 0.0, 1.0, 2.0])], "base string, at bigint, tag bigint, mat array<double>")
+    a, thin = cut(a, "a"), cut(thin, "thin")  # so small that Spark would broadcast them
+    twice = wide.multiply(a, wide.multiply(a, thin, 2, False), 2, True)
+    chained(twice._jdf.queryExecution().executedPlan())
+    block, right = np.array([[1, 2], [3, 4]]), np.array([[1, 0], [1, 2]])
+    assert np.allclose(twice.first()["mat"], (block.T @ block @ right).reshape(-1))
+    turned = wide.turned(thin, wide.triangles(thin, 2, wide._whitening), 2)
+    chained(turned._jdf.queryExecution().executedPlan())
+    q = np.array(turned.first()["mat"]).reshape(2, 2)
+    assert np.allclose(q.T @ q, np.eye(2))
+
+
+def test_results_go_on_in_small_batches(monkeypatch):
+    monkeypatch.setattr(wide, "RESULTS", 100)
+    schema = wide._schema(pa.string(), "at")
+    found = list(wide._batches(schema.names, (("x", k, np.full(8, float(k))) for k in range(5)), schema))
+    assert [b.num_rows for b in found] == [2, 2, 1]
+    assert [x for b in found for x in b.column("at").to_pylist()] == list(range(5))
